@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontamination import op3_suffix_automaton
+from .jaccard_join import op7_combination_prefixes
+from .language_id import op8_word_first_backoff
 from .mixing import op2_pivotal_rounding
 from .sharding import op10_sampled_splitters
 
@@ -11,6 +13,8 @@ QUERIES = {
     for f in (
         op2_pivotal_rounding,
         op3_suffix_automaton,
+        op7_combination_prefixes,
+        op8_word_first_backoff,
         op10_sampled_splitters,
     )
 }
