@@ -130,8 +130,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(known.toPandas())
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score (columns of these names are replaced)."""
+def with_language(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score under ``names`` (columns of these names are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -140,8 +140,9 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([own.predict(t, memory) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.drop("lang_pred", "score").withColumn("_language", predict("text"))
-    return out.select("*", "_language.lang_pred", "_language.score").drop("_language")
+    found = predict("text")
+    out = docs.drop(*names).withColumn("_language", found)
+    return out.withColumns({names[0]: F.col("_language.lang_pred"), names[1]: F.col("_language.score")}).drop("_language")
 
 
 def op8_word_first_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .compression import op6_zstd_dictionaries
 from .decontamination import op3_suffix_automaton
 from .jaccard_join import op7_combination_prefixes
 from .language_id import op8_word_first_backoff
+from .licenses import op5_rare_token_index
 from .mixing import op2_pivotal_rounding
+from .perplexity import op4_kneser_ney_bands
 from .sharding import op10_sampled_splitters
 
 QUERIES = {
@@ -13,6 +16,9 @@ QUERIES = {
     for f in (
         op2_pivotal_rounding,
         op3_suffix_automaton,
+        op4_kneser_ney_bands,
+        op5_rare_token_index,
+        op6_zstd_dictionaries,
         op7_combination_prefixes,
         op8_word_first_backoff,
         op10_sampled_splitters,
