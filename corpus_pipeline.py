@@ -13,8 +13,8 @@ LEAST_SCORE = 0.5
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters and a clear language; the others go."""
-    found = language_id.with_language(docs, language_id.fit(docs))
-    return found.where(f"lang_pred <> 'und' AND score >= {LEAST_SCORE}").select(*docs.columns)
+    found = language_id.with_language(docs, language_id.fit(docs), ("_lang_pred", "_lang_score"))
+    return found.where(f"_lang_pred <> 'und' AND _lang_score >= {LEAST_SCORE}").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
