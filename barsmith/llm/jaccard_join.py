@@ -12,8 +12,9 @@ within clusters exact intersections decide. A cluster is cut into blocks of boun
 only sets that are not connected to the hub have to meet the other blocks. No pair list is ever made, and no group is
 gathered whole.
 
-Counting needs the part of the hash space below ZONE only, unless a set has too few tokens there: such a set counts
-all of its tokens, which come after those in the order. That keeps the order common to all.
+Before that, most sets are cleared by the part of the hash space below ZONE alone: a set with more tokens there that no
+other set has than a similar set could lack has no partner. Only the others, the suspects, are counted in full, and only
+their sets are kept; every link is between suspects.
 
 Null and empty texts, and those without words, have no shingles and are linked with nothing. Rows with equal ids, null
 ids and equal texts are all kept; a component's id is its least non-null doc_id. An empty table gives no rows; extra
@@ -36,8 +37,8 @@ from .components import connected_components
 
 SHINGLE, PERCENT = 5, 80
 #: Tokens found in more sets than this are frequent.
-FREQUENT = 64
-#: Share of the hash space that is counted first.
+FREQUENT = 8
+#: Share of the hash space that is counted for all sets.
 ZONE = np.uint64(int(0.3 * 2**64))
 #: Sets and tokens in one block of a cluster.
 BLOCK_SETS, BLOCK_TOKENS = 2_000, 2_000_000
@@ -91,34 +92,52 @@ def prefix(n: int, lv: int, percent: int = PERCENT) -> int:
     return min(n, n - need(n, percent) + 1 + (1 << lv))
 
 
-def _list_array(rows: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
-    values = np.concatenate(rows) if rows else np.empty(0, dtype=np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
-
-
 def _first_pass(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, set_key (null where empty), n, zone (tokens below ZONE), tokens (to be counted)."""
+    """doc_id, text_hash, set_key (null where empty), n and zone (tokens below ZONE) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, zones, tokens = [], [], [], []
+            keys, sizes, zones = [], [], []
             for text in batch["_text"]:
                 s = shingles(text.as_py())
-                n, z = len(s), int(np.searchsorted(s, ZONE))
-                keys.append(_class_key(s) if n else None)
-                sizes.append(n)
-                zones.append(z)
-                far = prefix(n, levels(n)[-1])
-                tokens.append(s[:0] if need(n) < 4 else s[:z] if z >= far else s)  # below 4, similar sets are equal
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(zones, pa.int64()), _list_array(tokens)], names=["doc_id", "text_hash", "set_key", "n", "zone", "tokens"])
+                keys.append(_class_key(s) if len(s) else None)
+                sizes.append(len(s))
+                zones.append(int(np.searchsorted(s, ZONE)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(zones, pa.int64())], names=["doc_id", "text_hash", "set_key", "n", "zone"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), raw(F.col("text")).alias("_text"))
-    return narrow.mapInArrow(run, "doc_id long, text_hash long, set_key long, n long, zone long, tokens array<long>")
+    return narrow.mapInArrow(run, "doc_id long, text_hash long, set_key long, n long, zone long")
+
+
+def _pairs(sets: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    tokens = np.concatenate([s for _, s in sets]) if sets else np.empty(0, dtype=np.uint64)
+    keys = np.repeat(np.array([k for k, _ in sets], dtype=np.int64), [len(s) for _, s in sets])
+    return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(keys)], names=["token", "set_key"])
+
+
+def _zone_postings(docs: DataFrame) -> DataFrame:
+    """(token, set_key) of all tokens below ZONE of sets that can have a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s for s in (shingles(text.as_py()) for text in batch["_text"]) if need(len(s)) > 3]
+            yield _pairs([(_class_key(s), s[: np.searchsorted(s, ZONE)]) for s in sets])
+
+    return docs.select(raw(F.col("text")).alias("_text")).mapInArrow(run, "token long, set_key long")
+
+
+def _all_postings(sets: DataFrame) -> DataFrame:
+    """(token, set_key) of all tokens of ``sets`` (set_key, tokens as bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _pairs(list(zip(batch["set_key"].to_pylist(), _sets_of(batch["tokens"]), strict=True)))
+
+    return sets.select("set_key", "tokens").mapInArrow(run, "token long, set_key long")
 
 
 def _keys(shared: DataFrame) -> DataFrame:
-    """(set_key, key): index keys of sets, from their tokens that other sets have too (struct of token and df)."""
+    """(set_key, key): index keys of sets, from n and their tokens that other sets have too (structs of token and df)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,13 +146,11 @@ def _keys(shared: DataFrame) -> DataFrame:
             token = flat.field("token").to_numpy(zero_copy_only=False).view(np.uint64)
             df = flat.field("df").to_numpy(zero_copy_only=False)
             owners, keys = [], []
-            for i, (set_key, n, zone) in enumerate(zip(batch["set_key"].to_pylist(), batch["n"].to_pylist(), batch["zone"].to_pylist(), strict=True)):
+            for i, (set_key, n) in enumerate(zip(batch["set_key"].to_pylist(), batch["n"].to_pylist(), strict=True)):
                 t, d = token[ends[i] : ends[i + 1]], df[ends[i] : ends[i + 1]]
-                order = np.lexsort((t, d, t >= ZONE))
+                order = np.lexsort((t, d))
                 t, d = t[order], d[order]
-                low = int((t < ZONE).sum())
-                rank = np.arange(len(t))
-                rank += np.where(t < ZONE, zone - low, n - len(t))  # tokens of their own stand before the shared ones
+                rank = np.arange(n - len(t), n)  # tokens of its own stand before the shared ones
                 lv = levels(n)
                 out = [t[(d <= FREQUENT) & (rank < prefix(n, lv[-1]))]]
                 for v in lv:
@@ -232,9 +249,9 @@ def _across_blocks(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("cluster", "query_block", "block").applyInArrow(run, "a long, b long")
 
 
-def _candidate_sets(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(set_key, tokens as bytes) of the sets in ``clusters`` (set_key, min_id, ...), made again from their texts."""
-    ids = clusters.select(F.col("min_id").alias("_id")).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (set_key, min_id, n) with tokens (as bytes), made again from the texts of the rows with these ids."""
+    ids = wanted.select(F.col("min_id").alias("_id")).distinct()
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     narrow = narrow.join(ids, F.coalesce("doc_id", F.lit(-1)) == F.col("_id"), "left_semi").select(raw(F.col("text")).alias("_text"))
@@ -245,30 +262,40 @@ def _candidate_sets(docs: DataFrame, clusters: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([_class_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "tokens"])
 
     sets = narrow.mapInArrow(run, "set_key long, tokens binary")
-    return clusters.join(sets, "set_key").groupBy("set_key", "cluster", "block", "blocks").agg(F.first("tokens").alias("tokens"))
+    return wanted.join(sets, "set_key").groupBy("set_key", "min_id", "n").agg(F.first("tokens").alias("tokens"))
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_key, component_id: a row for each row of ``docs`` (doc_id, text)."""
     rows = stored(_first_pass(docs), "shingles")
-    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("min_id"), F.first("n").alias("n"))
-
-    # how many sets hold each token; tokens of one set only bring nobody together
-    once = rows.where("size(tokens) > 0").groupBy("set_key").agg(F.first("n").alias("n"), F.first("zone").alias("zone"), F.first("tokens").alias("tokens"))
-    postings = once.select("set_key", "n", "zone", F.explode("tokens").alias("token"))
+    first = F.first("n").alias("n"), F.first("zone").alias("zone")
+    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("min_id"), *first)
+
+    # sets with more tokens of their own than a similar set could lack are done with
+    postings = _zone_postings(docs).repartition("token")
+    own = postings.groupBy("token").agg(F.min("set_key").alias("set_key"), F.max("set_key").alias("other")).where("set_key = other")
+    own = own.groupBy("set_key").agg(F.count("*").alias("own"))
+    lack = F.col("n") - F.ceil(F.col("n") * PERCENT / F.lit(100))
+    suspects = classes.join(own, "set_key", "left").where((F.ceil(F.col("n") * PERCENT / F.lit(100)) > 3) & (F.coalesce("own", F.lit(0)) <= lack))
+    sets = stored(_sets(docs, stored(suspects.select("set_key", "min_id", "n"), "suspects")), "sets")
+
+    # in how many of them each token is; what only one has brings nobody together
     df = F.count("*").over(W.partitionBy("token"))
-    shared = postings.withColumn("df", df).where("df > 1").groupBy("set_key").agg(F.first("n").alias("n"), F.first("zone").alias("zone"), F.collect_list(F.struct("token", "df")).alias("shared"))
+    shared = _all_postings(sets).withColumn("df", df).where("df > 1").groupBy("set_key").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
+    shared = shared.join(sets.select("set_key", "n"), "set_key")
     hub = F.min("set_key").over(W.partitionBy("key"))
     ties = _keys(shared).withColumn("hub", hub).where("hub <> set_key").select(F.col("set_key").alias("a"), F.col("hub").alias("b"))
 
-    clusters = connected_components(ties)
-    sized = clusters.join(classes, clusters["node"] == classes["set_key"]).select("set_key", F.col("component").alias("cluster"), "min_id", "n")
+    clusters = connected_components(ties).select(F.col("node").alias("set_key"), F.col("component").alias("cluster"))
+    sized = sets.select("set_key", "n").join(clusters, "set_key")
     totals = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
-    sized = sized.join(totals, "cluster").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
-    sets = stored(_candidate_sets(docs, stored(sized, "clusters")), "sets")
+    sized = sized.join(totals, "cluster").select("set_key", "cluster", "blocks", F.pmod(F.xxhash64("set_key"), F.col("blocks")).alias("block"))
+    sized = stored(sized, "clusters")
+    many = sized.count()
+    sets = sets.select("set_key", "tokens").join(sized, "set_key")
 
     # each block with the cluster's hub; small clusters share tasks
-    tasks = F.concat_ws("/", F.when(F.col("blocks") > 1, F.col("cluster")), F.when(F.col("blocks") > 1, F.col("block")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(max(8, sets.count() // 1000)))))
+    tasks = F.concat_ws("/", F.when(F.col("blocks") > 1, F.col("cluster")), F.when(F.col("blocks") > 1, F.col("block")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(max(8, many // 500)))))
     hubs = sets.where((F.col("set_key") == F.col("cluster")) & (F.col("blocks") > 1)).withColumn("own", F.col("block"))
     hubs = hubs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> own").drop("own")
     roots = stored(_within_blocks(sets.unionByName(hubs).withColumn("task", tasks).drop("blocks")), "roots")

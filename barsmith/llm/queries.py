@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from .compression import op6_zstd_dictionaries
 from .decontamination import op3_suffix_automaton
+from .html_extraction import op9_tree_scoring
 from .jaccard_join import op7_combination_prefixes
 from .language_id import op8_word_first_backoff
 from .licenses import op5_rare_token_index
 from .mixing import op2_pivotal_rounding
 from .perplexity import op4_kneser_ney_bands
 from .sharding import op10_sampled_splitters
+from .warc import op1_linked_derivatives
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_linked_derivatives,
         op2_pivotal_rounding,
         op3_suffix_automaton,
         op4_kneser_ney_bands,
@@ -21,6 +24,7 @@ QUERIES = {
         op6_zstd_dictionaries,
         op7_combination_prefixes,
         op8_word_first_backoff,
+        op9_tree_scoring,
         op10_sampled_splitters,
     )
 }
