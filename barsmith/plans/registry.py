@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from .oracles import ORACLES
+from .queries import QUERIES, entry
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "entry"]
