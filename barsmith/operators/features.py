@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scan import affine_scan, ema, wilder, with_index, Recurrence
@@ -171,69 +172,75 @@ def build_features(bars: DataFrame, preset: Preset = FULL) -> DataFrame:
     return inputs.select("ticker", "ts", *[raw[n].alias(n) if n in raw else F.col(n) for n in NAMES])
 
 
-def optional_features(bars: DataFrame) -> DataFrame:
-    """ticker, ts and further indicators that the default preset leaves out: ranges, rates of change, channel position,
+def _distance(centre: Column):
+    return lambda x: F.abs(x - centre)
+
+
+def optional_features(bars: DataFrame, preset: Preset = FULL) -> DataFrame:
+    """ticker, ts and the indicators that the default preset leaves out: ranges, rates of change, channel position,
     divergence, distance to means, directional movement, true range, deviations, Bollinger bands, volume spikes, time
     under water and time since the peak."""
-    df = recurrences(bars, FULL)
+    df = recurrences(bars, preset)
     c, h, l, v = F.col(C), F.col(H), F.col(L), F.col(V)
     w = ordered()
-    out: dict[str, Column] = {}
-    for n, k in (("15m", 14), ("1h", 56), ("1d", 350)):
+    out: dict[str, Column] = {"_r": change(C, 1), "_typical": (h + l + c) / 3}
+    for name, k in (("15m", 14), ("1h", 56), ("1d", 350)):
         top, low = full(H, k, F.max), full(L, k, F.min)
-        out[f"Williams_R_{n}"] = clip(F.try_divide(top - c, top - low) * -100, -100.0, 0.0)
-    for k in (10, 40):
-        out[f"ROC_{k}"] = change(C, k) * 100
-    for n, name in ((21, "EMA_21_15m"), (50, "EMA_50_1d")):
-        out[f"Price_vs_EMA_{n}"] = F.try_divide(c, F.col(name))
-    out["MACD_Above_Signal_15m"] = flag(F.col("MACD_15m") > F.col("MACD_Signal_15m"))
-    out["MACD_Above_Signal_4h"] = flag(F.col("MACD_4h") > F.col("MACD_Signal_4h"))
-    out["Momentum_Divergence"] = flag(c > lagged(C, 14)) - flag(F.col("RSI_15m") > F.lag("RSI_15m", 14).over(w))
-    for k in (10, 20, 500):
-        out[f"Std_{k}"] = full(C, k, F.stddev_samp)
-    mean, dev = full(C, 20, F.avg), full(C, 20, F.stddev_pop)
-    out["BB_Position"] = clip(F.try_divide(c - mean, 2 * dev), -3.0, 3.0)
-    out["BB_Width"] = F.try_divide(4 * dev, mean)
-    out["Volume_Ratio_10"] = F.try_divide(v, full(V, 10, F.avg) + 1)
+        out[f"Williams_R_{name}"] = clip(F.try_divide(top - c, top - low) * -100, -100.0, 0.0)
+    out |= {"ROC_10_15m": change(C, 10) * 100, "ROC_10_1h": change(C, 40) * 100}
+    out["Price_Momentum_Div"] = flag(change(C, preset.day) > 0) - flag(F.col("RSI_15m") > 50)
+    out |= {f"Price_vs_EMA{n}": F.try_divide(c, f"EMA_{n}") for n in ("21_15m", "21_1d", "50_1d")}
+    out |= {f"MACD_Position_{n}": flag(F.col(f"MACD_{n}") > F.col(f"MACD_Signal_{n}")) for n in ("15m", "4h")}
+    out |= {n: full(C, k, F.stddev_samp) for n, k in (("Std_10_15m", 10), ("Std_10_1d", 500), ("Std_20_15m", 20), ("Std_20_1d", 500))}
+    for name, k in (("15m", 20), ("1d", 500)):
+        mean, dev = full(C, k, F.avg), full(C, k, F.stddev_pop)
+        out[f"BB_Position_{name}"] = clip(F.try_divide(c - mean + 2 * dev, 4 * dev + 1e-6), -3.0, 3.0)
+        out[f"BB_Width_{name}"] = F.try_divide(4 * dev, mean + 1e-6)
+    out["Volume_Ratio_10_15m"] = F.try_divide(v, full(V, 10, F.avg) + 1)
+    out["Volume_Spike_15m"] = flag(F.try_divide(v, full(V, 20, F.avg) + 1) > 2)
+    out["Volume_Spike_1d"] = flag(F.try_divide(v, wide_mean(V, 500) + 1) > 1.5)
     out["Volume_Change"] = clip(change(V, 1), -0.99, 10.0)
-    ratio20 = F.try_divide(v, full(V, 20, F.avg) + 1)
-    out["Volume_Spike_2"], out["Volume_Spike_1_5"] = flag(ratio20 > 2), flag(ratio20 > 1.5)
-    out["Return"] = change(C, 1)
-    out["_top16"], out["_top500"] = full(C, 16, F.max), full(C, 500, F.max)
-    out["_typical"] = (h + l + c) / 3
-    out["_tr"] = F.greatest(h - l, F.abs(h - lagged(C)), F.abs(l - lagged(C)))
+    out |= {f"_top{k}": full(C, k, F.max) for k in (16, 500)}
     up, down = h - lagged(H), lagged(L) - l
+    out["_tr"] = F.greatest(h - l, F.abs(h - lagged(C)), F.abs(l - lagged(C)))
     out["_pdm"] = F.when((up > down) & (up > 0), up).otherwise(0.0)
     out["_ndm"] = F.when((down > up) & (down > 0), down).otherwise(0.0)
     df = df.withColumns(out)
-    second: dict[str, Column] = {"Sharpe_20d": sharpe("Return", 500, 96.0 * 252)}
-    for k in (16, 500):
-        second[f"Distance_From_Peak_{k}"] = (F.try_divide(c, F.col(f"_top{k}")) - 1) * 100
-        second[f"_under{k}"] = F.when(F.col(f"_top{k}").isNotNull(), (c < F.col(f"_top{k}")).cast("int"))
-    second["_new_peak"] = flag(F.col("_top500") != lagged("_top500"))
-    width = F.when(F.count("BB_Width").over(w.rowsBetween(-99, 0)) == 100, F.percentile("BB_Width", F.lit(0.2)).over(w.rowsBetween(-99, 0)))
-    second["BB_Squeeze"] = flag(F.col("BB_Width") < width)
-    typical = full("_typical", 14, F.avg)
-    values = F.collect_list("_typical").over(w.rowsBetween(-13, 0))
-    spread = F.aggregate(F.transform(values, lambda x: F.abs(x - typical)), F.lit(0.0), lambda a, x: a + x) / 14
-    second["CCI_14"] = clip(F.try_divide(F.col("_typical") - typical, 0.015 * spread), -500.0, 500.0)
-    df = df.withColumns(second)
-    third = {f"Underwater_{k}": full(f"_under{k}", k, F.sum) for k in (16, 500)} | {"_run": F.sum("_new_peak").over(upto())}
-    df = df.withColumns(third)
-    from pyspark.sql import Window as W
-
-    df = df.withColumn("Periods_Since_Peak", F.row_number().over(W.partitionBy("ticker", "_run").orderBy("ts")) - 1)
-    # Wilder means of true range and directional movement, then of their index
-    df = with_index(df).withColumns({f"_sum{x}": F.sum(F.when(F.col("_i") > 0, F.col(x))).over(upto()) for x in ("_tr", "_pdm", "_ndm")})
-    names = [(x, k) for k in (14, 350) for x in ("_tr", "_pdm", "_ndm")]
-    df = affine_scan(df, [wilder(f"_w{x}{k}", F.col(x), k, F.col(f"_sum{x}")) for x, k in names])
-    dx = {}
-    for k in (14, 350):
-        p_, n_ = F.try_divide(F.col(f"_w_pdm{k}"), F.col(f"_w_tr{k}")), F.try_divide(F.col(f"_w_ndm{k}"), F.col(f"_w_tr{k}"))
-        dx[f"_dx{k}"] = F.coalesce(100 * F.try_divide(F.abs(p_ - n_), p_ + n_), F.lit(0.0))
-        dx[f"ATR_{k}"] = F.col(f"_w_tr{k}")
-    df = df.withColumns(dx).withColumn("ATR_Ratio", F.try_divide(F.col("ATR_14"), F.col("ATR_350")))
+
+    more: dict[str, Column] = {"Sharpe_Approx_20d": sharpe("_r", 500, 96.0 * 252)}
+    for name, k in (("4h", 16), ("20d", 500)):
+        more[f"Distance_From_Peak_{name}"] = (F.try_divide(c, f"_top{k}") - 1) * 100
+        more[f"_under{k}"] = flag(c < F.col(f"_top{k}"))
+        more[f"_new{k}"] = F.coalesce(F.col(f"_top{k}") != lagged(f"_top{k}"), F.lit(True)).cast("int")
+    for name, k in (("15m", 20), ("1d", 500)):
+        frame = w.rowsBetween(-(k - 1), 0)
+        width = f"BB_Width_{name}"
+        low = F.when(F.count(width).over(frame) == k, F.percentile(width, F.lit(0.2)).over(frame))
+        more[f"BB_Squeeze_{name}"] = flag(F.col(width) < low)
+    for name, k in (("15m", 14), ("1d", 350)):
+        mean = full("_typical", k, F.avg)
+        values = F.collect_list("_typical").over(w.rowsBetween(-(k - 1), 0))
+        spread = F.aggregate(F.transform(values, _distance(mean)), F.lit(0.0), lambda a, x: a + x) / k
+        cci = F.coalesce(F.try_divide(F.col("_typical") - mean, 0.015 * spread), F.lit(0.0))
+        more[f"CCI_{name}"] = clip(F.when(mean.isNotNull(), cci), -500.0, 500.0)
+    df = df.withColumns(more)
+    counts = {n: full(f"_under{k}", k, F.sum) for n, k in (("Underwater_Periods_4h", 16), ("Underwater_Days", 500))}
+    df = df.withColumns(counts | {f"_run{k}": F.sum(f"_new{k}").over(upto()) for k in (16, 500)})
+    runs = {n: F.row_number().over(W.partitionBy("ticker", f"_run{k}").orderBy("ts")) - 1 for n, k in (("Periods_Since_Peak_4h", 16), ("Days_Since_Peak", 500))}
+    df = df.withColumns(runs)
+
+    # Wilder means of true range and directional movement, then of the index made of them
+    parts = ("_tr", "_pdm", "_ndm")
+    df = with_index(df).withColumns({f"_sum{x}": F.sum(F.when(F.col("_i") > 0, F.col(x))).over(upto()) for x in parts})
+    df = affine_scan(df, [wilder(f"_w{x}{k}", F.col(x), k, F.col(f"_sum{x}")) for k in (14, 350) for x in parts])
+    index = {}
+    for name, k in (("15m", 14), ("1d", 350)):
+        p, n = F.col(f"_w_pdm{k}"), F.col(f"_w_ndm{k}")  # the true range cancels out
+        index[f"_dx{k}"] = F.coalesce(100 * F.try_divide(F.abs(p - n), p + n), F.lit(0.0))
+        index[f"ATR_14_{name}"] = F.col(f"_w_tr{k}")
+        index[f"ATR_Ratio_{name}"] = F.try_divide(f"_w_tr{k}", c)
+    df = df.withColumns(index)
     df = df.withColumns({f"_sumdx{k}": F.sum(F.when(F.col("_i") >= k, F.col(f"_dx{k}"))).over(upto()) for k in (14, 350)})
-    df = affine_scan(df, [Recurrence(f"ADX_{k}", F.col(f"_dx{k}"), (k - 1) / k, 1 / k, 2 * k - 1, F.col(f"_sumdx{k}") / k) for k in (14, 350)])
-    keep = [x for x in df.columns if x[0] != "_" and x not in bars.columns and x not in NAMES and x != "Return"]
-    return df.select("ticker", "ts", *sorted(keep))
+    df = affine_scan(df, [Recurrence(f"ADX_{n}", F.col(f"_dx{k}"), (k - 1) / k, 1 / k, 2 * k - 1, F.col(f"_sumdx{k}") / k) for n, k in (("15m", 14), ("1d", 350))])
+    drop = {*bars.columns, *NAMES}
+    return df.select("ticker", "ts", *sorted(x for x in df.columns if x[0] != "_" and x not in drop))

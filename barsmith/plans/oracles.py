@@ -165,6 +165,56 @@ ORACLES["features_all"] = (
     + pick(rounded({n: n for n in [*ALL, *RSIS, *EMAS, *MACD_COLUMNS]} | RSI_EVENTS | MACD_EVENTS | {"OBV": f"sum(step) OVER ({W})", "Sharpe_Approx_4h": sharpe("Price_Change_15m", 16, 384.0)}, FLAGS))
     + " FROM joined"
 )
+
+# the optional preset
+_top = {k: full("close", k, "max") for k in (16, 500)}
+_clip = lambda x, a, b: f"CASE WHEN ({x}) IS NOT NULL THEN greatest({a}, least({b}, {x})) END"
+FIRST = {"ret": change("close", 1), "typical": "(high + low + close) / 3", "top16": _top[16], "top500": _top[500]}
+FIRST["tr"] = f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"
+FIRST["pdm"] = f"CASE WHEN high - {lag('high')} > {lag('low')} - low AND high - {lag('high')} > 0 THEN high - {lag('high')} ELSE 0 END"
+FIRST["ndm"] = f"CASE WHEN {lag('low')} - low > high - {lag('high')} AND {lag('low')} - low > 0 THEN {lag('low')} - low ELSE 0 END"
+FIRST |= {f"dev{k}": full("close", k, "stddev_pop") for k in (20, 500)} | {f"mean{k}": full("close", k, "avg") for k in (20, 500)}
+SECOND = {f"BB_Width_{n}": div(f"4 * dev{k}", f"mean{k} + 1e-6") for n, k in (("15m", 20), ("1d", 500))}
+SECOND |= {f"tm{k}": full("typical", k, "avg") for k in (14, 350)} | {f"tl{k}": f"list(typical) OVER ({W} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in (14, 350)}
+SECOND |= {f"under{k}": flag(f"close < top{k}") for k in (16, 500)} | {f"new{k}": f"CAST(coalesce(top{k} <> {lag(f'top{k}')}, TRUE) AS INTEGER)" for k in (16, 500)}
+SECOND |= {f"sum_{x}": f"sum(CASE WHEN rn > 0 THEN {x} END) OVER ({W})" for x in ("tr", "pdm", "ndm")}
+THIRD: dict[str, str] = {}
+for _n, _k in (("15m", 14), ("1h", 56), ("1d", 350)):
+    _hi, _lo = f"({full('high', _k, 'max')})", f"({full('low', _k, 'min')})"
+    THIRD[f"Williams_R_{_n}"] = _clip(f"{div(f'{_hi} - close', f'{_hi} - {_lo}')} * -100", "-100.0", "0.0")
+THIRD |= {"ROC_10_15m": f"{change('close', 10)} * 100", "ROC_10_1h": f"{change('close', 40)} * 100", "Price_Momentum_Div": f"{flag(change('close', 25) + ' > 0')} - {flag('RSI_15m > 50')}"}
+THIRD |= {f"Price_vs_EMA{n}": div("close", f"EMA_{n}") for n in ("21_15m", "21_1d", "50_1d")} | {f"MACD_Position_{n}": flag(f"MACD_{n} > MACD_Signal_{n}") for n in ("15m", "4h")}
+THIRD |= {n: full("close", k, "stddev_samp") for n, k in (("Std_10_15m", 10), ("Std_10_1d", 500), ("Std_20_15m", 20), ("Std_20_1d", 500))}
+for _n, _k in (("15m", 20), ("1d", 500)):
+    THIRD[f"BB_Position_{_n}"] = _clip(div(f"close - mean{_k} + 2 * dev{_k}", f"4 * dev{_k} + 1e-6"), "-3.0", "3.0")
+    THIRD[f"BB_Width_{_n}"] = f"BB_Width_{_n}"
+    THIRD[f"BB_Squeeze_{_n}"] = flag(f"BB_Width_{_n} < CASE WHEN count(BB_Width_{_n}) OVER ({W} ROWS BETWEEN {_k - 1} PRECEDING AND CURRENT ROW) = {_k} THEN quantile_cont(BB_Width_{_n}, 0.2) OVER ({W} ROWS BETWEEN {_k - 1} PRECEDING AND CURRENT ROW) END")
+THIRD["Volume_Ratio_10_15m"] = div("volume", f"({full('volume', 10, 'avg')}) + 1")
+THIRD["Volume_Spike_15m"] = flag(div("volume", "(" + full("volume", 20, "avg") + ") + 1") + " > 2")
+THIRD["Volume_Spike_1d"] = flag(div("volume", "(" + full("volume", 500, "avg") + ") + 1") + " > 1.5")
+THIRD["Volume_Change"] = _clip(change("volume", 1), "-0.99", "10.0")
+THIRD["Sharpe_Approx_20d"] = sharpe("ret", 500, 96.0 * 252)
+for _n, _k in (("4h", 16), ("20d", 500)):
+    THIRD[f"Distance_From_Peak_{_n}"] = f"({div('close', f'top{_k}')} - 1) * 100"
+for _n, _k in (("15m", 14), ("1d", 350)):
+    THIRD[f"CCI_{_n}"] = _clip(f"CASE WHEN tm{_k} IS NOT NULL THEN coalesce({div(f'typical - tm{_k}', f'0.015::DOUBLE * list_sum(list_transform(tl{_k}, lambda x: abs(x - tm{_k}))) / {_k}')}, 0) END", "-500.0", "500.0")
+    THIRD[f"ATR_14_{_n}"], THIRD[f"ATR_Ratio_{_n}"], THIRD[f"ADX_{_n}"] = f"tr{_k}", div(f"tr{_k}", "close"), f"adx{_k}"
+THIRD |= {n: full(f"under{k}", k, "sum") for n, k in (("Underwater_Periods_4h", 16), ("Underwater_Days", 500))}
+THIRD |= {f"run{k}": f"sum(new{k}) OVER ({W})" for k in (16, 500)}
+SINCE = {n: f"row_number() OVER (PARTITION BY ticker, run{k} ORDER BY ts) - 1" for n, k in (("Periods_Since_Peak_4h", 16), ("Days_Since_Peak", 500))}
+WHOLE = ("Price_Momentum_Div", "MACD_Position_15m", "MACD_Position_4h", "BB_Squeeze_15m", "BB_Squeeze_1d", "Volume_Spike_15m", "Volume_Spike_1d")
+MOVES = {f"{x}{k}": (k, f"b.sum_{x} / {k}", (k - 1) / k, 1 / k, f"b.{x}") for k in (14, 350) for x in ("tr", "pdm", "ndm")}
+INDEX = {f"adx{k}": (2 * k - 1, f"b.sum_dx{k} / {k}", (k - 1) / k, 1 / k, f"b.dx{k}") for k in (14, 350)}
+_dx = ", ".join(f"coalesce(100 * abs(pdm{k} - ndm{k}) / nullif(pdm{k} + ndm{k}, 0), 0) AS dx{k}" for k in (14, 350))
+_sdx = ", ".join(f"sum(CASE WHEN rn >= {k} THEN dx{k} END) OVER ({W}) AS sum_dx{k}" for k in (14, 350))
+ORACLES["features_optional"] = (
+    f"{recurrent(DAILY, 'ema', 'rsi', 'macd')}, one AS ({pick(FIRST, '*')} FROM bars), one2 AS (SELECT o.*, f.* EXCLUDE (ticker, ts) FROM one o JOIN feats f ON o.ticker = f.ticker AND o.ts = f.ts), two AS ({pick(SECOND, '*')} FROM one2), "
+    f"{recursion(MOVES, 'two', 'mov')}, dxs AS (SELECT *, {_dx} FROM mov), dx2 AS (SELECT *, {_sdx} FROM dxs), {recursion(INDEX, 'dx2', 'adx')}, "
+    "three AS (SELECT t.*, m.* EXCLUDE (ticker, ts, rn), a.* EXCLUDE (ticker, ts, rn) FROM two t JOIN mov m ON t.ticker = m.ticker AND t.rn = m.rn JOIN adx a ON t.ticker = a.ticker AND t.rn = a.rn), "
+    f"four AS ({pick(THIRD)} FROM three) "
+    + pick({n: n if n in WHOLE else r(n) for n in THIRD if not n.startswith("run")} | SINCE)
+    + " FROM four"
+)
 ORACLES["target"] = f"{DAILY} SELECT ticker, ts, {r(div(f'lead(close, 4) OVER ({W})', 'close') + ' - 1')} AS target FROM bars"
 
 # data sets

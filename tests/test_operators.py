@@ -75,15 +75,15 @@ def test_empty_bars(spark):
 def test_optional_features_by_value(spark):
     x = walk(120, 5)
     f = features.optional_features(frame(spark, x)).orderBy("ts").collect()
-    assert math.isclose(f[50]["ROC_10"], (x[50] / x[40] - 1) * 100)
+    assert math.isclose(f[50]["ROC_10_15m"], (x[50] / x[40] - 1) * 100)
     top, low = max(x[37:51]), min(x[37:51])
     assert math.isclose(f[50]["Williams_R_15m"], max(-100, min(0, (top - x[50]) / (top - low) * -100)), abs_tol=1e-9)
     tr = [0.0, *[abs(x[i] - x[i - 1]) for i in range(1, 120)]]
     atr = sum(tr[1:15]) / 14
     for i in range(15, 51):
         atr = (13 * atr + tr[i]) / 14
-    assert math.isclose(f[50]["ATR_14"], atr, rel_tol=1e-9)
-    assert f[50]["Underwater_16"] is None or 0 <= f[50]["Underwater_16"] <= 16
+    assert math.isclose(f[50]["ATR_14_15m"], atr, rel_tol=1e-9)
+    assert 0 <= f[50]["Underwater_Periods_4h"] <= 16
 
 
 def test_split_has_no_leakage(spark):

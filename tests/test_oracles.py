@@ -8,8 +8,8 @@ import pytest
 
 from barsmith.plans.registry import ORACLES, QUERIES
 
-#: Not expressible in SQL: trained models, seeded draws, batch numbers; and the optional preset, tested by value below.
-ROWS_ONLY = {"lr_scores", "mlp_scores", "resample_counts", "stream_signals", "features_optional"}
+#: Not expressible in SQL: trained models, seeded draws, batch numbers.
+ROWS_ONLY = {"lr_scores", "mlp_scores", "resample_counts", "stream_signals"}
 
 
 def test_all_others_have_sql():
