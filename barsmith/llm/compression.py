@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, raw, table
+from .common import bounded_batches, held_out, raw, table
 
 PER_CLASS, MAX_BYTES = 1_600, 50_000
 DICTIONARY_BYTES, LEVEL = 65_536, 3
@@ -106,6 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
 def with_quality(docs: DataFrame, model: Model | float) -> DataFrame:
     """``docs`` with score (0 to 1; a column of that name is replaced)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("score")
     if isinstance(model, float):
         return docs.withColumn("score", F.lit(model))

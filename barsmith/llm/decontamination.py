@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_words, raw, stored, table
+from .common import bounded_batches, plain_words, raw, stored, table
 
 WINDOW = 10
 #: Bytes of item text in one automaton (an item alone may have more).
@@ -168,8 +168,10 @@ def _through(docs: DataFrame, words: list[tuple[str, list[bytes]]], window: int)
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Columns of ``docs`` with _text (bytes), _spans and _items."""
-    out = docs.withColumns({"_text": raw(F.col("text")), "_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
+    """_row (the row of ``docs``), _text (bytes), _spans and _items."""
+    bounded_batches(docs.sparkSession)
+    out = docs.select(F.struct("*").alias("_row"))  # packed, so that no column's name can clash
+    out = out.select("_row", raw(F.col("_row.text")).alias("_text"), F.array().cast("array<int>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
     for block in item_blocks(items, block_bytes):
         out = _through(out, block, window)
     return out
@@ -184,9 +186,10 @@ def _words_of(docs: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids (array), contaminated: one row for each row of ``docs``."""
-    hits = _words_of(scan(docs.select("doc_id", "text").withColumn("text", F.col("text")), items, window, block_bytes).drop("text"))
+    hits = docs.select("doc_id", "text")
+    hits = _words_of(scan(hits, items, window, block_bytes))
     return hits.select(
-        "doc_id", F.col("_n").alias("n_words"), F.col("_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        "_row.doc_id", F.col("_n").alias("n_words"), F.col("_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
         F.col("_items").alias("item_ids"), (F.col("_hit") > 0).alias("contaminated"),
     )
 
@@ -212,8 +215,9 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, max
     kept = hits.where((F.col("_hit") <= max_hit) & (F.col("_hit") <= F.col("_n") * F.lit(max_share)))
     if max_hit and max_share:
         cut = F.pandas_udf(lambda t, s: t.combine(s, lambda x, y: x if x is None else cut_spans(x, list(y))), "string")
-        kept = kept.withColumn("text", F.when(F.col("_hit") > 0, cut("text", "_spans")).otherwise(F.col("text")))
-    return kept.select(*docs.columns)
+        text = F.when(F.col("_hit") > 0, cut("_row.text", "_spans")).otherwise(F.col("_row.text"))
+        kept = kept.withColumn("_row", F.col("_row").withField("text", text))
+    return kept.select("_row.*")
 
 
 def op3_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

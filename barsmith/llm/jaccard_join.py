@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import raw, space_words, stored, table
+from .common import bounded_batches, raw, space_words, stored, table
 from .components import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -267,6 +267,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_key, component_id: a row for each row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     rows = stored(_first_pass(docs), "shingles")
     first = F.first("n").alias("n"), F.first("zone").alias("zone")
     classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("min_id"), *first)
@@ -325,13 +326,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     without shingles or without an id all stay."""
     found = similarity_classes(docs)
     go = found.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    same = (F.col("doc_id").cast("long") == F.col("_gone")) & (F.xxhash64("text") == F.col("_hash"))
-    kept = docs.join(go, same, "left_anti")
-    again = found.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    rows = docs.select(F.struct("*").alias("_row"))  # packed, so that no column's name can clash
+    rows = rows.select("_row", F.col("_row.doc_id").cast("long").alias("_id"), F.xxhash64("_row.text").alias("_text"))
+    kept = rows.join(go, (F.col("_id") == F.col("_gone")) & (F.col("_text") == F.col("_hash")), "left_anti")
+    again = found.where("n_shingles > 0 AND doc_id = component_id").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return kept.select("_row.*")
+    several = F.col("_id") == F.col("_again")
+    once = kept.join(again, several, "left_semi").dropDuplicates(["_id", "_text"])
+    return kept.join(again, several, "left_anti").unionByName(once).select("_row.*")
 
 
 def op7_combination_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:

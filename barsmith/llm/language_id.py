@@ -23,17 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import bounded_batches, held_out, table
 
 #: Rows of each language that are learned from.
-PER_LANGUAGE = 1_500
+PER_LANGUAGE = 500
 LONGEST = 5
 #: A word or n-gram counts as known from so many occurrences in the sample on.
 KNOWN = 2
 #: Occurrences that every language has of everything known.
 SMOOTH = 0.1
 #: Unseen words that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -87,7 +87,7 @@ class Model:
             own = found[found["n"] == n]
             codes, names = pd.factorize(own["gram"])
             table = np.full((len(names), len(at)), SMOOTH, dtype=np.float64)
-            np.add.at(table, (codes, own["lang"].map(at).to_numpy()), own["count"].to_numpy())
+            np.add.at(table, (codes, own["lang"].map(at).to_numpy(dtype=np.int64)), own["count"].to_numpy(dtype=np.float64))
             total = table.sum(axis=0) + 1
             self.rows.append({g: i for i, g in enumerate(names)})
             self.logs.append(np.log(table / total).astype(np.float32))
@@ -101,7 +101,7 @@ class Model:
 
     def predict(self, text: str | None, memory: dict[str, np.ndarray | None]) -> tuple[str, float]:
         words = Counter(words_of(text)) if text and self.languages else None
-        if not words:
+        if not words or not any(c.isalpha() for w in words for c in w):  # words may be numbers such as superscripts
             return "und", 0.0
         known, times, total = [], [], np.zeros(len(self.languages))
         get = self.rows[0].get
@@ -125,6 +125,7 @@ class Model:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """From ``docs`` (doc_id, text, lang)."""
+    bounded_batches(docs.sparkSession)
     found = counts(sample(docs.select("doc_id", "text", "lang"), per_language))
     known = found.withColumn("_all", F.sum("count").over(W.partitionBy("n", "gram"))).where(F.col("_all") >= KNOWN).drop("_all")
     return Model(known.toPandas())
@@ -132,6 +133,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 def with_language(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the predicted language and its score under ``names`` (columns of these names are replaced)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_words, raw, table
+from .common import bounded_batches, plain_words, raw, table
 
 # Phrases that name a license, with its label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -148,6 +148,7 @@ def word_counts(docs: DataFrame, index: Index) -> tuple[int, dict[bytes, int]]:
 
 def licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     index = Index(templates)
     index.weigh(*word_counts(docs, index))
     shared = docs.sparkSession.sparkContext.broadcast(index)

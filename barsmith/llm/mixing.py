@@ -129,10 +129,11 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
     taken = copies(docs, weights, most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("source").alias("_s"), F.col("copies").alias("_copies"))
-    d = docs.withColumn("_hash", F.xxhash64("text"))
-    same = d["doc_id"].eqNullSafe(taken["_id"]) & (d["_hash"] == taken["_h"]) & d["source"].eqNullSafe(taken["_s"])
-    repeated = d.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return repeated.select(*[d[c] for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("_row"))  # packed, so that no column's name can clash
+    rows = rows.withColumn("_hash", F.xxhash64("_row.text"))
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & F.col("_row.source").eqNullSafe(F.col("_s"))
+    repeated = rows.join(taken, same).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return repeated.select("_row.*")
 
 
 def op2_pivotal_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:

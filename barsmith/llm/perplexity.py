@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import raw, space_words, stored, table
+from .common import bounded_batches, raw, space_words, stored, table
 
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
@@ -151,6 +151,7 @@ class Model:
 
 def fit(docs: DataFrame) -> Model:
     """From all texts of ``docs`` (text). Spark counts; the driver gets tables of at most 2**24 entries."""
+    bounded_batches(docs.sparkSession)
     grams = stored(gram_counts(docs), "grams")
     suffix = grams.groupBy((F.col("gram").bitwiseAND(0xFFFFFF)).alias("s")).agg(F.count("*").alias("n")).orderBy("s").toArrow()
     model = Model(suffix["s"].to_numpy(), suffix["n"].to_numpy())
@@ -206,6 +207,7 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, the base features, n_bytes and log_p (of the whole text) for each row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

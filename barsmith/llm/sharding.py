@@ -30,11 +30,11 @@ OVERFULL, ROUNDS, PARTS = 2.0, 6, 8
 K1, K2, SIZE, TIMES = "_shard_k1", "_shard_k2", "_shard_size", "_shard_times"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with its two order keys and its size."""
-    text = F.coalesce("text", F.lit(""))
+def _keyed(docs: DataFrame, at: str = "") -> DataFrame:
+    """``docs`` with its two order keys and its size; ``at``: the struct that holds doc_id and text."""
+    text = F.coalesce(f"{at}text", F.lit(""))
     return docs.withColumns(
-        {K1: F.xxhash64(text), K2: F.xxhash64("doc_id", F.lit(17)), SIZE: F.octet_length(text).cast("long") + 1}
+        {K1: F.xxhash64(text), K2: F.xxhash64(f"{at}doc_id", F.lit(17)), SIZE: F.octet_length(text).cast("long") + 1}
     )
 
 
@@ -150,9 +150,10 @@ def shard_records(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     units = _units(docs)
     plan = Plan(units)
     each = _expanded(plan, units, n_shards)
-    placed = plan.place(_keyed(docs).withColumn(TIMES, F.lit(1).cast("long")))
+    rows = docs.select(F.struct("*").alias("_doc"))  # packed, so that no column's name can clash
+    placed = plan.place(_keyed(rows, "_doc.").withColumn(TIMES, F.lit(1).cast("long")))
     placed = placed.withColumn("shard", plan.shard(F.col("_pos"), n_shards))
-    return _slotted(placed, each).select(*docs.columns, "shard", "slot")
+    return _slotted(placed, each).select("_doc.*", "shard", "slot")
 
 
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw, table
+from .common import bounded_batches, raw, table
 from .html_extraction import all_text
 
 HTML, TEXT = ("text/html", "application/xhtml+xml"), ("text/plain",)
@@ -85,6 +85,7 @@ def derived(source_id: str | None, uri: str | None, date: str | None, headers: s
 def derivatives(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Metadata and conversion records of response ``records`` (record_id, target_uri, warc_date, http_headers, payload,
     block_digest, payload_digest), with the columns of ``keep`` before them."""
+    bounded_batches(records.sparkSession)
     columns = ("record_id", "target_uri", "warc_date", "http_headers", "payload", "block_digest", "payload_digest")
     narrow = records.select(*[F.col(c).alias(f"_keep_{c}") for c in keep], *columns)
     kept = [(f"_keep_{c}", c, narrow.schema[f"_keep_{c}"].dataType.simpleString()) for c in keep]
