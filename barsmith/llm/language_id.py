@@ -32,8 +32,6 @@ LONGEST = 5
 KNOWN = 2
 #: Occurrences that every language has of everything known.
 SMOOTH = 0.1
-#: Unseen words that a task remembers.
-REMEMBERED = 50_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -92,33 +90,35 @@ class Model:
             self.rows.append({g: i for i, g in enumerate(names)})
             self.logs.append(np.log(table / total).astype(np.float32))
 
-    def unseen(self, word: str) -> np.ndarray | None:
-        for n in range(LONGEST, 0, -1):
-            rows = [r for r in map(self.rows[n].get, grams(word, n)) if r is not None]
-            if rows:
-                return self.logs[n][rows].mean(axis=0)
-        return None
-
-    def predict(self, text: str | None, memory: dict[str, np.ndarray | None]) -> tuple[str, float]:
-        words = Counter(words_of(text)) if text and self.languages else None
-        if not words or not any(c.isalpha() for w in words for c in w):  # words may be numbers such as superscripts
-            return "und", 0.0
-        known, times, total = [], [], np.zeros(len(self.languages))
-        get = self.rows[0].get
+    def evidence(self, words: Counter) -> np.ndarray:
+        """Summed log frequencies of the words in each language. A known word counts once; an unseen one as the mean of
+        its known n-grams of the longest length that has any."""
+        rows: list[list[int]] = [[] for _ in self.rows]
+        weights: list[list[float]] = [[] for _ in self.rows]
+        word_row = self.rows[0].get
         for w, c in words.items():
-            r = get(w)
+            r = word_row(w)
             if r is not None:
-                known.append(r)
-                times.append(c)
+                rows[0].append(r)
+                weights[0].append(c)
                 continue
-            if w not in memory:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                memory[w] = self.unseen(w)
-            if memory[w] is not None:
-                total += c * memory[w]
-        if known:
-            total += np.array(times, dtype=np.float64) @ self.logs[0][known]
+            for n in range(LONGEST, 0, -1):
+                found = [x for x in map(self.rows[n].get, grams(w, n)) if x is not None]
+                if found:
+                    rows[n] += found
+                    weights[n] += [c / len(found)] * len(found)
+                    break
+        total = np.zeros(len(self.languages))
+        for r, w, logs in zip(rows, weights, self.logs, strict=True):
+            if r:
+                total += np.array(w) @ logs[r]
+        return total
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        words = Counter(words_of(text)) if text and self.languages else None
+        if not words or not any(c.isalpha() for w in words for c in w):  # words may be numbers such as superscripts
+            return "und", 0.0
+        total = self.evidence(words)
         best = int(total.argmax())
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -138,9 +138,9 @@ def with_language(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, memory = shared.value, {}
+        own = shared.value
         for texts in batches:
-            yield pd.DataFrame([own.predict(t, memory) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     found = predict("text")
     out = docs.drop(*names).withColumn("_language", found)

@@ -192,9 +192,9 @@ def test_classifiers_on_held_out_rows(spark, data):
 def test_unseen_words_back_off(spark):
     rows = [(i, "walking talking thinking", "en") for i in range(40)] + [(100 + i, "gehen sprechen denken", "de") for i in range(40)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert model.predict("walking", {})[0] == "en" and model.predict("drinking", {})[0] == "en"
-    assert model.predict("lenken", {})[0] == "de"
-    assert model.predict("123", {}) == ("und", 0.0)
+    assert model.predict("walking")[0] == "en" and model.predict("drinking")[0] == "en"
+    assert model.predict("lenken")[0] == "de"
+    assert model.predict("123") == ("und", 0.0)
 
 
 def test_license_places_and_templates():
