@@ -167,11 +167,12 @@ def _through(docs: DataFrame, words: list[tuple[str, list[bytes]]], window: int)
     return docs.select(*kept, "_spans", "_items").mapInArrow(run, docs.select(*kept, "_spans", "_items").schema)
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """_row (the row of ``docs``), _text (bytes), _spans and _items."""
+def scan(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("*",), window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """_row (the columns ``keep`` of ``docs``), _text (bytes), _spans and _items."""
     bounded_batches(docs.sparkSession)
-    out = docs.select(F.struct("*").alias("_row"))  # packed, so that no column's name can clash
-    out = out.select("_row", raw(F.col("_row.text")).alias("_text"), F.array().cast("array<int>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
+    row = F.struct(*keep).alias("_row")  # packed, so that no column's name can clash
+    none = F.array().cast("array<int>").alias("_spans"), F.array().cast("array<string>").alias("_items")
+    out = docs.select(row, raw(docs["text"]).alias("_text"), *none)
     for block in item_blocks(items, block_bytes):
         out = _through(out, block, window)
     return out
@@ -186,8 +187,7 @@ def _words_of(docs: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids (array), contaminated: one row for each row of ``docs``."""
-    hits = docs.select("doc_id", "text")
-    hits = _words_of(scan(hits, items, window, block_bytes))
+    hits = _words_of(scan(docs, items, ("doc_id",), window, block_bytes))
     return hits.select(
         "_row.doc_id", F.col("_n").alias("n_words"), F.col("_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
         F.col("_items").alias("item_ids"), (F.col("_hit") > 0).alias("contaminated"),
@@ -211,7 +211,7 @@ def cut_spans(text: str, spans: list[int]) -> str:
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_hit: int = 0, max_share: float = 0.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of ``docs`` without those that have more than ``max_hit`` hit words or more than ``max_share`` of their words
     hit; from those within both limits the hit spans are cut. With the limits at 0, every document with a hit goes."""
-    hits = _words_of(scan(docs, items, window, block_bytes))
+    hits = _words_of(scan(docs, items, ("*",), window, block_bytes))
     kept = hits.where((F.col("_hit") <= max_hit) & (F.col("_hit") <= F.col("_n") * F.lit(max_share)))
     if max_hit and max_share:
         cut = F.pandas_udf(lambda t, s: t.combine(s, lambda x, y: x if x is None else cut_spans(x, list(y))), "string")
