@@ -77,7 +77,7 @@ def _noise(name: str, a: dict[str, str], names: frozenset[str], in_article: bool
         return True
     if a.get("role") in ROLES or names & NOISE:
         return True
-    return not in_article and bool(names & OUTER_NOISE)
+    return not in_article and bool(names & OUTER_NOISE) and not names & LIKELY  # an entry's header is not the page's
 
 
 def parse(page: str, keep_all: bool = False) -> Node:
@@ -266,22 +266,21 @@ def _best(root: Node) -> list[Node]:
         if up.name == "article" or up.name == "main" and (main is None or main.name != "article"):
             main = up
         up = up.parent
-    if main is not None and main.name == "article":
-        return [main]
     if main is not None:
         return [main]
     if top.parent is None or top.name in ("body", "html"):
         return [top]
     least = max(5.0, worth(top) * 0.2)
-    kept = []
+    kept: list[Node] = []
     for x in top.parent.children:
         if not isinstance(x, Node):
             continue
+        titled = top not in kept and any(n.name in ("h1", "h2") for n, leaving in _walk(x) if not leaving)  # a title's wrapper
         density = x.link / max(1, x.size)
         similar = x.names and x.names == top.names
         if x is top or worth(x) + (worth(top) * 0.2 if similar else 0) >= least:
             kept.append(x)
-        elif x.name in ("p", "pre", "blockquote", "ul", "ol", "table", *HEADINGS) and density < 0.25 and x.size:
+        elif (titled or x.name in ("p", "pre", "blockquote", "ul", "ol", "table", *HEADINGS)) and density < 0.25 and x.size:
             kept.append(x)
     return kept
 

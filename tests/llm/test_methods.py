@@ -220,6 +220,12 @@ def test_html_keeps_the_article_only():
     assert html_extraction.main_text(PAGE) == "Head & line\nFirst, with commas, and long enough to count as text.\nSecond one, too, a link inside it é.\none\ntwo"
 
 
+def test_html_keeps_the_title_of_an_entry():
+    page = """<body><div class="header">Site</div><div class="post"><div class="post-header"><h1>Title, here</h1></div><div class="post-body">
+    <p>Text one, long, and long again, for points.</p><p>Text two.</p></div><div class="post-meta">by me</div></div><div class="related-posts"><p>Other, things, to, read.</p></div></body>"""
+    assert html_extraction.main_text(page) == "Title, here\nText one, long, and long again, for points.\nText two."
+
+
 def test_html_equals_the_articles_of_the_pages(spark, data):
     import html
 
