@@ -1,10 +1,12 @@
 """License scan with a positional index of rare tokens.
 
 Templates of license notices are indexed word by word: a posting is (template, position). How rare a license word is,
-is counted over all documents. A file's rarest license words are looked up; a posting and a place in the file agree on
-where the template would start, and starts that enough rare words agree on (give or take SLACK words) are candidates.
-A candidate counts if the words there cover enough of the template and the template's key phrases stand in the
-same stretch. Phrases that name a license outright are found at every place besides.
+is counted over all documents. A key phrase is looked up by its rarest word, at every place in the file. Around the places
+of a template's key phrase all its words are looked up: a posting and a place in the file agree on where the template would
+start, and starts that enough words agree on (give or take SLACK words) are candidates. A candidate counts if the words
+there cover enough of the template and the template's key phrases stand in the same stretch. No word or place is left
+out: a key phrase has AGREE words or more, so each of its places has a candidate. Phrases that name a license outright are
+found at every place besides.
 
 Null and empty texts have no words and no labels; repeated rows each get their result; an empty table gives no rows;
 extra columns play no part. Model and index are bounded by the templates.
@@ -44,8 +46,8 @@ TEMPLATES = (
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights", ("waived all copyright",)),
 )
 
-#: A file's rarest license words that are looked up; those of them that must agree on a start; words a start may be off.
-RAREST, AGREE, SLACK = 16, 2, 2
+#: Words that must agree on a start; words a start may be off.
+AGREE, SLACK = 2, 2
 #: Least share of a template's words found in order of place.
 COVER = 0.6
 
@@ -59,38 +61,51 @@ class Index:
         for t, words in enumerate(self.words):
             for i, w in enumerate(words):
                 self.postings[w].append((t, i))
-        self.idf: dict[bytes, float] = dict.fromkeys(self.postings, 0.0)
+        self.places: list[dict[bytes, list[int]]] = [defaultdict(list) for _ in templates]  # postings by template
+        for w, found in self.postings.items():
+            for t, i in found:
+                self.places[t][w].append(i)
+        self.weigh(0, {})
 
     def weigh(self, n_docs: int, found: dict[bytes, int]) -> None:
-        """Sets how rare each word is, from the number of documents that hold it."""
+        """Sets how rare each word is, from the number of documents that hold it, and with it the words to look up."""
         self.idf = {w: math.log((n_docs + 1) / (found.get(w, 0) + 1)) for w in self.postings}
+        self.anchors: dict[bytes, list[tuple[tuple[bytes, ...], int]]] = defaultdict(list)
+        for key in dict.fromkeys(k for keys in self.keys for k in keys):
+            words = tuple(key.split())
+            at = max(range(len(words)), key=lambda i: self.idf.get(words[i], math.inf))
+            self.anchors[words[at]].append((words, at))
+
+    def key_places(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """Key phrases that stand in the file, each with all its places."""
+        found: dict[bytes, list[int]] = defaultdict(list)
+        own = self.anchors.keys() & set(words)
+        if own:
+            for i, w in enumerate(words):
+                if w in own:
+                    for key, at in self.anchors[w]:
+                        if i >= at and tuple(words[i - at : i - at + len(key)]) == key:
+                            found[b" ".join(key)].append(i - at)
+        return found
 
     def candidates(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(template, start) that enough of the file's rarest license words agree on."""
-        own = self.idf.keys() & set(words)
-        if len(own) < AGREE:
-            return
-        rare = set(sorted(own, key=lambda w: (-self.idf[w], w))[:RAREST])
-        votes: Counter = Counter()
-        for i, w in enumerate(words):
-            if w in rare:
-                for t, at in self.postings[w]:
-                    votes[t, i - at] += 1
-        starts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for (t, s), n in votes.items():
-            starts[t].append((s, n))
-        for t, found in starts.items():
-            found.sort()
-            low = total = 0
-            ends = -(10**9)
-            wanted = min(AGREE, len(self.words[t]))
-            for s, n in found:
-                total += n
-                while found[low][0] < s - SLACK:
-                    total -= found[low][1]
-                    low += 1
-                if total >= wanted and s > ends + SLACK:
-                    ends = s
+        """(template, start) that enough words agree on, of the starts whose stretch can hold the key phrases."""
+        standing = self.key_places(words)
+        for t, keys in enumerate(self.keys):
+            if not words or not all(k in standing for k in keys):
+                continue
+            n, starts = len(self.words[t]), set(range(-SLACK, len(words)))
+            if keys:
+                key = min(keys, key=lambda k: len(standing[k]))
+                first = len(key.split()) - n - 2 * SLACK
+                starts = {s for p in standing[key] for s in range(p + first, p + SLACK + 1)}
+            votes: Counter = Counter()
+            for i in range(max(0, min(starts) - SLACK), min(len(words), max(starts) + n)):
+                for at in self.places[t].get(words[i], ()):
+                    votes[i - at] += 1
+            wanted = min(AGREE, n)
+            for s in sorted(starts):
+                if sum(votes.get(s - k, 0) for k in range(SLACK + 1)) >= wanted:
                     yield t, s
 
     def cover(self, words: list[bytes], t: int, start: int) -> float:

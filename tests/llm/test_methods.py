@@ -210,6 +210,15 @@ def test_license_places_and_templates():
     assert index.scan(b"Licensed under CC BY-NC 4.0".lower().replace(b"-", b" ").replace(b".", b" ").split())[0] == {"cc-by-nc"}
 
 
+def test_all_licenses_of_one_long_text():
+    index = licenses.Index()
+    prose = [b"w%d" % i for i in range(300)]
+    words = [w for t in licenses.TEMPLATES for w in (*prose, *t[1].encode().split())]
+    for weights in ({}, {b"gnu": 9, b"mit": 9, b"lesser": 9}):
+        index.weigh(10, weights)
+        assert index.scan(words) == ({t[0] for t in licenses.TEMPLATES}, 1.0)
+
+
 PAGE = """<html><head><title>T</title><script>var x = "<p>no</p>";</script></head><body><header>Site</header><nav><ul><li>menu</ul></nav>
 <div class="cookie-notice"><p>We use cookies, as all do, and we say so.</p></div><div id="main"><div class="sidebar"><p>More, from, here.</p></div>
 <div class="story"><h1>Head &amp; line</h1><p>First, with commas, and long enough to count as text.<p>Second one, too, <a href="x">a link</a> inside it &eacute;.<ul><li>one<li>two</ul></div></div>
