@@ -4,9 +4,9 @@ Every text is scored by the model, per byte and per word. In each language, docu
 band around the language's median are rejected; the band is as wide as chance allows at the document's length, and its
 scale is the language's median deviation. Counts, medians and deviations cover all documents.
 
-The four-byte table is kept as sorted 24-bit hashes with their log probabilities (grams that share a hash share the
-mean), lower orders as sorted codes of at most 24 bits: a model has at most 2**24 entries in each table, whatever the
-corpus. Sums, medians and draws don't depend on partitions.
+The four-byte table is kept as exact 32-bit codes with their log probabilities, found by hash and compared, so an unseen
+gram always backs off; it grows with the grams of the corpus. Lower orders are sorted codes of at most 24 bits. Medians and
+draws don't depend on partitions.
 
 Null and empty texts have no words, fail the base rules and are not kept; a null language is a language of its own;
 repeated rows count as often as they occur; an empty table gives no rows; extra columns play no part.
@@ -43,9 +43,41 @@ def codes(text: bytes) -> np.ndarray:
     return (a[:-3] << 24) | (a[1:-2] << 16) | (a[2:-1] << 8) | a[3:]
 
 
-def slots(code: np.ndarray) -> np.ndarray:
-    """24-bit hashes of four-byte codes."""
-    return (code.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(8)
+def slots(code: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes of four-byte codes."""
+    return (code.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - bits)
+
+
+class Grams:
+    """Exact codes by hash: those that share a slot stand in a row, and each is compared."""
+
+    def __init__(self, grams: np.ndarray, log: np.ndarray):
+        self.bits = max(16, min(32, len(grams).bit_length() + 1))
+        own = slots(grams, self.bits)
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        self.grams = np.append(grams[order], np.uint32(0)).astype(np.uint32)
+        self.log = np.append(log[order], np.float32(np.nan)).astype(np.float32)
+        self.slots = np.append(own.astype(np.int64), -1)  # the last row ends the search
+        self.first = np.full(1 << self.bits, len(grams), dtype=np.uint32)
+        starts = np.flatnonzero(np.diff(own, prepend=own[:1] + np.uint32(1)))
+        self.first[own[starts]] = starts
+
+    def find(self, code: np.ndarray) -> np.ndarray:
+        """Log probabilities, NaN where a code is not in the table."""
+        out = np.full(len(code), np.nan, dtype=np.float32)
+        slot = slots(code, self.bits)
+        at = self.first[slot]
+        hit = (self.grams[at] == code) & (self.slots[at] >= 0)
+        out[hit] = self.log[at[hit]]
+        left = np.flatnonzero(~hit)
+        while len(left):
+            left = left[self.slots[at[left]] == slot[left]]
+            at[left] += np.uint32(1)
+            hit = (self.grams[at[left]] == code[left]) & (self.slots[at[left]] >= 0)
+            out[left[hit]] = self.log[at[left[hit]]]
+            left = left[~hit]
+        return out
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -116,7 +148,7 @@ class Model:
             self.levels.append(Level(g, c, below))
         self.context = np.empty(0, dtype=np.int64)
         self.gamma = np.empty(0)
-        self.slots, self.log = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.float32)
+        self.grams, self.log = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.float32)
 
     def lower(self, code: np.ndarray, order: int = 3) -> np.ndarray:
         """Log probability of the last byte after the order - 1 bytes before it, backing off where unseen."""
@@ -131,15 +163,12 @@ class Model:
             out[miss] = self.lower(code[miss], order - 1) + np.where(known, lv.gamma[ctx] if len(lv.gamma) else 0, 0)
         return out
 
-    def index(self) -> np.ndarray:
-        """Log probabilities by slot, NaN where there is none."""
-        dense = np.full(1 << 24, np.nan, dtype=np.float32)
-        dense[self.slots] = self.log
-        return dense
+    def index(self) -> Grams:
+        return Grams(self.grams, self.log)
 
-    def log_p(self, code: np.ndarray, dense: np.ndarray) -> float:
+    def log_p(self, code: np.ndarray, grams: Grams) -> float:
         """Sum over the bytes of a text."""
-        p = dense[slots(code)]
+        p = grams.find(code)
         total = float(np.nansum(p, dtype=np.float64))
         miss = np.isnan(p)
         if miss.any():
@@ -150,7 +179,7 @@ class Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """From all texts of ``docs`` (text). Spark counts; the driver gets tables of at most 2**24 entries."""
+    """From all texts of ``docs`` (text). Spark counts; the driver gets a row for each different gram, context and suffix."""
     bounded_batches(docs.sparkSession)
     grams = stored(gram_counts(docs), "grams")
     suffix = grams.groupBy((F.col("gram").bitwiseAND(0xFFFFFF)).alias("s")).agg(F.count("*").alias("n")).orderBy("s").toArrow()
@@ -169,10 +198,10 @@ def fit(docs: DataFrame) -> Model:
             g, c = batch["gram"].to_numpy(), batch["c"].to_numpy()
             at = np.searchsorted(own.context, g >> 8)
             p = (c - d[np.minimum(c, 3)]) / totals[at] + np.exp(own.gamma[at] + own.lower(g))
-            yield pa.RecordBatch.from_arrays([pa.array(slots(g).astype(np.int64)), pa.array(c), pa.array(c * np.log(p))], names=["slot", "c", "log"])
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.log(p))], names=["gram", "log"])
 
-    top = grams.mapInArrow(run, "slot long, c long, log double").groupBy("slot").agg((F.sum("log") / F.sum("c")).alias("log")).orderBy("slot").toArrow()
-    model.slots, model.log = top["slot"].to_numpy().astype(np.uint32), top["log"].to_numpy().astype(np.float32)
+    top = grams.mapInArrow(run, "gram long, log double").orderBy("gram").toArrow()
+    model.grams, model.log = top["gram"].to_numpy().astype(np.uint32), top["log"].to_numpy().astype(np.float32)
     return model
 
 
@@ -212,12 +241,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        dense = own.index()
+        grams = own.index()
         for batch in batches:
             rows = []
             for text in batch["_text"]:
                 t = text.as_py()
-                rows.append((*base_features(t), len(t), own.log_p(codes(t), dense) if t else 0.0))
+                rows.append((*base_features(t), len(t), own.log_p(codes(t), grams) if t else 0.0))
             found = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], *[pa.array(x, pa.int64()) for x in found[:6]], pa.array(found[6], pa.float64())], names=["doc_id", "lang", *FEATURES, "n_bytes", "log_p"])
 

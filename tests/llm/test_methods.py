@@ -159,6 +159,21 @@ def test_kneser_ney_is_a_distribution(spark):
         assert math.isclose(sum(p), 1, rel_tol=1e-3)
 
 
+def test_unseen_grams_back_off_whatever_their_hash():
+    r = np.random.default_rng(4)
+    every = r.permutation(np.unique(r.integers(0, 1 << 32, 400_000, dtype=np.uint32)))
+    seen, unseen = every[:200_000], every[200_000:]
+    for n in (0, 1, 200_000):
+        own = perplexity.Grams(seen[:n], np.arange(n, dtype=np.float32))
+        assert (own.find(seen[:n]) == np.arange(n)).all()
+        assert np.isnan(own.find(unseen)).all()
+    shared = np.uint32(pow(2654435761, -1, 1 << 32))  # its hash is 1: the top bits are those of code 0
+    model = perplexity.Model(np.array([int(shared) & 0xFFFFFF]), np.array([1]))
+    model.grams, model.log = np.array([shared]), np.array([-0.5], dtype=np.float32)
+    assert model.log_p(np.array([shared]), model.index()) == -0.5
+    assert model.log_p(np.array([0], dtype=np.uint32), model.index()) < -3
+
+
 def test_base_features():
     text = "one two three four five six seven eight # one two three four five six seven eight\n\nx\nx \nx".encode()
     n, chars, symbols, dup, rep = perplexity.base_features(text)
