@@ -204,6 +204,11 @@ def test_classifiers_on_held_out_rows(spark, data):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
 
 
+def test_language_sample_is_not_cut(spark):
+    docs = spark.range(4400).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    assert {r["lang"]: r["count"] for r in language_id.sample(docs).groupBy("lang").count().collect()} == {"en": 1500, "de": 1500}
+
+
 def test_unseen_words_back_off(spark):
     rows = [(i, "walking talking thinking", "en") for i in range(40)] + [(100 + i, "gehen sprechen denken", "de") for i in range(40)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
