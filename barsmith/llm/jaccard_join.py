@@ -7,10 +7,10 @@ these is rare, and the rare token alone is an index key, or all are frequent, an
 hash classes: pairs of frequent tokens of one hash class are the other keys. The number of keys grows with the prefix,
 not with its square, and common passages bring nobody together whose text is not mostly common.
 
-Keys only say which sets to compare: each is tied to the least set with that key, connected sets form a cluster, and
-within clusters exact intersections decide. A cluster is cut into blocks of bounded size that all hold the cluster's hub;
-only sets that are not connected to the hub have to meet the other blocks. No pair list is ever made, and no group is
-gathered whole.
+Keys only say which sets to compare: sets that are connected by keys form a cluster, and within clusters exact
+intersections decide. A cluster is cut into blocks of bounded size that all hold the cluster's hub; after that, only sets
+that share a key with a set of another component than their own have to meet the blocks where such sets are. No pair list
+is ever made, and no group is gathered whole.
 
 Before that, most sets are cleared by the part of the hash space below ZONE alone: a set with more tokens there that no
 other set has than a similar set could lack has no partner. Only the others, the suspects, are counted in full, and only
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, raw, space_words, stored, table
+from .common import bounded_batches, discarded, raw, space_words, stored, table
 from .components import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -265,6 +265,30 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(sets, "set_key").groupBy("set_key", "min_id", "n").agg(F.first("tokens").alias("tokens"))
 
 
+def _links_across(sets: DataFrame, large: DataFrame, keys: DataFrame, linked: DataFrame) -> DataFrame:
+    """(node, key): links between different blocks of the clusters in ``large`` (set_key, n, cluster, block).
+
+    What isn't connected yet can only be linked through a key that sets of several components have: a set outside its
+    hub's component meets the blocks in which a set has such a key in common with it."""
+    root = connected_components(linked)
+    at = keys.join(large, "set_key").join(root, F.col("set_key") == F.col("node"), "left")
+    at = at.select("set_key", "n", "key", "cluster", "block", F.coalesce("component", "set_key").alias("root"))
+    several = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    at = stored(at.join(several, "key"), "open-keys")
+    hubs = large.select(F.col("cluster").alias("node")).distinct().join(root, "node").select(F.col("node").alias("cluster"), F.col("component").alias("hub_root"))
+    asking = at.join(hubs, "cluster", "left").where("root <> coalesce(hub_root, cluster)").select("set_key", "n", "key", "cluster", F.col("block").alias("own"))
+    meetings = asking.join(at.select("key", "block").distinct(), "key").where("block <> own").select("set_key", "n", "cluster", "block").distinct()
+    meetings = stored(meetings, "meetings")
+    parts = meetings.groupBy("cluster", "block").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).alias("parts"))
+    meetings = meetings.join(parts, ["cluster", "block"]).withColumn("query_block", F.pmod(F.xxhash64("set_key", F.lit(1)), F.col("parts")))
+    meetings = meetings.select("cluster", "block", "query_block", "set_key")
+    queries = meetings.join(sets.select("set_key", "tokens"), "set_key").withColumn("query", F.lit(1))
+    asked = meetings.select("cluster", "block", "query_block").distinct()
+    blocks = asked.join(sets.select("cluster", "block", "set_key", "tokens"), ["cluster", "block"]).withColumn("query", F.lit(0))
+    links = _across_blocks(queries.unionByName(blocks))
+    return links.select(F.col("a").alias("node"), F.col("b").alias("key")).union(links.select(F.col("b").alias("node"), F.col("b").alias("key")))
+
+
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_key, component_id: a row for each row of ``docs`` (doc_id, text)."""
     bounded_batches(docs.sparkSession)
@@ -281,19 +305,19 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     sets = stored(_sets(docs, stored(suspects.select("set_key", "min_id", "n"), "suspects")), "sets")
 
     # in how many of them each token is; what only one has brings nobody together
-    df = F.count("*").over(W.partitionBy("token"))
-    shared = _all_postings(sets).withColumn("df", df).where("df > 1").groupBy("set_key").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
-    shared = shared.join(sets.select("set_key", "n"), "set_key")
-    hub = F.min("set_key").over(W.partitionBy("key"))
-    ties = _keys(shared).withColumn("hub", hub).where("hub <> set_key").select(F.col("set_key").alias("a"), F.col("hub").alias("b"))
+    held = stored(_all_postings(sets), "postings")
+    counts = held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = held.join(counts, "token").groupBy("set_key").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
+    keys = stored(_keys(shared.join(sets.select("set_key", "n"), "set_key")), "keys")
+    discarded(held)
 
-    clusters = connected_components(ties).select(F.col("node").alias("set_key"), F.col("component").alias("cluster"))
+    clusters = connected_components(keys.select(F.col("set_key").alias("node"), "key")).select(F.col("node").alias("set_key"), F.col("component").alias("cluster"))
     sized = sets.select("set_key", "n").join(clusters, "set_key")
     totals = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
-    sized = sized.join(totals, "cluster").select("set_key", "cluster", "blocks", F.pmod(F.xxhash64("set_key"), F.col("blocks")).alias("block"))
+    sized = sized.join(totals, "cluster").select("set_key", "n", "cluster", "blocks", F.pmod(F.xxhash64("set_key"), F.col("blocks")).alias("block"))
     sized = stored(sized, "clusters")
     many = sized.count()
-    sets = sets.select("set_key", "tokens").join(sized, "set_key")
+    sets = sets.select("set_key", "tokens").join(sized.drop("n"), "set_key")
 
     # each block with the cluster's hub; small clusters share tasks
     tasks = F.concat_ws("/", F.when(F.col("blocks") > 1, F.col("cluster")), F.when(F.col("blocks") > 1, F.col("block")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(max(8, many // 500)))))
@@ -301,20 +325,12 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     hubs = hubs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> own").drop("own")
     roots = stored(_within_blocks(sets.unionByName(hubs).withColumn("task", tasks).drop("blocks")), "roots")
 
-    # sets outside the hub's component meet the other blocks of their cluster
-    large = sets.where("blocks > 1")
-    reached = roots.where("root = cluster").select("set_key").distinct()
-    apart = large.join(reached, "set_key", "left_anti")
-    queries = apart.withColumn("query_block", F.pmod(F.xxhash64("set_key", F.lit(1)), F.ceil(F.col("blocks") / 2)))
-    queries = queries.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    queries = queries.select("cluster", "query_block", F.col("other").alias("block"), F.lit(1).alias("query"), "set_key", "tokens")
-    met = queries.select("cluster", "query_block", "block").distinct()
-    blocks = large.join(met, ["cluster", "block"]).select("cluster", "query_block", "block", F.lit(0).alias("query"), "set_key", "tokens")
-    links = _across_blocks(queries.unionByName(blocks))
-
-    edges = roots.select(F.col("set_key").alias("a"), F.col("root").alias("b")).union(links)
-    labels = connected_components(edges)
-    named = classes.join(labels, classes["set_key"] == labels["node"], "left").select("set_key", "id", F.coalesce("component", "set_key").alias("label"))
+    linked = roots.select(F.col("set_key").alias("node"), F.col("root").alias("key"))
+    if not sized.where("blocks > 1").isEmpty():
+        linked = linked.unionByName(_links_across(sets, sized.where("blocks > 1"), keys, linked))
+    labels = connected_components(linked)
+    discarded(keys)
+    named = classes.join(labels, F.col("set_key") == F.col("node"), "left").select("set_key", "id", F.coalesce("component", "set_key").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     of_set = named.select("set_key", "label").join(least, "label").select("set_key", "component_id")
     out = rows.select("doc_id", "text_hash", "n", "set_key").join(of_set, "set_key", "left")
