@@ -33,7 +33,7 @@ def items(spark):
 def test_mixing(docs, empty):
     got = mixing.copies(docs)
     assert got.agg(F.sum("m")).first()[0] == len(ROWS)
-    assert got.where("copies > 3 OR copies < 0").count() == 0
+    assert got.where("whole + CAST(extra > 0 AS int) > 3 OR whole < 0 OR extra < 0 OR extra > m").count() == 0
     assert got.where("source IS NULL").count() == 2
     assert mixing.mixed_documents(docs).columns == docs.columns
     assert mixing.copies(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0

@@ -124,10 +124,38 @@ def test_mix_reaches_its_targets(spark, data):
 def test_dependent_rounding_is_fair(spark):
     """Over many seeds' worth of units, each chance is met in the mean and sums are kept."""
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w " * 7).alias("text"), (F.col("id") % 4).cast("string").alias("source"))
-    got = mixing.copies(docs).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n"), F.first("target").alias("t")).collect()
+    taken = F.sum((F.col("whole") * F.col("m") + F.col("extra")) * F.col("size"))
+    got = mixing.copies(docs).groupBy("source").agg(taken.alias("n"), F.first("target").alias("t")).collect()
     assert all(abs(r["n"] - r["t"]) <= 7 for r in got)
 
 
+def test_repeated_rows_share_the_chance(spark):
+    """A row that stands 3,000 times: its source is within one row of the target, in the operator and in the mix."""
+    rows = [(0, "ten words of text " * 2 + "and two", "a")] * 3000 + [(i, f"w{i} x", "a") for i in range(1, 201)] + [(1000 + i, "some more words here", "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7).withColumn("copies", F.lit("x"))
+    sums = mixing.copies(docs).groupBy("source").agg(F.sum((F.col("whole") * F.col("m") + F.col("extra")) * F.col("size")).alias("n"), F.first("target").alias("t")).collect()
+    assert sums and all(abs(r["n"] - r["t"]) <= 10 for r in sums)
+    mixed = mixing.mixed_documents(docs).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n"), F.max("copies").alias("c")).collect()
+    assert {(r["source"], r["n"], r["c"]) for r in mixed} == {(r["source"], r["n"], "x") for r in sums}
+
+
+def test_targets_of_many_sources(spark):
+    """Filling up by weight, in ranges, equals sharing out again until nobody is above a cap."""
+    r = random.Random(9)
+    sizes = [(f"host-{i}", r.choice([0, 1, 5, 50, 5000]), 1) for i in range(500)] + [(None, 70, 1)]
+    got = {x["source"]: x["target"] for x in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long, n long")).collect()}
+    own, names = {s: c for s, c, _ in sizes}, [*sorted(s for s, *_ in sizes if s), None]
+    weight, total, target, open_ = {s: i % 3 + 1 for i, s in enumerate(names)}, sum(own.values()), {}, set(names)
+    while True:
+        rest, share = total - sum(3 * own[s] for s in names if s not in open_), sum(weight[s] for s in open_)
+        over = {s for s in open_ if rest * weight[s] / share > 3 * own[s]}
+        if not over:
+            break
+        open_ -= over
+    target = {s: rest * weight[s] / share if s in open_ else 3.0 * own[s] for s in names}
+    assert got.keys() == target.keys() and all(math.isclose(got[s], target[s], rel_tol=1e-9, abs_tol=1e-9) for s in names)
+
+
 def test_shards_are_even_and_gapless(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     many = docs.unionByName(docs.where("doc_id < 3").withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("_n"))
