@@ -11,8 +11,11 @@ from .licenses import op5_rare_token_index
 from .mixing import op2_pivotal_rounding
 from .perplexity import op4_kneser_ney_bands
 from .sharding import op10_sampled_splitters
+from .sql import ORACLE_SQL
 from .warc import op1_linked_derivatives
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -28,4 +31,3 @@ QUERIES = {
         op10_sampled_splitters,
     )
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -27,7 +27,7 @@ def empty(docs):
 
 @pytest.fixture(scope="module")
 def items(spark):
-    return spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog and runs away"), (2, None), (3, ""), (4, "gamma delta"), (None, "chien")], "item_id long, text string")
+    return spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog and runs away"), (2, None), (3, ""), (4, "gamma delta"), (None, "chien et")], "item_id long, text string")
 
 
 def test_mixing(docs, empty):
@@ -53,8 +53,11 @@ def test_decontamination(docs, empty, items):
     assert got[1]["n_hit"] == 10 + 1 and got[1]["item_ids"] == ["1"]
     assert got[2]["n_words"] == 0 and not got[2]["contaminated"] and got[3]["n_items"] == 0
     assert got[4]["n_hit"] == 40_000  # a short item is a window of its own
+    assert got[None]["n_hit"] == 2 and got[None]["n_items"] == 0
+    unnamed = decontamination.contamination(docs, items.where("item_id IS NULL").unionByName(items.where("item_id = 1").withColumn("text", F.lit("Maison AVEC")))).where("doc_id IS NULL").first()
+    assert (unnamed["n_hit"], unnamed["n_items"], unnamed["item_ids"]) == (4, 1, ["1"])  # a null id hits, without a name
     kept = decontamination.clean_documents(docs, items)
-    assert kept.columns == docs.columns and kept.where("doc_id IN (1, 4)").count() == 0 and kept.count() == len(ROWS) - 3
+    assert kept.columns == docs.columns and kept.where("doc_id IN (1, 4) OR doc_id IS NULL").count() == 0 and kept.count() == len(ROWS) - 4
     assert decontamination.clean_documents(docs, items.limit(0)).count() == len(ROWS)
     assert decontamination.contamination(empty, items).count() == 0
 

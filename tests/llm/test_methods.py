@@ -90,13 +90,29 @@ def test_decontamination_equals_brute_force(spark):
         want[i] = (len(w), len(hit), sorted(names))
     d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for block in (4_000_000, 100):
-        got = decontamination.contamination(d, it, block_bytes=block).collect()
+        found = decontamination.contamination(d, it, block_bytes=block)
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # for any number of blocks
+        got = found.collect()
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["item_ids"])) for r in got} == want
     clean = decontamination.clean_documents(d, it, max_hit=10**6, max_share=1.0)
     assert clean.count() == len(docs)
     assert decontamination.cut_spans("Ab, cd! ef gh.", [1, 3]) == "Ab,  gh."
 
 
+def test_repetitive_texts_take_linear_time():
+    import time
+
+    own = decontamination.built([("a", b"x " * 4000), ("b", b"x y")])
+    reader, took = decontamination.SuffixAutomaton(own), []
+    for n in (20_000, 80_000):
+        words = decontamination.hashes([b"x"] * n + [b"y"])
+        began = time.process_time()
+        spans, names = reader.spans(words)
+        took.append(time.process_time() - began)
+        assert spans == [(0, n + 1)] and names == {"a", "b"}
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_mix_reaches_its_targets(spark, data):
     rows = QUERIES["op2_pivotal_rounding"](spark, data)
     rows = rows.join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source", "text"), "doc_id").cache()
