@@ -1,15 +1,23 @@
-"""Quality rules with an n-gram perplexity: a modified Kneser-Ney model of four bytes, counted by Spark over all texts.
+"""Quality rules with an n-gram perplexity: a modified Kneser-Ney model of five bytes, counted by Spark over all texts.
 
 Every text is scored by the model, per byte and per word. In each language, documents whose perplexity lies outside a
 band around the language's median are rejected; the band is as wide as chance allows at the document's length, and its
-scale is the language's median deviation. Counts, medians and deviations cover all documents.
+scale is the language's median deviation. Grams, medians and deviations cover all documents.
 
-The four-byte table is kept as exact 32-bit codes with their log probabilities, found by hash and compared, so an unseen
-gram always backs off; it grows with the grams of the corpus. Lower orders are sorted codes of at most 24 bits. Medians and
-draws don't depend on partitions.
+Five bytes are a short word with its borders or the end of one word and the start of the next: long enough to tell words
+and their order from letter junk, and short enough that the table of the grams stays far smaller than the corpus, though
+it grows with it without a bound. All orders, the highest too, use continuation counts: in how many different longer
+grams a gram is the end. So a passage doesn't become likely by being copied, and copies are judged like other texts (with
+occurrences counted at the highest order, many copies fall below the lower edge of the band).
+
+Continuation counts, discounts, weights and interpolated probabilities are joined by Spark from exact codes; no two grams
+share an entry. Each order is written as slices of sorted codes with their log probabilities, and each context with the
+log weight of the order below; workers map the files, so the model takes no memory of their own and never passes through
+the driver. Probabilities follow from counts alone and don't depend on partitions.
 
 Null and empty texts have no words, fail the base rules and are not kept; a null language is a language of its own;
-repeated rows count as often as they occur; an empty table gives no rows; extra columns play no part.
+repeated rows change no probability and count in the medians as often as they occur; a very long text is scored whole; a perplexity on the edge of a band is
+inside; an empty table gives no rows; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -24,185 +32,147 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, raw, space_words, stored, table
+from .mapped import arrays, packed, shipped
 
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
 #: Half the band, in deviations; the least deviation; the width of a bin of medians.
 BAND, LEAST_DEVIATION, BIN = 4.0, 0.3, 0.001
+#: Bytes of a gram; those that are counted have one more.
+ORDER = 5
 #: Before every text, so its first bytes have a context.
-PAD = b"\n\n\n"
-#: Codes counted at once in a task.
-CHUNK = 4_000_000
+PAD = b"\n" * ORDER
+#: Codes counted or scored at once in a task (a text alone may have more).
+CHUNK = 2_000_000
 #: All bytes that are not the first of a character outside ASCII white space.
 NOT_WORD_CHARS = bytes([0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)])
 
 
-def codes(text: bytes) -> np.ndarray:
-    """For every byte of a text, the number that it makes with the three before it."""
-    a = np.frombuffer(PAD + text, dtype=np.uint8).astype(np.uint32)
-    return (a[:-3] << 24) | (a[1:-2] << 16) | (a[2:-1] << 8) | a[3:]
-
-
-def slots(code: np.ndarray, bits: int) -> np.ndarray:
-    """Hashes of four-byte codes."""
-    return (code.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - bits)
-
-
-class Grams:
-    """Exact codes by hash: those that share a slot stand in a row, and each is compared."""
-
-    def __init__(self, grams: np.ndarray, log: np.ndarray):
-        self.bits = max(16, min(32, len(grams).bit_length() + 1))
-        own = slots(grams, self.bits)
-        order = np.argsort(own, kind="stable")
-        own = own[order]
-        self.grams = np.append(grams[order], np.uint32(0)).astype(np.uint32)
-        self.log = np.append(log[order], np.float32(np.nan)).astype(np.float32)
-        self.slots = np.append(own.astype(np.int64), -1)  # the last row ends the search
-        self.first = np.full(1 << self.bits, len(grams), dtype=np.uint32)
-        starts = np.flatnonzero(np.diff(own, prepend=own[:1] + np.uint32(1)))
-        self.first[own[starts]] = starts
-
-    def find(self, code: np.ndarray) -> np.ndarray:
-        """Log probabilities, NaN where a code is not in the table."""
-        out = np.full(len(code), np.nan, dtype=np.float32)
-        slot = slots(code, self.bits)
-        at = self.first[slot]
-        hit = (self.grams[at] == code) & (self.slots[at] >= 0)
-        out[hit] = self.log[at[hit]]
-        left = np.flatnonzero(~hit)
-        while len(left):
-            left = left[self.slots[at[left]] == slot[left]]
-            at[left] += np.uint32(1)
-            hit = (self.grams[at[left]] == code[left]) & (self.slots[at[left]] >= 0)
-            out[left[hit]] = self.log[at[left[hit]]]
-            left = left[~hit]
-        return out
+def codes(text: bytes, n: int = ORDER) -> np.ndarray:
+    """For every byte of a text, the number that it makes with the n - 1 before it."""
+    a = np.frombuffer(PAD[: n - 1] + text, dtype=np.uint8)
+    out = np.zeros(len(text), dtype=np.int64)
+    for k in range(n):
+        out = (out << 8) | a[k : k + len(text)]
+    return out
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, c): four-byte codes of all texts."""
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The texts of the column _text, in lists of about CHUNK bytes."""
+    held: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for text in batch["_text"]:
+            held.append(text.as_py())
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(parts):
-            g, c = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], names=["gram", "c"])
 
-        parts, held = [], 0
-        for batch in batches:
-            for text in batch["_text"]:
-                parts.append(codes(text.as_py()))
-                held += len(parts[-1])
-                if held >= CHUNK:
-                    yield counted(parts)
-                    parts, held = [], 0
-        if held:
-            yield counted(parts)
+def grams(docs: DataFrame) -> DataFrame:
+    """(gram): the different codes of ORDER + 1 bytes of all texts. Each task drops its own repeats before the exchange."""
 
-    each = docs.select(raw(F.col("text")).alias("_text")).mapInArrow(run, "gram long, c long")
-    return each.groupBy("gram").agg(F.sum("c").alias("c"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([codes(t, ORDER + 1) for t in texts])))], names=["gram"])
 
+    return docs.select(raw(F.col("text")).alias("_text")).mapInArrow(run, "gram long").distinct()
 
-def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     """By count (0, 1, 2, 3 or more), from the numbers of grams seen once to four times."""
     if not (n1 and n2 and n3):
-        return np.array([0.0, 0.5, 1.0, 1.5])
+        return [0.0, 0.5, 1.0, 1.5]
     y = n1 / (n1 + 2 * n2)
-    return np.array([0.0, *(min(k - 0.1, max(0.05, k - (k + 1) * y * b / a)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
+    return [0.0, *(min(k - 0.1, max(0.05, k - (k + 1) * y * b / a)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
+
 
+def fit(docs: DataFrame) -> list[str]:
+    """The model of all texts of ``docs`` (text), as the names of its files; the driver gets a row for each order."""
+    bounded_batches(docs.sparkSession)
+    level, levels = grams(docs), {}
+    for k in range(ORDER, 0, -1):
+        level = level.groupBy(F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count("*").alias("c"))
+        levels[k] = level = stored(level, "grams") if k >= 4 else level
+    seen = [F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    every = [levels[k].agg(*seen).select(F.lit(k).alias("k"), *[F.coalesce(f"n{i}", F.lit(0)) for i in (1, 2, 3, 4)]) for k in levels]
+    d = {k: discounts(*n) for k, *n in _union(every).collect()}
+
+    below, tables = None, []
+    for k in range(1, ORDER + 1):
+        cut = F.element_at(F.array(*[F.lit(x) for x in d[k][1:]]), F.least("c", F.lit(3)).cast("int"))
+        own = levels[k].select("gram", (F.col("c") - cut).alias("left"), "c", cut.alias("cut"), F.shiftright("gram", 8).alias("h"))
+        context = own.groupBy("h").agg(F.sum("c").alias("total"), *[F.sum((F.least("c", F.lit(3)) == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3)])
+        context = context.select("h", "total", ((F.lit(d[k][1]) * F.col("n1") + F.lit(d[k][2]) * F.col("n2") + F.lit(d[k][3]) * F.col("n3")) / F.col("total")).alias("weight"))
+        own = own.select("gram", "left", "h", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1).alias("suffix")).join(context, "h")
+        own = own.join(below, "suffix") if k > 1 else own.withColumn("q", F.lit(1 / 256))
+        own = stored(own.select("gram", (F.col("left") / F.col("total") + F.col("weight") * F.col("q")).alias("p")), "probabilities")
+        below = own.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
+        tables += [own.select(F.lit(2 * k).alias("kind"), F.col("gram").alias("key"), F.log("p").cast("float").alias("value"))]
+        tables += [context.select(F.lit(2 * k + 1).alias("kind"), F.col("h").alias("key"), F.log("weight").cast("float").alias("value"))]
 
-def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in a sorted table, and whether x is there."""
-    at = np.minimum(np.searchsorted(table, x), max(0, len(table) - 1))
-    return at, (table[at] == x if len(table) else np.zeros(len(x), dtype=bool))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [tuple(b[c].to_numpy() for c in ("kind", "key", "value")) for b in batches if len(b)]
+        if rows:
+            kind, key, value = (np.concatenate(x) for x in zip(*rows, strict=True))
+            for x in np.unique(kind):
+                at = kind == x
+                blob = packed({"kind": np.array([x], dtype=np.int64), "key": key[at], "value": value[at]})
+                yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
 
+    slices = _union(tables).repartitionByRange("kind", "key").sortWithinPartitions("kind", "key")
+    return shipped(slices.mapInArrow(run, "blob binary"), "model")
 
-class Level:
-    """Sorted grams of one order with their log probabilities, and sorted contexts with the log weight of the level below."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, below: np.ndarray):
-        d = discounts(*(int((counts == k).sum()) for k in (1, 2, 3, 4)))[np.minimum(counts, 3)]
-        self.context, at = np.unique(grams >> 8, return_inverse=True)
-        total = np.bincount(at, counts)
-        self.gamma = np.log(np.bincount(at, d) / total)
-        self.grams = grams
-        self.p = (counts - d) / total[at] + np.exp(self.gamma)[at] * below
-        self.log = np.log(self.p)
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionAll(x)
+    return out
 
 
 class Model:
-    """Byte model of order four; the lower orders use continuation counts."""
-
-    def __init__(self, suffix: np.ndarray, n_suffix: np.ndarray):
-        """suffix: sorted three-byte codes; n_suffix: in how many four-byte grams each is the end."""
-        self.levels: list[Level] = []
-        grams, counts = [suffix], [n_suffix]
-        for bits in (16, 8):
-            g, c = np.unique(grams[0] & ((1 << bits) - 1), return_counts=True)
-            grams.insert(0, g)
-            counts.insert(0, c)
-        below = np.full(len(grams[0]), 1 / 256)
-        for k, (g, c) in enumerate(zip(grams, counts, strict=True)):
-            if k:
-                below = self.levels[-1].p[np.searchsorted(self.levels[-1].grams, g & ((1 << 8 * k) - 1))]
-            self.levels.append(Level(g, c, below))
-        self.context = np.empty(0, dtype=np.int64)
-        self.gamma = np.empty(0)
-        self.grams, self.log = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.float32)
-
-    def lower(self, code: np.ndarray, order: int = 3) -> np.ndarray:
-        """Log probability of the last byte after the order - 1 bytes before it, backing off where unseen."""
+    """Reads what :func:`fit` has written: for each order sorted slices of codes and of contexts."""
+
+    def __init__(self, blobs: list[dict[str, np.ndarray]]):
+        self.slices: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for b in sorted(blobs, key=lambda b: int(b["key"][0])):
+            self.slices.setdefault(int(b["kind"][0]), []).append((b["key"], b["value"]))
+
+    def find(self, kind: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of sorted keys (0 where unknown), and which are known."""
+        value, known = np.zeros(len(wanted), dtype=np.float64), np.zeros(len(wanted), dtype=bool)
+        own = self.slices.get(kind, [])
+        cuts = [0, *np.searchsorted(wanted, [int(key[0]) for key, _ in own[1:]]).tolist(), len(wanted)]
+        for (key, log), a, b in zip(own, cuts[:-1], cuts[1:], strict=False):
+            at = np.minimum(np.searchsorted(key, wanted[a:b]), len(key) - 1)
+            known[a:b] = key[at] == wanted[a:b]
+            value[a:b] = np.where(known[a:b], log[at], 0.0)
+        return value, known
+
+    def log_p(self, code: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Log probability of the last byte of each of the sorted codes after those before it, backing off where unseen."""
         if not order:
             return np.full(len(code), -np.log(256))
-        lv, code = self.levels[order - 1], code & ((1 << 8 * order) - 1)
-        at, seen = _find(lv.grams, code)
-        out = lv.log[at] if len(lv.grams) else np.zeros(len(code))
+        out, seen = self.find(2 * order, code)
         if not seen.all():
-            miss = np.flatnonzero(~seen)
-            ctx, known = _find(lv.context, code[miss] >> 8)
-            out[miss] = self.lower(code[miss], order - 1) + np.where(known, lv.gamma[ctx] if len(lv.gamma) else 0, 0)
+            miss = code[~seen]
+            lower, at = np.unique(miss & ((1 << 8 * (order - 1)) - 1), return_inverse=True)
+            out[~seen] = self.log_p(lower, order - 1)[at] + self.find(2 * order + 1, miss >> 8)[0]
         return out
 
-    def index(self) -> Grams:
-        return Grams(self.grams, self.log)
-
-    def log_p(self, code: np.ndarray, grams: Grams) -> float:
-        """Sum over the bytes of a text."""
-        p = grams.find(code)
-        total = float(np.nansum(p, dtype=np.float64))
-        miss = np.isnan(p)
-        if miss.any():
-            code = code[miss].astype(np.int64)
-            ctx, known = _find(self.context, code >> 8)
-            total += float((self.lower(code) + np.where(known, self.gamma[ctx] if len(self.gamma) else 0, 0)).sum())
-        return total
-
-
-def fit(docs: DataFrame) -> Model:
-    """From all texts of ``docs`` (text). Spark counts; the driver gets a row for each different gram, context and suffix."""
-    bounded_batches(docs.sparkSession)
-    grams = stored(gram_counts(docs), "grams")
-    suffix = grams.groupBy((F.col("gram").bitwiseAND(0xFFFFFF)).alias("s")).agg(F.count("*").alias("n")).orderBy("s").toArrow()
-    model = Model(suffix["s"].to_numpy(), suffix["n"].to_numpy())
-    number = [F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)]
-    d = discounts(*grams.agg(*number).first())
-    kinds = [F.sum((F.col("c") == k).cast("long")) for k in (1, 2)] + [F.sum((F.col("c") > 2).cast("long"))]
-    ctx = grams.groupBy(F.shiftright("gram", 8).alias("h")).agg(F.sum("c").alias("t"), *[k.alias(f"n{i}") for i, k in enumerate(kinds)]).orderBy("h").toArrow()
-    model.context, total = ctx["h"].to_numpy(), ctx["t"].to_numpy()
-    model.gamma = np.log(sum(d[i + 1] * ctx[f"n{i}"].to_numpy() for i in range(3)) / np.maximum(total, 1))
-    shared = docs.sparkSession.sparkContext.broadcast((model, total))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, totals = shared.value
-        for batch in batches:
-            g, c = batch["gram"].to_numpy(), batch["c"].to_numpy()
-            at = np.searchsorted(own.context, g >> 8)
-            p = (c - d[np.minimum(c, 3)]) / totals[at] + np.exp(own.gamma[at] + own.lower(g))
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.log(p))], names=["gram", "log"])
-
-    top = grams.mapInArrow(run, "gram long, log double").orderBy("gram").toArrow()
-    model.grams, model.log = top["gram"].to_numpy().astype(np.uint32), top["log"].to_numpy().astype(np.float32)
-    return model
+    def sums(self, texts: list[bytes]) -> list[float]:
+        """The log probability of each text. A sum depends on the text alone."""
+        each = [codes(t) for t in texts]
+        code, at = np.unique(np.concatenate(each), return_inverse=True)
+        logs, out, done = self.log_p(code)[at], [], 0
+        for c in each:
+            out.append(float(logs[done : done + len(c)].sum()))
+            done += len(c)
+        return out
 
 
 def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
@@ -234,21 +204,19 @@ def base_features(text: bytes) -> tuple[int, int, int, int, int]:
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
+def scored(docs: DataFrame, model: list[str]) -> DataFrame:
     """doc_id, lang, the base features, n_bytes and log_p (of the whole text) for each row of ``docs``."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        grams = own.index()
+        own = Model(arrays(model))
         for batch in batches:
-            rows = []
-            for text in batch["_text"]:
-                t = text.as_py()
-                rows.append((*base_features(t), len(t), own.log_p(codes(t), grams) if t else 0.0))
-            found = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], *[pa.array(x, pa.int64()) for x in found[:6]], pa.array(found[6], pa.float64())], names=["doc_id", "lang", *FEATURES, "n_bytes", "log_p"])
+            sums, rows = [], []
+            for texts in chunks(iter([batch])):
+                sums += own.sums(texts)
+                rows += [(*base_features(t), len(t)) for t in texts]
+            found = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], *[pa.array(x, pa.int64()) for x in found], pa.array(sums, pa.float64())], names=["doc_id", "lang", *FEATURES, "n_bytes", "log_p"])
 
     narrow = docs.select("doc_id", "lang", raw(F.col("text")).alias("_text"))
     types = {f.name: f.dataType.simpleString() for f in narrow.schema}
@@ -263,7 +231,7 @@ def medians(df: DataFrame, value: Column, name: str) -> DataFrame:
     return bins.where("2 * _upto >= _all").groupBy("lang").agg(((F.min("_bin") + 0.5) * F.lit(BIN)).alias(name))
 
 
-def judged(docs: DataFrame, model: Model | None = None, band: float = BAND) -> DataFrame:
+def judged(docs: DataFrame, model: list[str] | None = None, band: float = BAND) -> DataFrame:
     """doc_id, the base features, base_failed, kept, and the two perplexities with their distance from the median."""
     own = stored(scored(docs, model or fit(docs)), "scores")
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
@@ -289,4 +257,5 @@ def _same_language(df: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def op4_kneser_ney_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its base features and verdict; see the module's text for nulls and ties."""
     return judged(table(spark, sf_dir, "documents"))
