@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: What counts as a word for operators that split on ASCII white space.
@@ -87,3 +88,16 @@ def space_words(text: bytes) -> list[bytes]:
 def plain_words(text: bytes) -> list[bytes]:
     """Lower-cased runs of ASCII letters, digits and non-ASCII characters."""
     return text.translate(WORD_TABLE).split()
+
+
+def least_rows(rows: DataFrame, key: str, most: int, salt: int) -> DataFrame:
+    """A bounded sample of ``rows`` (doc_id, text and ``key``): at most ``most`` for each key, those with the least hash
+    of id and text; rows equal in all three count once. What can't be among them is dropped before the exchange, by the
+    share of the hash space that the sample needs, so a key that holds most rows makes no large task."""
+    at = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(salt)), 11) / F.lit(float(2**53))
+    number = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows"))  # a row for each key
+    few = rows.select("doc_id", "text", key, at.alias("_at")).join(number, F.col(key) == F.col("_key"))
+    few = few.where(F.col("_at") * F.col("_rows") < F.lit(most + 8 * most**0.5))
+    few = few.groupBy("doc_id", key, "_at").agg(F.first("text").alias("text"))
+    few = few.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy("_at", "doc_id")))
+    return few.where(F.col("_rank") <= most).select("doc_id", "text", key, "_rank")

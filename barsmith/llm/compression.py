@@ -2,12 +2,12 @@
 that the good dictionary helps more is more likely good. The normalised difference of the two compressed sizes, with
 the two ratios and the log length, goes through a logistic calibration.
 
-Learned on a bounded sample of labelled rows (PER_CLASS for each label, the least by a hash of the id, of texts up to
-MAX_BYTES): one half builds the dictionaries, the other calibrates. Every whole text is scored.
+Learned on a bounded sample of labelled rows (PER_CLASS for each label, the least by a hash, of texts up to MAX_BYTES): one half builds the dictionaries, the other calibrates. Every whole text is scored.
 
 Null and empty texts count as a text of no bytes and get the score that the calibration gives it; labels that
 contradict each other for one id aren't learned from, nor are null labels; with one label only every score is that
-label, with none it is 0.5; repeated rows each get their score; extra columns play no part.
+label, with none it is 0.5; repeated rows are learned from once and each get their score; equal scores mean equal
+features; very long texts are scored whole; an empty table gives no rows; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -18,10 +18,9 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, raw, table
+from .common import bounded_batches, held_out, least_rows, raw, table
 
 PER_CLASS, MAX_BYTES = 1_600, 50_000
 DICTIONARY_BYTES, LEVEL = 65_536, 3
@@ -37,12 +36,9 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, quality, part, text): rows to learn from; part 0 builds dictionaries, part 1 calibrates."""
-    texts = docs.where((F.octet_length("text") <= MAX_BYTES) & docs["doc_id"].isNotNull()).select("doc_id")
-    order = W.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit(6)))
-    ids = labelled(labels).join(texts, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(order))
-    ids = ids.where(F.col("_rank") <= per_class).select(F.col("doc_id").alias("_id"), "quality", (F.col("_rank") % 2).alias("part"))
-    own = docs.where(F.octet_length("text") <= MAX_BYTES).select("doc_id", "text")
-    return own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "part", raw(F.col("text")).alias("text"))
+    texts = docs.where((F.octet_length("text") <= MAX_BYTES) & docs["doc_id"].isNotNull()).select("doc_id", "text")
+    few = least_rows(texts.join(labelled(labels), "doc_id"), "quality", per_class, 6)
+    return few.select("doc_id", "quality", (F.col("_rank") % 2).alias("part"), raw(F.col("text")).alias("text"))
 
 
 def build_dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -123,6 +119,7 @@ def with_quality(docs: DataFrame, model: Model | float) -> DataFrame:
 
 
 def op6_zstd_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its quality score; see the module's text for nulls, ties and labels."""
     docs = table(spark, sf_dir, "documents")
     found = with_quality(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))

@@ -1,13 +1,19 @@
 """Language identification, words first: known words score by their log frequency in each language, unseen words by
 character n-grams, from the longest down to the first length at which the word has known ones.
 
-Fitted on a bounded sample of labelled rows (PER_LANGUAGE for each language, the least by a hash of the id), counted
-by Spark; the model is bounded by the sample and is broadcast. A document's score is the mean over its words; its
-confidence the share of the winner when the words' evidence is added up.
+Fitted on a bounded sample of labelled rows (PER_LANGUAGE for each language, the least by a hash, of texts up to
+MAX_BYTES), counted by Spark; the model is bounded by the sample and is broadcast. The words of a batch of documents are
+looked up once each. A document's evidence is the sum over its words; its score is the share of the winner when the mean
+evidence of a word is raised to the number of words.
+
+The sample also tells which share of a language's words is known. A text in which far fewer are known than chance allows
+is in no learned language: letter junk, or a language never seen. :func:`in_known_language` leaves it out; the prediction
+alone doesn't, as it always names the likeliest language.
 
 A null text, or one without a letter, is ``und`` with score 0; so is everything when there is nothing to learn from.
-Ties go to the language that sorts first. Null labels aren't learned from; null ids are never held out; repeated rows
-count as often as they occur; extra columns are carried along by :func:`with_language`.
+Ties go to the language that sorts first. Null labels aren't learned from; null ids are never held out; repeated rows are
+learned from once and each get their result; very long texts are read whole, though not learned from; an empty table
+gives no rows; extra columns are carried along by :func:`with_language`.
 """
 
 from __future__ import annotations
@@ -19,19 +25,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, table
+from .common import bounded_batches, held_out, least_rows, stored, table
 
 #: Rows of each language that are learned from.
-PER_LANGUAGE = 1_500
+PER_LANGUAGE, MAX_BYTES = 1_500, 100_000
 LONGEST = 5
 #: A word or n-gram counts as known from so many occurrences in the sample on.
 KNOWN = 2
 #: Occurrences that every language has of everything known.
 SMOOTH = 0.1
+#: A text is in no known language where fewer than this share of a language's usual share of words is known, and fewer than so
+#: many deviations of chance allow.
+LEAST_KNOWN, DEVIATIONS = 0.5, 12.0
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -47,11 +56,8 @@ def grams(word: str, n: int) -> list[str]:
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(lang, text) of the rows to learn from."""
-    rows = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"]))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(8)))
-    ids = rows.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language)
-    ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))  # bounded: per_language for each language
-    return rows.join(F.broadcast(ids), rows["doc_id"].eqNullSafe(ids["_id"]) & (rows["lang"] == ids["_lang"]), "left_semi").select("lang", "text")
+    rows = docs.where(docs["lang"].isNotNull() & (F.octet_length(docs["text"]) <= MAX_BYTES) & ~held_out(docs["doc_id"]))
+    return least_rows(rows, "lang", per_language, 8).select("lang", "text")
 
 
 def counts(rows: DataFrame) -> DataFrame:
@@ -60,12 +66,14 @@ def counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
+            words: Counter = Counter()
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
-                for w, c in Counter(words_of(text.as_py())).items():
-                    found[lang, 0, w] += c
-                    for n in range(1, LONGEST + 1):
-                        for g in grams(w, n):
-                            found[lang, n, g] += c
+                words.update((lang, w) for w in words_of(text.as_py()))
+            for (lang, w), c in words.items():  # each word of a batch once
+                found[lang, 0, w] += c
+                for n in range(1, LONGEST + 1):
+                    for g in grams(w, n):
+                        found[lang, n, g] += c
             keys = list(zip(*found, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "n", "gram", "count"])
 
@@ -90,64 +98,102 @@ class Model:
             self.rows.append({g: i for i, g in enumerate(names)})
             self.logs.append(np.log(table / total).astype(np.float32))
 
-    def evidence(self, words: Counter) -> np.ndarray:
-        """Summed log frequencies of the words in each language. A known word counts once; an unseen one as the mean of
-        its known n-grams of the longest length that has any."""
+        self.known = np.zeros(len(at))  # share of known words, by language
+
+    def evidence(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its log frequency in each language, for an unseen one the mean of its known n-grams of the
+        longest length that has any; and which words are known."""
+        out = np.zeros((len(words), len(self.languages)))
+        at = np.array([self.rows[0].get(w, -1) for w in words], dtype=np.int64)
+        seen = at >= 0
+        out[seen] = self.logs[0][at[seen]]
         rows: list[list[int]] = [[] for _ in self.rows]
-        weights: list[list[float]] = [[] for _ in self.rows]
-        word_row = self.rows[0].get
-        for w, c in words.items():
-            r = word_row(w)
-            if r is not None:
-                rows[0].append(r)
-                weights[0].append(c)
-                continue
+        owners: list[list[int]] = [[] for _ in self.rows]
+        for i in np.flatnonzero(~seen).tolist():
             for n in range(LONGEST, 0, -1):
-                found = [x for x in map(self.rows[n].get, grams(w, n)) if x is not None]
+                found = [x for x in map(self.rows[n].get, grams(words[i], n)) if x is not None]
                 if found:
                     rows[n] += found
-                    weights[n] += [c / len(found)] * len(found)
+                    owners[n] += [i] * len(found)
                     break
-        total = np.zeros(len(self.languages))
-        for r, w, logs in zip(rows, weights, self.logs, strict=True):
+        for own, r, logs in zip(owners, rows, self.logs, strict=True):
             if r:
-                total += np.array(w) @ logs[r]
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(words_of(text)) if text and self.languages else None
-        if not words or not any(c.isalpha() for w in words for c in w):  # words may be numbers such as superscripts
-            return "und", 0.0
-        total = self.evidence(words)
-        best = int(total.argmax())
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+                each = np.bincount(own, minlength=len(words))[own]
+                np.add.at(out, own, logs[r] / each[:, None])
+        return out, seen
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[int]]:
+        """lang_pred, score, share of known words and number of words of each text."""
+        number: dict[str, int] = {}
+        each = [[number.setdefault(w, len(number)) for w in words_of(t)] if t and self.languages else [] for t in texts]
+        words = list(number)
+        letters = np.array([any(c.isalpha() for c in w) for w in words], dtype=bool)  # words may be numbers such as superscripts
+        evidence, seen = self.evidence(words)
+        langs, scores, known, sizes = [], [], [], []
+        for own in each:
+            if not own or not letters[own].any():
+                langs.append("und")
+                scores.append(0.0)
+                known.append(0.0)
+            else:
+                total = evidence[own].sum(axis=0)
+                best = int(total.argmax())
+                langs.append(self.languages[best])
+                scores.append(float(1 / np.exp(total - total[best]).sum()))
+                known.append(float(seen[own].mean()))
+            sizes.append(len(own))
+        return langs, scores, known, sizes
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """From ``docs`` (doc_id, text, lang)."""
     bounded_batches(docs.sparkSession)
-    found = counts(sample(docs.select("doc_id", "text", "lang"), per_language))
-    known = found.withColumn("_all", F.sum("count").over(W.partitionBy("n", "gram"))).where(F.col("_all") >= KNOWN).drop("_all")
-    return Model(known.toPandas())
+    rows = stored(sample(docs.select("doc_id", "text", "lang"), per_language).repartition(32, "text"), "languages")  # bounded
+    known = counts(rows).withColumn("_all", F.sum("count").over(W.partitionBy("n", "gram"))).where(F.col("_all") >= KNOWN).drop("_all")
+    model = Model(known.toPandas())
+    own = with_language(rows, model, ("_pred", "_score", "_known", "_words"))
+    for r in own.groupBy("lang").agg((F.sum(F.col("_known") * F.col("_words")) / F.sum("_words")).alias("known")).where("known IS NOT NULL").collect():
+        if r["lang"] in model.languages:
+            model.known[model.languages.index(r["lang"])] = r["known"]
+    return model
 
 
-def with_language(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with the predicted language and its score under ``names`` (columns of these names are replaced)."""
-    bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _predicted(model: Model, spark: SparkSession, text: Column) -> Column:
+    shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known double, words long")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for texts in batches:
-            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame(dict(zip(("lang_pred", "score", "known", "words"), own.predict(texts.tolist()), strict=True)))
+
+    return predict(text)
 
-    found = predict("text")
-    out = docs.drop(*names).withColumn("_language", found)
-    return out.withColumns({names[0]: F.col("_language.lang_pred"), names[1]: F.col("_language.score")}).drop("_language")
+
+def with_language(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score under ``names`` (columns of these names are replaced); with four
+    names, also the share of known words and the number of words."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("_row"))  # packed, so that no column's name can clash
+    found = rows.withColumn("_found", _predicted(model, docs.sparkSession, F.col("_row.text")))
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in names]
+    return found.select(*kept, *[F.col("_found")[c].alias(n) for n, c in zip(names, ("lang_pred", "score", "known", "words"), strict=False)])
+
+
+def in_known_language(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """Rows of ``docs`` with letters, a clear language, and as many known words as texts of that language have."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("_row"))  # packed, so that no column's name can clash
+    found = rows.withColumn("_found", _predicted(model, docs.sparkSession, F.col("_row.text")))
+    usual = F.coalesce(F.element_at(F.map_from_arrays(F.array(*map(F.lit, model.languages)), F.array(*[F.lit(float(x)) for x in model.known])), F.col("_found.lang_pred")), F.lit(0.0)) if model.languages else F.lit(0.0)
+    short = usual * F.lit(LEAST_KNOWN) - F.col("_found.known")
+    chance = F.sqrt(usual * (1 - usual) / F.greatest(F.lit(1), F.col("_found.words")))
+    strange = (short > 0) & (usual - F.col("_found.known") > chance * F.lit(DEVIATIONS))
+    return found.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= least_score) & ~strange).select("_row.*")
 
 
 def op8_word_first_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its predicted language; see the module's text for nulls and ties."""
     docs = table(spark, sf_dir, "documents")
     found = with_language(docs.select("doc_id", "text"), fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -308,9 +308,41 @@ def test_language_sample_is_not_cut(spark):
 def test_unseen_words_back_off(spark):
     rows = [(i, "walking talking thinking", "en") for i in range(40)] + [(100 + i, "gehen sprechen denken", "de") for i in range(40)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert model.predict("walking")[0] == "en" and model.predict("drinking")[0] == "en"
-    assert model.predict("lenken")[0] == "de"
-    assert model.predict("123") == ("und", 0.0)
+    langs, scores, known, words = model.predict(["walking", "drinking", "lenken", "123", None, "walking drinking"])
+    assert langs == ["en", "en", "de", "und", "und", "en"] and scores[3:5] == [0.0, 0.0]
+    assert known == [1.0, 0.0, 0.0, 0.0, 0.0, 0.5] and words == [1, 1, 1, 0, 0, 2]
+
+
+def brute_language(model, text):
+    """One word at a time, from the model's tables."""
+    total = np.zeros(len(model.languages))
+    for w in language_id.words_of(text):
+        for n in [0, *range(language_id.LONGEST, 0, -1)]:
+            own = [model.rows[n][g] for g in ([w] if not n else language_id.grams(w, n)) if g in model.rows[n]]
+            if own:
+                total += np.mean([model.logs[n][x] for x in own], axis=0)
+                break
+    return model.languages[int(total.argmax())], total
+
+
+def test_language_equals_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language_id.fit(docs)
+    rows = [r for r in language_id.with_language(docs, model).collect() if r["lang_pred"] != "und"]
+    assert len(rows) > 100 and all(brute_language(model, r["text"])[0] == r["lang_pred"] for r in rows)
+
+
+def test_texts_in_no_known_language_go(spark, data):
+    docs = spark.read.parquet(f"{data.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(3)
+    junk = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400)) for _ in range(50)]
+    other = [" ".join(r.choice("sjohpj kreqt vuundp zytahr mixqoluk pelzzon takvuri weofjin".split()) + r.choice("qxzjk") for _ in range(60)) for _ in range(50)]
+    more = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(junk + other)], "doc_id long, text string, lang string")
+    kept = language_id.in_known_language(docs.unionByName(more), language_id.fit(docs), 0.5)
+    assert kept.where("doc_id >= 1000000").count() == 0
+    labels = spark.read.parquet(f"{data.replace('0.001', '0.1')}/labels.parquet").where("quality = 1")
+    clean = docs.where(F.length("text") > 0).join(labels, "doc_id")
+    assert clean.join(kept.select("doc_id"), "doc_id", "left_anti").count() == 0
 
 
 def test_license_places_and_templates():
