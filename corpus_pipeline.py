@@ -12,28 +12,31 @@ LEAST_SCORE = 0.5
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters and a clear language; the others go."""
-    found = language_id.with_language(docs, language_id.fit(docs), ("_lang_pred", "_lang_score"))
-    return found.where(f"_lang_pred <> 'und' AND _lang_score >= {LEAST_SCORE}").select(*docs.columns)
+    """Documents with letters, a clear language and words that this language knows; the others go, null and empty texts
+    with them. Null labels aren't learned from; repeated rows are all judged alike; columns of any name stay as they are."""
+    return language_id.in_known_language(docs, language_id.fit(docs), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of its least id; rows without words or without an id all stay. Columns
+    of any name stay as they are."""
     return jaccard_join.deduplicated(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs, those with null or empty texts among them; windows of items
+    without an id count too. Columns of any name stay as they are."""
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; null sources are one source, and documents without words are taken
+    as often as the chance of their source says. Columns of any name stay as they are."""
     return mixing.mixed_documents(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and their slot in it."""
+    """Documents with their shard and their slot in it (columns of these two names are replaced); null texts have no bytes."""
     return sharding.shard_records(docs)
 
 
