@@ -3,18 +3,19 @@
 Templates of license notices are indexed word by word: a posting is (template, position). How rare a license word is,
 is counted over all documents. A key phrase is looked up by its rarest word, at every place in the file. Around the places
 of a template's key phrase all its words are looked up: a posting and a place in the file agree on where the template would
-start, and starts that enough words agree on (give or take SLACK words) are candidates. A candidate counts if the words
-there cover enough of the template and the template's key phrases stand in the same stretch. No word or place is left
+start, and starts that enough words agree on (give or take SLACK words) are candidates. A candidate counts if enough of
+the template's words stand there in the template's order and its key phrases in the same stretch. No word or place is left
 out: a key phrase has AGREE words or more, so each of its places has a candidate. Phrases that name a license outright are
 found at every place besides.
 
-Null and empty texts have no words and no labels; repeated rows each get their result; an empty table gives no rows;
-extra columns play no part. Model and index are bounded by the templates.
+Null and empty texts have no words and no labels; repeated rows each get their result; very long texts are read whole;
+words of equal IDF are told apart by their place in the phrase; an empty table gives no rows; extra columns play no part. Model and index are bounded by the templates.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -43,6 +44,15 @@ TEMPLATES = (
     ("cc-by", "licensed under cc by 4 0", ("cc by 4",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
+    ("agpl", "licensed under the gnu affero general public license", ("affero general public license",)),
+    ("apache", "licensed to the apache software foundation asf under one or more contributor license agreements", ("contributor license agreements",)),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission notice shall be included", "substantial portions of the software")),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived", "specific prior written permission")),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", ("eclipse public license",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("without any express or implied warranty", "will the authors be held liable")),
+    ("bsl", "distributed under the boost software license version 1 0", ("boost software license",)),
+    ("artistic", "you may distribute this package under the terms of the artistic license 2 0", ("artistic license",)),
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights", ("waived all copyright",)),
 )
 
@@ -108,20 +118,27 @@ class Index:
                 if sum(votes.get(s - k, 0) for k in range(SLACK + 1)) >= wanted:
                     yield t, s
 
-    def cover(self, words: list[bytes], t: int, start: int) -> float:
-        """Share of the template's words that the stretch holds, 0 where a key phrase is missing."""
-        stretch = words[max(0, start - SLACK) : max(0, start + len(self.words[t]) + 2 * SLACK)]
+    def cover(self, stretch: tuple[bytes, ...], t: int) -> float:
+        """Share of the template's words that stand in the stretch in the template's order, 0 where a key phrase is missing."""
         line = b" " + b" ".join(stretch) + b" "
         if any(b" " + k + b" " not in line for k in self.keys[t]):
             return 0.0
-        both = Counter(stretch) & Counter(self.words[t])
-        return both.total() / len(self.words[t])
+        ends: list[int] = []  # ends[k]: the earliest place in the template at which k + 1 words in order can end
+        for w in stretch:
+            for i in reversed(self.places[t].get(w, ())):
+                at = bisect_left(ends, i)
+                ends[at : at + 1] = [i]
+        return len(ends) / len(self.words[t])
 
     def scan(self, words: list[bytes]) -> tuple[set[str], float]:
-        """Labels of the templates found, and the best cover of any candidate."""
+        """Labels of the templates found, and the best cover of any candidate. Equal stretches are looked at once."""
         labels, best = set(), 0.0
+        seen: dict[tuple[int, tuple[bytes, ...]], float] = {}
         for t, start in self.candidates(words):
-            c = self.cover(words, t, start)
+            stretch = tuple(words[max(0, start - SLACK) : max(0, start + len(self.words[t]) + 2 * SLACK)])
+            c = seen.get((t, stretch))
+            if c is None:
+                c = seen[t, stretch] = self.cover(stretch, t)
             best = max(best, c)
             if c >= COVER:
                 labels.add(self.labels[t])
@@ -189,4 +206,5 @@ def licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 
 def op5_rare_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its license phrases and labels; see the module's text for nulls and ties."""
     return licenses(table(spark, sf_dir, "documents"))
