@@ -6,7 +6,8 @@ further up; a container's points are discounted by the share of its text that is
 (the article around it, if there is one) with those of its siblings that read like text. Every block of what is kept
 is a line, in page order, with character references decoded and white space made single.
 
-A null or empty page, and one without text, gives the empty text; broken markup is read as browsers do where it
+A null or empty page, and one without text, gives the empty text; a very long page is read whole, in time in proportion
+to its length; of containers with equal points the first is kept; broken markup is read as browsers do where it
 matters (unclosed paragraphs and items, stray end tags, cut-off pages); repeated rows each get their result; an empty
 table gives no rows; extra columns play no part.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +50,8 @@ SCOPE = frozenset("table td th caption button object body html".split())
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu submenu sidebar sidenav breadcrumb breadcrumbs pagination pager comment comments commentlist commentary disqus reply replies respond discussion notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending footer copyright widget toolbar skip hidden".split())
 OUTER_NOISE = frozenset("header masthead topbar top bottom meta search alert message tags toc side rail extra legal".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+# Words that say how a page is laid out or what it goes without: a name with one of them says nothing about its element.
+LAYOUT = frozenset("no not non with without has have enabled disabled off on layout xs sm md lg xl visible page template".split())
 LIKELY = frozenset("article body content entry main page post text blog story hentry".split())
 
 
@@ -61,12 +65,18 @@ class Node:
         self.size = self.link = 0
 
 
-def _names(attributes: dict[str, str]) -> frozenset[str]:
-    both = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return frozenset(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", both).lower()))
+def _names(attributes: dict[str, str]) -> tuple[frozenset[str], frozenset[str]]:
+    """Words of class and id, and those of them that can mark noise: a name such as no-sidebar or hidden-xs can't."""
+    every, marks = set(), set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        every |= words
+        if not words & LAYOUT:
+            marks |= words
+    return frozenset(every), frozenset(marks)
 
 
-def _noise(name: str, a: dict[str, str], names: frozenset[str], in_article: bool) -> bool:
+def _noise(name: str, a: dict[str, str], names: frozenset[str], marks: frozenset[str], in_article: bool, mild: bool) -> bool:
     if name in DROPPED:
         return True
     if name in ("html", "body", "article", "main"):
@@ -75,13 +85,25 @@ def _noise(name: str, a: dict[str, str], names: frozenset[str], in_article: bool
         return True
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
         return True
-    if a.get("role") in ROLES or names & NOISE:
+    if mild and name in ("div", "section", "table", "tbody", "tr", "td", "center"):
+        return False
+    if a.get("role") in ROLES or marks & NOISE:
         return True
-    return not in_article and bool(names & OUTER_NOISE) and not names & LIKELY  # an entry's header is not the page's
+    return not in_article and bool(marks & OUTER_NOISE) and not names & LIKELY  # an entry's header is not the page's
+
 
+def after_raw_text(page: str, name: str, pos: int) -> int:
+    """Where the page goes on behind an element whose content is no markup, such as a script; else ``pos``."""
+    if name not in RAW_TEXT:
+        return pos
+    close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
+    return close.end() if close else len(page)
 
-def parse(page: str, keep_all: bool = False) -> Node:
-    """The page as a tree without what can't be article text; with ``keep_all`` only scripts and the like go."""
+
+def parse(page: str, keep_all: bool = False, mild: bool = False) -> Node:
+    """The page as a tree without what can't be article text; with ``keep_all`` only scripts and the like go, with
+    ``mild`` containers stay whatever they are called."""
+    open_now: Counter = Counter()  # elements by name
     root = at = Node("#root", None)
     skip: Node | None = None  # the outermost element being left out
     inside = 0  # open articles
@@ -101,13 +123,14 @@ def parse(page: str, keep_all: bool = False) -> Node:
                 at.children.append(m[0][9:-3])
             continue
         if m[1] or m[4]:  # an end tag: closes the nearest open element of its name, if there is one
+            if not open_now[name]:
+                continue
             node: Node | None = at
-            while node is not None and node.name != name:
+            while node.name != name:
                 node = node.parent
-            if node is None or node.parent is None:
-                continue
             while True:
                 done, at = at, at.parent
+                open_now[done.name] -= 1
                 inside -= done.name == "article"
                 if done is skip:
                     skip = None
@@ -115,23 +138,23 @@ def parse(page: str, keep_all: bool = False) -> Node:
                     break
             continue
         if name in RAW_TEXT:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
-            pos = close.end() if close else size
+            pos = after_raw_text(page, name, pos)
             continue
         if name == "br":
             if skip is None:
                 at.children.append(" ")
             continue
         closes, until = CLOSES.get(name, (frozenset(["p"]), SCOPE) if name in BLOCKS else (None, None))
-        if closes:
-            node, hit = at, None
-            while node is not None and node.name not in until:
+        if closes and any(open_now[x] for x in closes):
+            node, hit, left = at, None, sum(open_now[x] for x in closes)
+            while left and node.name not in until:
                 if node.name in closes:
-                    hit = node
+                    hit, left = node, left - 1
                 node = node.parent
             if hit is not None:
                 while True:
                     done, at = at, at.parent
+                    open_now[done.name] -= 1
                     inside -= done.name == "article"
                     if done is skip:
                         skip = None
@@ -141,10 +164,10 @@ def parse(page: str, keep_all: bool = False) -> Node:
             continue
         text = m[3] if m[2] else m[6]
         found = {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(text)} if text.strip(" /") else {}
-        names = _names(found) if found else frozenset()
+        names, marks = _names(found) if found else (frozenset(), frozenset())
         node = Node(name, at, names)
         if skip is None:
-            if _noise(name, found, names, inside > 0) if not keep_all else name == "head":
+            if _noise(name, found, names, marks, inside > 0, mild) if not keep_all else name == "head":
                 skip = node
             else:
                 at.children.append(node)
@@ -153,6 +176,7 @@ def parse(page: str, keep_all: bool = False) -> Node:
                 skip = None
             continue
         inside += name == "article"
+        open_now[name] += 1
         at = node
     return root
 
@@ -188,8 +212,7 @@ def _score(root: Node) -> list[Node]:
         if node.parent is not None:
             node.parent.size += node.size
             node.parent.link += node.link
-        inner = any(isinstance(c, Node) and c.name in BLOCKS for c in node.children)
-        if node.name in ("p", "pre", "td", "blockquote", "li", "dd") or node.name in ("div", "section") and not inner:
+        if node.name in ("p", "pre", "td", "blockquote", "li", "dd", "div", "section"):
             text = _clean(" ".join(inline(node)))
             if text:
                 points = min(len(text) / 100, 3) + text.count(",") + (1 if len(text) >= 25 else 0)
@@ -206,21 +229,13 @@ def _score(root: Node) -> list[Node]:
 
 
 def inline(node: Node) -> Iterator[str]:
-    """All text pieces below a node."""
-    for part in node.children:
-        if isinstance(part, str):
-            yield part
-        else:
-            yield from inline_of(part)
-
-
-def inline_of(root: Node) -> Iterator[str]:
-    stack: list[Node | str] = [root]
+    """A node's own text: what stands in it but not in a block below it, so that no text counts twice."""
+    stack: list[Node | str] = list(reversed(node.children))
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             yield x
-        else:
+        elif x.name not in BLOCKS:
             stack += reversed(x.children)
 
 
@@ -267,7 +282,7 @@ def _best(root: Node) -> list[Node]:
             main = up
         up = up.parent
     if main is not None:
-        return [main]
+        top = main
     if top.parent is None or top.name in ("body", "html"):
         return [top]
     least = max(5.0, worth(top) * 0.2)
@@ -286,7 +301,14 @@ def _best(root: Node) -> list[Node]:
 
 
 def main_text(page: str) -> str:
-    return "\n".join(lines(_best(parse(page))))
+    """Where nothing is left, an outer container may have been given a name of noise: containers are then kept whatever
+    they are called, if there is an article or a heading in them."""
+    found = lines(_best(parse(page)))
+    if not found and page.strip():
+        again = parse(page, mild=True)
+        if any(n.name in ("article", "main", "h1") for n, leaving in _walk(again) if not leaving):
+            found = lines(_best(again))
+    return "\n".join(found)
 
 
 def all_text(page: str) -> str:
@@ -309,4 +331,5 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 
 def op9_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages``; see the module's text for nulls and broken markup."""
     return extracted(table(spark, sf_dir, "pages"))
