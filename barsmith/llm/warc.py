@@ -6,8 +6,10 @@ are hashes of the response's identifier and the record's type, so reruns give th
 base 32, as is usual in WARC files; digests that a response brings along are kept, missing ones are computed.
 
 A null or empty body gives an empty conversion; a null target or date stays null and is left out of the written
-header; a null record identifier is replaced by one made from target and body; repeated rows each give their records;
-an empty table gives none; extra columns, such as a row's id, are carried along under ``keep``.
+header; a null record identifier is replaced by one made from target and body, so repeated rows, which each give their
+records, give equal identifiers (bring identifiers along where they must differ); an unknown or unusable charset is read
+as UTF-8; very long bodies are converted whole; an empty table gives none; extra columns, such as a row's id, are carried
+along under ``keep``.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, raw, table
-from .html_extraction import all_text
+from .html_extraction import ATTRIBUTE, TOKEN, after_raw_text, all_text
 
 HTML, TEXT = ("text/html", "application/xhtml+xml"), ("text/plain",)
-TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.I | re.S)
-LINK = re.compile(r"""<(a|area|link|img|script|iframe)\b[^>]*?\s(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+TITLE, TITLE_END = re.compile(r"<title[^<>]*>", re.I), re.compile(r"</title\s*>", re.I)
+# Elements that link to something, and the attribute that says to what.
+LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src"}
 DERIVED = "record_type string, record_id string, refers_to string, linked_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_headers string, source_block_digest string, source_payload_digest string, block string"
 
 
@@ -55,10 +58,33 @@ def decoded(payload: bytes, content_type: str) -> str:
     charset = re.search(r"charset=\"?([\w.:-]+)", content_type, re.I)
     try:
         return payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, ValueError):  # unknown names, and codecs that aren't for text or raise at any byte
         return payload.decode("utf-8", "replace")
 
 
+def title_of(page: str) -> str:
+    """What stands in the first title that is closed, else nothing."""
+    found = TITLE.search(page)
+    end = TITLE_END.search(page, found.end()) if found else None
+    return " ".join(page[found.end() : end.start()].split()) if found and end else ""
+
+
+def links_of(page: str) -> Iterator[tuple[str, str, str]]:
+    """(element, attribute, target) of every link outside comments and scripts, tag by tag."""
+    pos = 0
+    while m := TOKEN.search(page, pos):
+        pos = m.end()
+        name = (m[2] or m[5] or "").lower()
+        if not name or m[1] or m[4]:
+            continue
+        if name in LINKS:
+            for k, x, y, z in ATTRIBUTE.findall(m[3] if m[2] else m[6]):
+                if k.lower() == LINKS[name]:
+                    yield name, LINKS[name], " ".join((x or y or z).split())
+                    break
+        pos = after_raw_text(page, name, pos)
+
+
 def derived(source_id: str | None, uri: str | None, date: str | None, headers: str | None, payload: bytes | None, block: str | None, body: str | None) -> list[tuple]:
     """The records of one response, in the order of DERIVED."""
     headers, payload = headers or "", payload or b""
@@ -73,9 +99,9 @@ def derived(source_id: str | None, uri: str | None, date: str | None, headers: s
     lines = [f"source-{'status' if not i else 'header'}: {x}" for i, x in enumerate(headers.splitlines()) if x]
     lines += [f"source-block-digest: {block}", f"source-payload-digest: {body}"]
     if mime in HTML or not mime:
-        if title := TITLE.search(page):
-            lines.append(f"title: {' '.join(title[1].split())}")
-        lines += [f"outlink: {' '.join((x or y or z).split())} {tag.lower()}/@{at.lower()}" for tag, at, x, y, z in LINK.findall(page)]
+        if title := title_of(page):
+            lines.append(f"title: {title}")
+        lines += [f"outlink: {target} {name}/@{at}" for name, at, target in links_of(page)]
     made = [("metadata", metadata_id, conversion_id if has_text else None, "application/warc-fields", "".join(f"{x}\r\n" for x in lines))]
     if has_text:
         made.append(("conversion", conversion_id, metadata_id, "text/plain; charset=utf-8", page if mime in TEXT else all_text(page)))
@@ -127,4 +153,5 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def op1_linked_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata and the conversion record of every row of ``pages``; see the module's text for nulls."""
     return derivatives(responses(table(spark, sf_dir, "pages")), keep=("page_id",))

@@ -358,6 +358,59 @@ def test_license_places_and_templates():
     assert index.scan(b"Licensed under CC BY-NC 4.0".lower().replace(b"-", b" ").replace(b".", b" ").split())[0] == {"cc-by-nc"}
 
 
+def test_scrambled_notices_are_refused():
+    index = licenses.Index()
+    bsd = next(t for t in licenses.TEMPLATES if t[0] == "bsd")
+    words, r = bsd[1].split(), random.Random(2)
+    keys = [k.split() for k in bsd[2]]
+    rest = [w for w in words if not any(w in k for k in keys)]
+    for _ in range(20):
+        r.shuffle(rest)
+        mixed = rest[: len(rest) // 2] + keys[1] + rest[len(rest) // 2 :] + keys[0]
+        assert index.scan([w.encode() for w in mixed])[0] == set()
+    assert index.scan([w.encode() for w in words])[0] == {"bsd"}
+
+
+def test_licenses_equal_brute_force(spark, data):
+    """Base columns and labels of whole documents, with notices planted in some: every start of every template is tried."""
+    r = random.Random(4)
+    docs = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    for i, (k, t) in enumerate(docs):
+        if i % 3 == 0:
+            words = (t or "").split()
+            for _ in range(r.randint(1, 4)):
+                notice = [w for w in r.choice(licenses.TEMPLATES)[1].split() if r.random() > 0.05]
+                at = r.randint(0, len(words))
+                words[at:at] = notice
+            docs[i] = (k, " ".join(words))
+    want = {}
+    for k, t in docs:
+        words = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
+        places = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.encode().split()]
+        base, labels = {x for _, x in places}, set()
+        for label, notice, keys in licenses.TEMPLATES:
+            own = notice.encode().split()
+            line = b" " + b" ".join(words) + b" "
+            if any(b" " + x.encode() + b" " not in line for x in keys):
+                continue
+            for s in range(-licenses.SLACK, len(words)):
+                stretch = words[max(0, s - 2) : max(0, s + len(own) + 4)]
+                here = b" " + b" ".join(stretch) + b" "
+                if all(b" " + x.encode() + b" " in here for x in keys):
+                    row = [0] * (len(own) + 1)  # longest common subsequence
+                    for w in stretch:
+                        row = [0, *row[1:]]
+                        last = list(row)
+                        for j, o in enumerate(own):
+                            row[j + 1] = last[j] + 1 if o == w else max(last[j + 1], row[j])
+                    if row[-1] >= 0.6 * len(own):
+                        labels.add(label)
+        starts = [i for i, _ in places]
+        want[k] = (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)))
+    got = licenses.licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: tuple(r)[1:7] for r in got} == want and sum(bool(w[5]) for w in want.values()) > 40
+
+
 def test_all_licenses_of_one_long_text():
     index = licenses.Index()
     prose = [b"w%d" % i for i in range(300)]
@@ -383,6 +436,74 @@ def test_html_keeps_the_title_of_an_entry():
     assert html_extraction.main_text(page) == "Title, here\nText one, long, and long again, for points.\nText two."
 
 
+@pytest.mark.parametrize("name", ["site-content no-sidebar", "post with-promo", "entry-content share-enabled", "article hidden-xs", "pageWithSidebar", "wrapper-comments"])
+def test_html_is_not_misled_by_layout_names(name):
+    text = "A text, long enough, with commas, to be read as the article of this page."
+    page = f'<body><nav>menu</nav><div class="{name}"><h1>Head</h1><p>{text}</p><div class="sidebar"><p>Other, things.</p></div></div></body>'
+    want = ["Head", text, "Other, things."] if name == "wrapper-comments" else ["Head", text]
+    assert html_extraction.main_text(page).split("\n") == want
+
+
+def test_html_of_a_page_of_noise_is_empty():
+    assert html_extraction.main_text('<body><div class="sidebar"><p>Other, things, to, read, here, and there.</p></div><nav>menu</nav></body>') == ""
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    pages = ["<blockquote>x, y" * 8000, "<a " * 20_000, "<div>" * 4000 + "<p>x" * 8000, "</b>" * 20_000 + "<i>" * 20_000 + "</b>" * 20_000, "<title>" * 20_000, "<ul><li>x" * 6000, "<a href='x" * 20_000]
+    for page in pages:
+        began = time.process_time()
+        html_extraction.main_text(page)
+        warc.title_of(page)
+        list(warc.links_of(page))
+        assert time.process_time() - began < 2, page[:20]
+
+
+def test_odd_charsets_are_read_as_utf8():
+    for name in ("idna", "undefined", "punycode", "rot13", "no-such", "hex", "utf-16"):
+        rows = warc.derived(None, "u", None, f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={name}\r\n\r\n", "<p>caf\u00e9 \u4e2d.</p>".encode(), None, None)
+        assert [r[0] for r in rows] == ["metadata", "conversion"]
+        if name in ("undefined", "rot13", "no-such", "hex"):
+            assert rows[1][-1] == "caf\u00e9 \u4e2d."
+
+
+def test_conversions_equal_brute_force(spark, data):
+    """The text of whole pages by a plain parser, and the links by another expression."""
+    import html.parser
+
+    class Plain(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.hidden = [""], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("head", "script", "style", "noscript", "textarea", "title", "iframe", "svg"):
+                self.hidden.append(tag)
+            if tag in html_extraction.BLOCKS:
+                self.blocks.append("")
+            if tag == "br":
+                self.handle_data(" ")
+
+        def handle_endtag(self, tag):
+            if tag in self.hidden:
+                del self.hidden[self.hidden.index(tag) :]
+            if tag in html_extraction.BLOCKS:
+                self.blocks.append("")
+
+        def handle_data(self, text):
+            if not self.hidden:
+                self.blocks[-1] += text
+
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    got = {r["page_id"]: r["block"] for r in warc.derivatives(warc.responses(pages), keep=("page_id",)).where("record_type = 'conversion'").collect()}
+    for r in pages.collect():
+        p = Plain()
+        p.feed(r["html"] or "")
+        p.close()
+        assert got[r["page_id"]] == "\n".join(b for b in (" ".join(x.split()) for x in p.blocks) if b)
+
+
 def test_html_equals_the_articles_of_the_pages(spark, data):
     import html
 
