@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -45,13 +46,58 @@ def labelled(df: DataFrame, band: tuple[float, float] = (0.45, 0.55), per_split:
     return df.join(q, list(by)).withColumn("label", label)
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...], most: int = 1_000_000, parts: int = 128) -> dict[str, list[float | None]]:
+    """For each column the quantiles (between neighbours by place) of its values. Around each place that is asked for, a
+    bracket is cut into ``parts`` ranges whose rows are counted, until it holds ``most`` values at most or only equal
+    ones; only those are put in order. So no task orders or holds a column, and the driver sees counts."""
+    row = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first()
+    wanted = {i: [(row[f"n{i}"] - 1) * s for s in shares] for i in range(len(columns)) if row[f"n{i}"]}
+    #: (column, place): least and largest value of the bracket, values before it, values in it
+    open_ = {(i, r): (float(row[f"a{i}"]), float(row[f"b{i}"]), 0, row[f"n{i}"]) for i, ps in wanted.items() for p in ps for r in (math.floor(p), math.ceil(p))}
+    while wide := {k: v for k, v in open_.items() if v[3] > most and v[0] < v[1]}:
+        keys = {(i, *b): (i, b) for (i, _), b in wide.items()}
+        cut = [F.struct(F.lit(j).alias("j"), F.when(F.col(columns[i]).between(a, b), F.least(F.lit(parts - 1), F.floor((F.col(columns[i]) - a) / (b - a) * parts))).alias("part"), F.col(columns[i]).cast("double").alias("x")) for j, (i, (a, b, *_)) in enumerate(keys.values())]
+        found = df.select(F.explode(F.array(*cut)).alias("_c")).select("_c.*").where("part IS NOT NULL").groupBy("j", "part").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
+        by: dict[int, list] = {}
+        for x in sorted(found.collect()):  # at most ``parts`` rows for each bracket
+            by.setdefault(x["j"], []).append(x)
+        for (i, r), bracket in wide.items():
+            before = bracket[2]
+            for x in by[list(keys).index((i, *bracket))]:
+                if r < before + x["n"]:
+                    open_[i, r] = (x["a"], x["b"], before, x["n"])
+                    break
+                before += x["n"]
+    narrow = {(i, v): None for (i, _), v in open_.items() if v[0] < v[1]}
+    values: dict = {}
+    if narrow:
+        cut = [F.struct(F.lit(j).alias("j"), F.when(F.col(columns[i]).between(a, b), F.col(columns[i]).cast("double")).alias("x")) for j, (i, (a, b, *_)) in enumerate(narrow)]
+        each = df.select(F.explode(F.array(*cut)).alias("_c")).select("_c.*").where("x IS NOT NULL").groupBy("j", "x").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(W.partitionBy("j").orderBy("x"))
+        places = spark_rows(df, [(j, r - v[2]) for j, (i, v) in enumerate(narrow) for (k, r), o in open_.items() if k == i and o == v], "j int, r long")
+        placed = each.withColumn("upto", upto).join(F.broadcast(places), "j").where("r < upto AND r >= upto - n")  # a row for each place
+        found = {(x["j"], x["r"]): x["x"] for x in placed.select("j", "r", "x").collect()}
+        values = {(i, r): found[j, r - v[2]] for j, (i, v) in enumerate(narrow) for (k, r), o in open_.items() if k == i and o == v}
+    at = lambda i, r: values.get((i, r), open_[i, r][0])
+
+    def between(i: int, p: float) -> float:
+        low, high = at(i, math.floor(p)), at(i, math.ceil(p))
+        return low if low == high else (math.ceil(p) - p) * low + (p - math.floor(p)) * high
+
+    return {c: [between(i, p) for p in wanted[i]] if i in wanted else [None] * len(shares) for i, c in enumerate(columns)}
+
+
+def spark_rows(df: DataFrame, rows: list, schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def robust_parameters(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: median and interquartile range (1 where it is 0) of each column over the train rows of all tickers."""
-    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    row = df.where("split = 'train'").agg(*[F.percentile(c, q).alias(c) for c in columns])
-    iqr = lambda c: F.col(c)[2] - F.col(c)[0]
-    out = [x for c in columns for x in (F.col(c)[1].alias(f"{c}_median"), F.when(iqr(c) == 0, 1.0).otherwise(iqr(c)).alias(f"{c}_iqr"))]
-    return row.select(*out)
+    found = exact_quantiles(df.where("split = 'train'"), columns, (0.25, 0.5, 0.75))
+    row = {}
+    for c, (low, mid, high) in found.items():
+        row |= {f"{c}_median": mid, f"{c}_iqr": None if mid is None else (high - low) or 1.0}
+    return spark_rows(df, [tuple(row.values())], ", ".join(f"`{k}` double" for k in row))
 
 
 def robust_scaled(df: DataFrame, columns: list[str], parameters: DataFrame | None = None) -> DataFrame:
@@ -99,7 +145,7 @@ def balanced_resample(df: DataFrame, n: int, keys: tuple[str, ...] = ("ticker",
     return drawn.withColumn("_t", times).where("_t > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_t")))).select(*df.columns)
 
 
-def balanced_batches(df: DataFrame, batch: int, n_batches: int, classes: int = 3, keys: tuple[str, ...] = ("ticker", "ts"), seed: int = 1) -> DataFrame:
+def balanced_batches(df: DataFrame, batch: int, n_batches: int, classes: int = 3, keys: tuple[str, ...] = ("ticker", "ts"), seed: int = 1, ranges: int = 4096) -> DataFrame:
     """(batch_no, slot, drawn row): batch // classes slots for each class, one more for the first classes while there is
     a rest; each slot draws a row of its class with replacement, or any row where the class is empty."""
     spark = df.sparkSession
@@ -107,17 +153,23 @@ def balanced_batches(df: DataFrame, batch: int, n_batches: int, classes: int = 3
     slots = spark.range(n_batches).select(F.col("id").alias("batch_no"), F.explode(F.array(*[F.lit(c) for c in range(classes)])).alias("wanted"))
     slots = slots.withColumn("slot", F.explode(F.sequence(F.lit(0), F.get(F.array(*[F.lit(max(0, s - 1)) for s in sizes]), F.col("wanted")))))
     slots = slots.where(F.col("slot") < F.get(F.array(*[F.lit(s) for s in sizes]), F.col("wanted")))
-    row = F.struct(*df.columns).alias("_row")
-    rows = df.select(row, F.col("label").cast("int").alias("_pool"), (F.row_number().over(W.partitionBy("label").orderBy(*keys)) - 1).alias("_no"))
+    # rows are numbered within hash ranges of their class, and ranges by the counts of those before: no task holds a class
+    ranged = df.select(F.struct(*df.columns).alias("_row"), F.col("label").cast("int").alias("_pool"), F.pmod(F.xxhash64(*keys), F.lit(ranges)).alias("_range"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    held = ranged.groupBy("_pool", "_range").agg(F.count("*").alias("_held"))
+    before = lambda w: F.coalesce(F.sum("_held").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = held.select("_pool", "_range", before(W.partitionBy("_pool").orderBy("_range")).alias("_start"), before(W.partitionBy().orderBy("_pool", "_range")).alias("_any"))
+    order = W.partitionBy("_pool", "_range").orderBy(*[f"_k{i}" for i in range(len(keys))])
+    rows = ranged.withColumn("_in", F.row_number().over(order) - 1).join(starts, ["_pool", "_range"])
+    rows = rows.select("_row", "_pool", (F.col("_in") + F.col("_start")).alias("_no"), (F.col("_in") + F.col("_any")).alias("_of_any"))
     counts = df.groupBy(F.col("label").cast("int").alias("_c")).agg(F.count("*").alias("_n"))
     slots = slots.join(F.broadcast(counts), F.col("wanted") == F.col("_c"), "left")  # a row for each class
     hashed = F.xxhash64("batch_no", "wanted", "slot", F.lit(seed))
     picked = slots.where("_n IS NOT NULL").withColumn("_pick", F.pmod(hashed, F.col("_n")))
     found = picked.join(rows, (F.col("wanted") == F.col("_pool")) & (F.col("_pick") == F.col("_no"))).select("batch_no", "wanted", "slot", "_row.*")
-    if set(range(classes)) - {r[0] for r in counts.select("_c").collect()}:
-        every = df.select(row, (F.row_number().over(W.orderBy(*keys)) - 1).alias("_no"))
-        picked = slots.where("_n IS NULL").withColumn("_pick", F.pmod(hashed, F.lit(max(1, df.count()))))
-        found = found.unionByName(picked.join(every, F.col("_pick") == F.col("_no")).select("batch_no", "wanted", "slot", "_row.*"))
+    number = dict(counts.collect())
+    if set(range(classes)) - set(number):
+        picked = slots.where("_n IS NULL").withColumn("_pick", F.pmod(hashed, F.lit(max(1, sum(number.values())))))
+        found = found.unionByName(picked.join(rows, F.col("_pick") == F.col("_of_any")).select("batch_no", "wanted", "slot", "_row.*"))
     return found
 
 

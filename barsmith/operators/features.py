@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.bars import usable
 from ..functions.scan import affine_scan, ema, wilder, with_index, Recurrence
 from ..functions.windows import change, clip, flag, full, lagged, ordered, upto, wide_mean
 
@@ -33,6 +34,7 @@ FULL = Preset()
 #: About a tenth of the lengths, for short series.
 SHORT = replace(FULL, rsi=(14, 14, 22, 35), sma=(5, 20, 50, 125), ema=(9, 21, 52, 125), macd=((12, 26, 9), (19, 42, 14)), volume=(20, 50), drawdown=(16, 50))
 
+# The features, in order.
 NAMES = (
     "Open High Low Close Volume Close_15m Close_1h Volume_15m Price_Change_15m Price_Change_1h Price_Change_4h Price_Change_1d "
     "High_Low_Ratio Price_Range Intraday_Return Price_Position RSI_15m RSI_1h RSI_4h RSI_1d RSI_Change RSI_Overbought RSI_Oversold "
@@ -119,8 +121,8 @@ def _macd(i: int, fast: int, slow: int) -> list[Recurrence]:
 
 
 def recurrences(bars: DataFrame, p: Preset = FULL, parts: tuple[str, ...] = ("ema", "rsi", "macd")) -> DataFrame:
-    """``bars`` with EMA_*, RSI_* and MACD columns of the parts asked for; one scan, and one more for signal lines."""
-    df = _scan_inputs(bars)
+    """Usable ``bars`` with EMA_*, RSI_* and MACD columns of the parts asked for; one scan, and one more for signal lines."""
+    df = _scan_inputs(usable(bars))
     todo: list[Recurrence] = []
     if "ema" in parts:
         todo += [_ema(name, n) for name, n in zip(("EMA_9_15m", "EMA_21_15m", "EMA_21_1d", "EMA_50_1d"), p.ema, strict=True)]
@@ -161,7 +163,7 @@ def rsi_events() -> dict[str, Column]:
 
 
 def build_features(bars: DataFrame, preset: Preset = FULL) -> DataFrame:
-    """ticker, ts and the 46 features of ``bars`` (ticker, ts, open, high, low, close, volume), one row for each bar."""
+    """ticker, ts and the 46 features of ``bars`` (ticker, ts, open, high, low, close, volume), one row for each usable bar."""
     p = preset
     df = recurrences(bars.select("ticker", "ts", *[F.col(c).cast("double").alias(c) for c in (O, H, L, C, V)]), p)
     df = df.withColumns(lags(p) | sma_columns(p) | volume_columns(p) | risk_columns(p))

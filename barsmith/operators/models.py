@@ -8,9 +8,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import dataset
+from . import dataset, evaluate
 
 
 def train_classifier(df: DataFrame, columns: list[str], kind: str = "logistic", hidden: tuple[int, ...] = (32, 16), iterations: int = 50, weighted: bool = True, seed: int = 1) -> PipelineModel:
@@ -35,4 +36,7 @@ def score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
 
 
 def compare(*scored: DataFrame) -> DataFrame:
-    return dataset.union_all(*scored)
+    """(model, accuracy, weighted_f1, place): all models by accuracy, the best first, ties by name."""
+    rows = evaluate.predicted(dataset.union_all(*scored))
+    both = evaluate.accuracy(rows).join(evaluate.weighted_f1(rows), "model")
+    return both.withColumn("place", F.row_number().over(W.partitionBy().orderBy(F.col("accuracy").desc(), "model")))  # a row for each model

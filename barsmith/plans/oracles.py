@@ -143,7 +143,7 @@ ORACLES["landed_bars"] = f"{DAILY} SELECT ticker, ts, {r('open')} AS open, {r('h
 ORACLES["bars_between"] = f"{DAILY} SELECT {BAR_COLUMNS} FROM (SELECT *, count(*) OVER (PARTITION BY ticker) AS n FROM bars WHERE ts >= TIMESTAMP '1994-01-01' AND ts < TIMESTAMP '1996-01-01') WHERE n >= 100"
 ORACLES["recent_bars"] = f"{DAILY} SELECT {BAR_COLUMNS} FROM (SELECT *, max(ts) OVER (PARTITION BY ticker) AS newest FROM bars) WHERE ts >= newest - INTERVAL 60 DAY"
 ORACLES["universe_codes"] = f"{DAILY}, codes AS (SELECT ticker, CAST(row_number() OVER (ORDER BY ticker) - 1 AS SMALLINT) AS code FROM (SELECT DISTINCT ticker FROM bars)) SELECT ticker, ts, {r('close')} AS close, code FROM bars JOIN codes USING (ticker) WHERE code < 4"
-ORACLES["ticker_report"] = "SELECT n_name AS ticker, count(c_custkey) AS n_rows, CAST(count(c_custkey) > 0 AS INTEGER) AS succeeded FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_nationkey % 3 <> 0) c ON c_nationkey = n_nationkey GROUP BY n_name"
+ORACLES["ticker_report"] = "SELECT n_name AS ticker, count(c_custkey) AS n_rows, CAST(count(c_custkey) > 0 AS INTEGER) AS succeeded FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name UNION ALL SELECT r_name, 0, 0 FROM region"
 ORACLES["pool_profile"] = f"{DAILY} SELECT count(*) AS n_rows, count(DISTINCT ticker) AS n_tickers FROM bars"
 
 ORACLES["lag_change"] = f"{DAILY} {pick(rounded(LAGS | {'Close_Diff': 'close - ' + lag('close')}))} FROM bars"
@@ -368,3 +368,23 @@ ORACLES["stream_bars"] = f"{Q15} SELECT {BAR_COLUMNS} FROM bars WHERE ts + INTER
 ORACLES["stream_latest_quote"] = f"SELECT event_type AS symbol, ts, {r('value')} AS last, {r('value - 0.01')} AS bid, {r('value + 0.01')} AS ask FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1"
 ORACLES["stream_ema"] = f"WITH RECURSIVE {fx.TICKS}, num AS (SELECT ticker, ts, seq, price AS close, row_number() OVER (PARTITION BY ticker ORDER BY ts, seq) - 1 AS rn, avg(price) OVER (PARTITION BY ticker ORDER BY ts, seq) AS mean_close FROM ticks), {recursion({'ema': ema_state(9)}, 'num')} SELECT n.ticker, n.ts, n.seq, {r('rec.ema')} AS ema FROM num n JOIN rec ON n.ticker = rec.ticker AND n.rn = rec.rn"
 ORACLES["stream_pair"] = f"SELECT s.event_type AS symbol, s.ts AS s_ts, {r('s.value')} AS s_last, o.ts AS o_ts, {r('o.value')} AS o_last FROM events s JOIN events o ON s.event_type = o.event_type AND s.user_id % 2 = 0 AND o.user_id % 2 = 1 AND o.ts >= s.ts AND o.ts <= s.ts + INTERVAL 5 MINUTE"
+_num = "num AS (SELECT *, avg(close) OVER (PARTITION BY ticker ORDER BY rn) AS mean_close, sum(gain) OVER (PARTITION BY ticker ORDER BY rn) AS sum_gain, sum(loss) OVER (PARTITION BY ticker ORDER BY rn) AS sum_loss, sum(coalesce(sign(d) * size, size)) OVER (PARTITION BY ticker ORDER BY rn) AS obv FROM moves)"
+_moves = "placed AS (SELECT ticker, ts, seq, size, price AS close, row_number() OVER s - 1 AS rn, price - lag(price) OVER s AS d FROM ticks WINDOW s AS (PARTITION BY ticker ORDER BY ts, seq)), moves AS (SELECT *, greatest(coalesce(d, 0), 0) AS gain, greatest(coalesce(-d, 0), 0) AS loss FROM placed)"
+ORACLES["stream_indicators"] = (
+    f"WITH RECURSIVE {fx.TICKS}, {_moves}, {_num}, {recursion({'ema': ema_state(9), 'g': wilder_state(14, 'gain'), 'l': wilder_state(14, 'loss')}, 'num')} "
+    f"SELECT n.ticker, n.ts, n.seq, {r('rec.ema')} AS ema, {r('CASE WHEN g + l = 0 THEN 0 ELSE 100 * g / (g + l) END')} AS rsi, {r('coalesce(obv, 0)')} AS obv FROM num n JOIN rec ON n.ticker = rec.ticker AND n.rn = rec.rn"
+)
+_side = "SELECT event_type, ts, value FROM events WHERE user_id % 2 = {} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1"
+_quote = lambda k, n: f"{k}.ts AS {n}_ts, {r(f'{k}.value')} AS {n}_last, {r(f'{k}.value - 0.01')} AS {n}_bid, {r(f'{k}.value + 0.01')} AS {n}_ask"
+ORACLES["latest_pairs"] = f"SELECT s.event_type AS symbol, {_quote('s', 'stock')}, {_quote('o', 'option')} FROM ({_side.format(0)}) s JOIN ({_side.format(1)}) o USING (event_type)"
+_means = "means AS (SELECT ticker, avg(v) AS p FROM (SELECT event_type AS ticker, user_id % 3 AS m, avg(value) / 1000 AS v FROM events GROUP BY ALL) GROUP BY ticker)"
+ORACLES["stream_signals"] = f"WITH {_means}, {SIGNALS[SIGNALS.index('sig AS'):]} SELECT ticker, action, {r('p')} AS predicted_return, {r('confidence')} AS confidence, signal_strength, rank FROM sig"
+
+# sinks
+ORACLES["landed_files"] = ORACLES["bars_daily"]
+ORACLES["feature_files"] = f"{DAILY} SELECT ticker, count(*) AS n_rows, TRUE AS found FROM bars GROUP BY ticker"
+ORACLES["signals_json"] = ORACLES["signals"]
+ORACLES["news_json"] = ORACLES["news_confidence"]
+ORACLES["model_comparison"] = ORACLES["accuracy_f1"].replace("SELECT model, round((SELECT", "SELECT model, CAST(row_number() OVER (ORDER BY (SELECT avg(CAST(pred = actual AS INTEGER)) FROM scored s WHERE s.model = f.model) DESC, model) AS INTEGER) AS place, round((SELECT")
+_import = f"{Q15.replace('bars AS (', 'whole AS (')}, bars AS (SELECT ticker, ts, close, CASE WHEN volume <= 300 THEN volume END AS volume FROM whole WHERE close >= 20)"
+ORACLES["imported_bars"] = f"{recurrent(_import, 'rsi')} SELECT b.ticker, b.ts, {r('close')} AS close, {r('volume')} AS volume, {r('RSI_15m')} AS RSI_15m FROM bars b JOIN feats f ON b.ticker = f.ticker AND b.ts = f.ts"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,8 +77,9 @@ def universe_codes(spark, d):
 @query
 def ticker_report(spark, d):
     codes = fx.read(spark, d, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("ticker"))
-    have = fx.read(spark, d, "customer").join(F.broadcast(codes), F.col("c_nationkey") == F.col("code")).where("c_nationkey % 3 <> 0").select("ticker")
-    return src.ticker_report(codes, have)
+    more = fx.read(spark, d, "region").select((F.col("r_regionkey") + 1000).alias("code"), F.col("r_name").alias("ticker"))  # tickers that no customer has
+    have = fx.read(spark, d, "customer").join(F.broadcast(codes), F.col("c_nationkey") == F.col("code")).select("ticker")
+    return src.ticker_report(codes.unionByName(more), have)
 
 
 @query
@@ -245,6 +248,13 @@ def prepared(spark, d):
     return ds.prepare(f, ["f1", "f4"]).select("ticker", "ts", "split", "label", "f1", "f4")
 
 
+@query
+def prepared_features(spark, d):
+    """All 46 features of the short preset, complete rows only, scaled and labelled."""
+    f = ft.build_features(fx.bars_daily(spark, d), ft.SHORT)
+    return ds.prepare(f, list(ft.NAMES)).select("ticker", "ts", "split", "label", *ft.NAMES)
+
+
 # evaluation
 
 
@@ -304,6 +314,19 @@ def prediction_head(spark, d):
     return ev.prediction_head(_scored(spark, d), 100).drop("logits")
 
 
+@query
+def model_comparison(spark, d):
+    s = fx.scores(spark, d)
+    return md.compare(s.where("model = 'a'"), s.where("model = 'b'"))
+
+
+@query
+def imported_bars(spark, d):
+    """15-minute bars without a volume where an import has NaN, and without those that lack a price."""
+    b = fx.bars15(spark, d).withColumns({"close": F.when(F.col("close") < 20, F.lit(float("nan"))).otherwise(F.col("close")), "volume": F.when(F.col("volume") > 300, F.lit(float("inf"))).otherwise(F.col("volume"))})
+    return ft.recurrences(src.usable(b), parts=("rsi",)).select("ticker", "ts", "close", "volume", "RSI_15m")
+
+
 # signals
 
 
@@ -490,10 +513,11 @@ def mlp_scores(spark, d):
 
 
 def _folder(spark) -> str:
+    """A new folder that driver and executors share; only a local session may do without spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
 def _stream(spark, d, make) -> DataFrame:
@@ -518,19 +542,27 @@ def stream_bars(spark, d):
 
 @query
 def stream_latest_quote(spark, d):
-    import uuid
-
-    x = sm.drained(sm.latest_quotes(_stream(spark, d, _quotes)), "latest_" + uuid.uuid4().hex[:8], _folder(spark), "complete")
+    x = sm.drained(sm.latest_quotes(_stream(spark, d, _quotes)), "latest", _folder(spark), "complete")
     return x.select("symbol", "ts", "last", "bid", "ask")
 
 
 @query
 def stream_ema(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    x = sm.drained(sm.stream_ema(_stream(spark, d, _ticks)), "ema", _folder(spark))
+    x = sm.drained(sm.stream_ema(_stream(spark, d, _ticks)), "ema", _folder(spark), settings=(sm.STATE_STORE,))
     return x.select("ticker", F.col("ts").cast("timestamp_ntz").alias("ts"), "seq", "ema")
 
 
+@query
+def stream_indicators(spark, d):
+    x = sm.drained(sm.stream_indicators(_stream(spark, d, _ticks)), "indicators", _folder(spark), settings=(sm.STATE_STORE,))
+    return x.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query
+def latest_pairs(spark, d):
+    return sm.latest_pairs(fx.quotes(spark, d))
+
+
 @query
 def stream_pair(spark, d):
     stocks, options = (_stream(spark, d, _quotes).where(f"odd = {k}") for k in (0, 1))
@@ -545,11 +577,46 @@ def stream_signals(spark, d):
 
     def work(batch: DataFrame, number: int) -> None:
         p = batch.groupBy(F.col("event_type").alias("ticker"), F.concat(F.lit("m"), F.col("user_id") % 3).alias("model")).agg((F.avg("value") / 1000).alias("predicted_return"))
-        found = sg.signals(p).drop("model_predictions", "timestamp").withColumn("batch", F.lit(number))
+        found = sg.signals(p).drop("model_predictions", "timestamp")
         found.write.mode("append").json(f"{folder}/signals")
 
     sm.run_incrementally(_stream(spark, d, lambda e: e), work, f"{folder}/state")
-    return spark.read.schema("action string, batch long, confidence double, predicted_return double, rank int, signal_strength string, ticker string").json(f"{folder}/signals")
+    return src.read_json(spark, f"{folder}/signals", "action string, confidence double, predicted_return double, rank int, signal_strength string, ticker string")
+
+
+# sinks: written and read again
+
+
+@query
+def landed_files(spark, d):
+    """Bars as a folder of files for each ticker, read again."""
+    folder = _folder(spark)
+    src.write_bars(fx.bars_daily(spark, d), folder)
+    return src.read_bars(spark, folder)
+
+
+@query
+def feature_files(spark, d):
+    """Features as a folder of files for each ticker; what a scan of all of them finds."""
+    folder = _folder(spark)
+    f = _with(fx.bars_daily(spark, d), ft.lags())
+    f.repartition("ticker").write.partitionBy("ticker").parquet(folder)
+    found = src.files_read(src.read_feature_files(spark, folder))
+    return found.select("ticker", "n_rows", (F.col("n_files") > 0).alias("found"))
+
+
+@query
+def signals_json(spark, d):
+    folder = _folder(spark)
+    src.write_json(sg.signals(fx.predictions(spark, d)), folder, "action")
+    return src.read_json(spark, folder, "ticker string, action string, predicted_return double, confidence double, signal_strength string, rank int")
+
+
+@query
+def news_json(spark, d):
+    folder = _folder(spark)
+    src.write_json(nw.clean_news(fx.news_raw(spark, d)).select("ticker", "datetime", "headline", "confidence"), folder)
+    return src.read_json(spark, folder, "ticker string, datetime timestamp_ntz, headline string, confidence double")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.windows import no_nan
+
 BAR_COLUMNS = ("ticker", "ts", "open", "high", "low", "close", "volume")
 
 
@@ -27,6 +29,14 @@ def read_bars(spark: SparkSession, path: str, form: str = "parquet") -> DataFram
     return df.select("ticker", ts.alias("ts"), *[F.col(c).cast("double").alias(c) for c in BAR_COLUMNS[2:]])
 
 
+def usable(bars: DataFrame) -> DataFrame:
+    """Bars that can take part in a series: NaN and infinities are missing values, and a bar without all four prices is
+    left out, so that it shifts no mean and breaks no recurrence. A missing volume stays missing."""
+    kinds = dict(bars.dtypes)
+    numbers = {c: no_nan(F.col(c)) for c in BAR_COLUMNS[2:] if kinds[c] in ("double", "float")}
+    return bars.withColumns(numbers).dropna("any", subset=list(BAR_COLUMNS[2:6]))
+
+
 def land_bars(*chunks: DataFrame, source_zone: str | None = None, target_zone: str = "America/New_York") -> DataFrame:
     """Chunks in any order and overlap as one table: local time without zone, the six columns, one row for each
     (ticker, ts): that of the chunk given first."""
@@ -41,10 +51,17 @@ def land_bars(*chunks: DataFrame, source_zone: str | None = None, target_zone: s
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*BAR_COLUMNS)
 
 
-def read_feature_files(spark: SparkSession, path: str, pattern: str = r"([^/]+)\.parquet") -> DataFrame:
-    """All feature files of a directory with the ticker taken from the file's name; broken files are passed over."""
-    df = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(path)
-    return df.withColumn("ticker", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
+def read_feature_files(spark: SparkSession, path: str, pattern: str = r"([^/=]+)/[^/]*$|([^/]+)\.parquet$", skip_broken: bool = False) -> DataFrame:
+    """All feature files below a directory with the ticker taken from the file's path: its folder (``ticker=X/part``) or,
+    for other ``pattern``s, what the first group finds. With ``skip_broken`` files that can't be read are passed over;
+    :func:`files_read` says which were read."""
+    df = spark.read.option("ignoreCorruptFiles", str(skip_broken).lower()).option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(path)
+    return df.withColumn("ticker", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
+
+
+def files_read(features: DataFrame) -> DataFrame:
+    """(ticker, n_files, n_rows): what a feature scan has found for each ticker."""
+    return features.withColumn("_file", F.input_file_name()).groupBy("ticker").agg(F.countDistinct("_file").alias("n_files"), F.count("*").alias("n_rows"))
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
@@ -100,6 +117,16 @@ def write_signals(signals: DataFrame, path: str) -> None:
     signals.withColumn("run", F.date_format("timestamp", "yyyyMMdd_HHmmss")).write.json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with a given schema: no pass over the data to infer one, and lines of another form give nulls."""
+    return spark.read.schema(schema).json(path)
+
+
+def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
+    """JSON lines, in a folder for each value of ``by``."""
+    (df.write.partitionBy(by) if by else df.write).json(path)
+
+
 def drop_prefix(df: DataFrame, prefix: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(prefix)])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,51 +41,104 @@ def pair_quotes(stocks: DataFrame, options: DataFrame, within: str = "5 minutes"
     return s.join(o, near).select(F.col("s_symbol").alias("symbol"), "s_ts", "s_last", "o_ts", "o_last")
 
 
-class EmaProcessor(StatefulProcessor):
-    """An exponential mean for each key: state is the number of values, the sum for the seed and the last mean."""
+def latest_pairs(quotes: DataFrame) -> DataFrame:
+    """symbol with the last stock quote and the last option quote (ts, last, bid, ask) of ``quotes`` (kind: stock or
+    option), where both are there and have a last price. For tables, and for streams in complete mode."""
+    q = F.struct("ts", "last", "bid", "ask")
+    newest = [F.max_by(F.when(F.col("kind") == k, q), F.when(F.col("kind") == k, F.struct("ts", "seq"))).alias(k) for k in ("stock", "option")]
+    found = quotes.groupBy("symbol").agg(*newest).where("stock.last IS NOT NULL AND option.last IS NOT NULL")
+    return found.select("symbol", *[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("stock", "option") for c in ("ts", "last", "bid", "ask")])
 
-    def __init__(self, n: int):
-        self.n = n
+
+class IndicatorProcessor(StatefulProcessor):
+    """For each key an exponential mean, a relative strength index and on-balance volume. The state holds the number of
+    values, what the seeds need and the last values; a batch is folded by pandas' own exponential means."""
+
+    def __init__(self, ema: int, rsi: int):
+        self.ema, self.rsi = ema, rsi
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ema", "n long, total double, mean double")
+        self.state = handle.getValueState("indicators", "n long, price double, total double, mean double, gain double, loss double, obv double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, total, mean = self.state.get() if self.state.exists() else (0, 0.0, 0.0)
-        k = 2 / (self.n + 1)
+        n, price, total, mean, gain, loss, obv = self.state.get() if self.state.exists() else (0, None, 0.0, 0.0, 0.0, 0.0, 0.0)
         batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        out = []
-        for x in batch["price"]:
-            n += 1
-            if n <= self.n:
-                total += x
-                mean = total / n
-            else:
-                mean = (1 - k) * mean + k * x
-            out.append(mean if n >= self.n else None)
-        self.state.update((n, total, mean))
-        yield pd.DataFrame({"ticker": key[0], "ts": batch["ts"].to_numpy(), "seq": batch["seq"].to_numpy(), "ema": pd.Series(out, dtype="float64")})
+        x, size = batch["price"].to_numpy(dtype=float), batch["size"].to_numpy(dtype=float)
+        step = np.diff(x, prepend=x[0] if price is None else price)
+        flow = np.nan_to_num(np.sign(step) * size)
+        if price is None:
+            flow[0] = np.nan_to_num(size[0])  # the first value counts in full
+        flow[0] += obv
+        obvs = np.cumsum(flow)
+        at = n + np.arange(len(x))  # places in the series
+        means = _seeded(x, at, mean, total, self.ema - 1, self.ema, 2 / (self.ema + 1))
+        gains = _seeded(np.maximum(step, 0), at, gain, gain * min(max(n - 1, 0), self.rsi), self.rsi, self.rsi, 1 / self.rsi)
+        losses = _seeded(np.maximum(-step, 0), at, loss, loss * min(max(n - 1, 0), self.rsi), self.rsi, self.rsi, 1 / self.rsi)
+        both = gains + losses
+        rsi = np.where(both == 0, 0.0, 100 * gains / np.where(both == 0, 1, both))
+        rsi[at < self.rsi] = np.nan
+        n += len(x)
+        self.state.update((n, float(x[-1]), float(total + x.sum()) if n <= self.ema else 0.0, float(means[-1]), float(gains[-1]), float(losses[-1]), float(obvs[-1])))
+        none = lambda a: pd.Series(a, dtype="float64").astype(object).where(~np.isnan(a), None)
+        yield pd.DataFrame({"ticker": key[0], "ts": batch["ts"].to_numpy(), "seq": batch["seq"].to_numpy(), "ema": none(np.where(at >= self.ema - 1, means, np.nan)), "rsi": none(rsi), "obv": none(obvs)})
 
     def close(self) -> None:
         pass
 
 
+def _seeded(x: np.ndarray, at: np.ndarray, last: float, total: float, first: int, n: int, k: float) -> np.ndarray:
+    """y[i] = (1 - k) * y[i - 1] + k * x[i] from place ``first`` on, where y is the mean of the n values up to there;
+    before, the running mean. ``last`` is y before these values, ``total`` the sum of the values so far."""
+    warm = at <= first
+    skip = first + 1 - n  # values before this place are no part of the seed
+    sums = total + np.cumsum(np.where(warm & (at >= skip), x, 0.0))
+    out = sums / np.maximum(1, at + 1 - skip)
+    if not warm.all():
+        start = out[warm][-1] if warm.any() else last
+        out[~warm] = pd.Series([start, *x[~warm]]).ewm(alpha=k, adjust=False).mean().to_numpy()[1:]
+    return out
+
+
+#: State that outgrows memory needs this store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def stream_indicators(ticks: DataFrame, ema: int = 9, rsi: int = 14, delay: str = "10 minutes") -> DataFrame:
+    """ticker, ts, seq and the running EMA, RSI and OBV of each ticker's prices and sizes, updated batch by batch; rows of a
+    batch are put in order first. Rows without a price are left out; a missing size counts as none. How much of a ticker
+    stands in memory is bounded by the files of a micro-batch (:func:`read_stream`). Needs STATE_STORE."""
+    rows = timed(ticks, delay).select("ticker", "ts", "seq", "price", F.col("size").cast("double").alias("size")).where("price IS NOT NULL AND NOT isnan(price)")
+    return rows.groupBy("ticker").transformWithStateInPandas(IndicatorProcessor(ema, rsi), "ticker string, ts timestamp, seq long, ema double, rsi double, obv double", "Append", "None")
+
+
 def stream_ema(ticks: DataFrame, n: int = 9, delay: str = "10 minutes") -> DataFrame:
-    """The running EMA of each ticker's prices, updated batch by batch; rows of a batch are put in order first."""
-    rows = timed(ticks, delay).select("ticker", "ts", "seq", "price")
-    return rows.groupBy("ticker").transformWithStateInPandas(EmaProcessor(n), "ticker string, ts timestamp, seq long, ema double", "Append", "None")
+    """The running EMA alone."""
+    return stream_indicators(ticks.withColumn("size", F.lit(0.0)), n, delay=delay).select("ticker", "ts", "seq", "ema")
 
 
-def drained(stream: DataFrame, name: str, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its rows, written as Parquet for append mode."""
+def drained(stream: DataFrame, name: str, folder: str, mode: str = "append", settings: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """Runs a stream over what is there and returns its rows, written as Parquet: all of them in append mode, the last
+    result in complete mode. ``settings`` hold while the stream starts."""
     spark = stream.sparkSession
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/{name}-state").option("path", f"{folder}/{name}").outputMode(mode).trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}-state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    before = {k: spark.conf.get(k, None) for k, _ in settings}
+    for k, v in settings:
+        spark.conf.set(k, v)
+    try:
+        writer = stream.writeStream.option("checkpointLocation", f"{folder}/{name}-state").outputMode(mode).trigger(availableNow=True)
+        if mode == "append":
+            writer.format("parquet").option("path", f"{folder}/{name}").start().awaitTermination()
+            return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
+        done: list[int] = []
+
+        def work(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{folder}/{name}/{number}")
+            done.append(number)
+
+        writer.foreachBatch(work).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/{name}/{max(done)}") if done else spark.createDataFrame([], stream.schema)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_incrementally(stream: DataFrame, work: Callable[[DataFrame, int], None], folder: str) -> None:
