@@ -90,12 +90,17 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(WORD_TABLE).split()
 
 
+#: Tables of keys with so many rows at most are broadcast (under 1 MB), larger ones are joined by a shuffle.
+FEW_KEYS = 10_000
+
+
 def least_rows(rows: DataFrame, key: str, most: int, salt: int) -> DataFrame:
     """A bounded sample of ``rows`` (doc_id, text and ``key``): at most ``most`` for each key, those with the least hash
     of id and text; rows equal in all three count once. What can't be among them is dropped before the exchange, by the
     share of the hash space that the sample needs, so a key that holds most rows makes no large task."""
     at = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(salt)), 11) / F.lit(float(2**53))
-    number = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows"))  # a row for each key
+    number = stored(rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows")), "keys")  # a row for each key
+    number = F.broadcast(number) if number.count() <= FEW_KEYS else number
     few = rows.select("doc_id", "text", key, at.alias("_at")).join(number, F.col(key) == F.col("_key"))
     few = few.where(F.col("_at") * F.col("_rows") < F.lit(most + 8 * most**0.5))
     few = few.groupBy("doc_id", key, "_at").agg(F.first("text").alias("text"))

@@ -84,13 +84,14 @@ def counts(rows: DataFrame) -> DataFrame:
 class Model:
     """Log frequencies of words and n-grams: for each length a dictionary of row numbers and a matrix of languages."""
 
-    def __init__(self, found: pd.DataFrame):
-        self.languages = sorted(found["lang"].unique())
+    def __init__(self, known: dict[str, float], parts: Iterator[pd.DataFrame]):
+        """known: share of known words, by language; parts: (lang, gram, count) of each length from 0 on."""
+        self.languages = sorted(known)
+        self.known = [known[x] for x in self.languages]
         at = {lang: i for i, lang in enumerate(self.languages)}
         self.rows: list[dict[str, int]] = []
         self.logs: list[np.ndarray] = []
-        for n in range(LONGEST + 1):
-            own = found[found["n"] == n]
+        for own in parts:
             codes, names = pd.factorize(own["gram"])
             table = np.full((len(names), len(at)), SMOOTH, dtype=np.float64)
             np.add.at(table, (codes, own["lang"].map(at).to_numpy(dtype=np.int64)), own["count"].to_numpy(dtype=np.float64))
@@ -98,8 +99,6 @@ class Model:
             self.rows.append({g: i for i, g in enumerate(names)})
             self.logs.append(np.log(table / total).astype(np.float32))
 
-        self.known = np.zeros(len(at))  # share of known words, by language
-
     def evidence(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each word its log frequency in each language, for an unseen one the mean of its known n-grams of the
         longest length that has any; and which words are known."""
@@ -148,14 +147,12 @@ class Model:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """From ``docs`` (doc_id, text, lang)."""
     bounded_batches(docs.sparkSession)
-    rows = stored(sample(docs.select("doc_id", "text", "lang"), per_language).repartition(32, "text"), "languages")  # bounded
-    known = counts(rows).withColumn("_all", F.sum("count").over(W.partitionBy("n", "gram"))).where(F.col("_all") >= KNOWN).drop("_all")
-    model = Model(known.toPandas())
-    own = with_language(rows, model, ("_pred", "_score", "_known", "_words"))
-    for r in own.groupBy("lang").agg((F.sum(F.col("_known") * F.col("_words")) / F.sum("_words")).alias("known")).where("known IS NOT NULL").collect():
-        if r["lang"] in model.languages:
-            model.known[model.languages.index(r["lang"])] = r["known"]
-    return model
+    rows = sample(docs.select("doc_id", "text", "lang"), per_language).repartition(32, "text")  # bounded
+    every = stored(counts(rows).withColumn("_all", F.sum("count").over(W.partitionBy("n", "gram"))), "language-counts")
+    known = every.where(F.col("_all") >= KNOWN)
+    share = every.where("n = 0").groupBy("lang").agg((F.sum(F.when(F.col("_all") >= KNOWN, F.col("count")).otherwise(0)) / F.sum("count")).alias("share"))
+    parts = (known.where(F.col("n") == n).select("lang", "gram", "count").toPandas() for n in range(LONGEST + 1))  # one length at a time
+    return Model(dict(share.collect()), parts)
 
 
 def _predicted(model: Model, spark: SparkSession, text: Column) -> Column:
