@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, least_rows, raw, table
+from .common import bounded_batches, held_out, least_rows, raw, stored, table
 
 PER_CLASS, MAX_BYTES = 1_600, 50_000
 DICTIONARY_BYTES, LEVEL = 65_536, 3
@@ -36,9 +36,14 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, quality, part, text): rows to learn from; part 0 builds dictionaries, part 1 calibrates."""
-    texts = docs.where((F.octet_length("text") <= MAX_BYTES) & docs["doc_id"].isNotNull()).select("doc_id", "text")
-    few = least_rows(texts.join(labelled(labels), "doc_id"), "quality", per_class, 6)
-    return few.select("doc_id", "quality", (F.col("_rank") % 2).alias("part"), raw(F.col("text")).alias("text"))
+    fits = (F.octet_length("text") <= MAX_BYTES) & docs["doc_id"].isNotNull() & ~held_out(docs["doc_id"])
+    texts = docs.where(fits).select("doc_id", "text")
+    # drawn from hashes, so that the texts themselves are never shuffled to meet their labels
+    keys = texts.select("doc_id", F.xxhash64("text").alias("text")).join(labelled(labels), "doc_id")
+    few = least_rows(stored(keys, "labelled-keys"), "quality", per_class, 6)
+    few = stored(few.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "quality", (F.col("_rank") % 2).alias("part")), "sample-keys")
+    found = texts.join(F.broadcast(few), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_text")))  # 2 * per_class keys at most
+    return found.groupBy("doc_id", "quality", "part", "_text").agg(F.first(raw(F.col("text"))).alias("text")).drop("_text")
 
 
 def build_dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
