@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import fundamentals
 from ..sources.bars import bars_from_ticks
 
 
@@ -114,6 +115,27 @@ STATEMENTS = (
 )
 
 
+def _amount(j: int) -> str:
+    """A sum in whole numbers that both engines read and give exactly; every third item can be negative."""
+    return f"sum(CAST(round(l_extendedprice * 100) AS BIGINT) * {'(CAST(l_linenumber AS BIGINT) - 4)' if j % 3 == 2 else 2 + j % 7} + CAST(l_quantity AS BIGINT) * {(37 * j) % 101})"
+
+
+_FILED = {**fundamentals.ITEMS, "notes": ["Inventory"]}
+FILINGS = {item: (source, _amount(j)) for j, (source, item) in enumerate((s, i) for s, items in _FILED.items() for i in items)}
+
+
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item of all three statements of suppliers by year; of suppliers whose number ends in 7 one item is missing."""
+    x = read(spark, sf_dir, "lineitem")
+    wide = x.groupBy(F.col("l_suppkey").cast("string").alias("ticker"), F.trunc("l_shipdate", "year").alias("period")).agg(*[F.expr(v).cast("double").alias(k) for k, (_, v) in FILINGS.items()])
+    long = wide.unpivot(["ticker", "period"], list(FILINGS), "item", "value")
+    source = F.element_at(F.create_map(*[F.lit(x) for k, (s, _) in FILINGS.items() for x in (k, s)]), F.col("item"))
+    return long.select("ticker", source.alias("source"), "item", "period", "value").where("NOT (ticker LIKE '%7' AND item = 'GrossProfit')")
+
+
+FILED = "filed AS (SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(date_trunc('year', l_shipdate) AS DATE) AS period, " + ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, (_, v) in FILINGS.items()) + " FROM lineitem WHERE l_suppkey % 10 <> 7 GROUP BY ALL)"
+
+
 def news_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles whose headline carries a confidence, every seventh without; every fifth comes twice."""
     d = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -171,9 +193,9 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company information of suppliers as (ticker, field, value), some of it unreadable."""
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker"), "s_acctbal", "s_suppkey")
-    v = {"trailingPE": F.col("s_acctbal") / 300, "forwardPE": F.col("s_acctbal") / 320, "marketCap": F.col("s_acctbal") * 1000, "currentPrice": F.col("s_acctbal") / 10, "trailingEps": F.col("s_acctbal") / 90}
+    v = {"trailingPE": F.col("s_acctbal") / 300, "forwardPE": F.col("s_acctbal") / 320, "marketCap": F.col("s_acctbal") * 1000, "currentPrice": F.col("s_acctbal") / 10, "trailingEps": F.col("s_acctbal") / 90, "enterpriseValue": F.col("s_acctbal") * 1100}
     parts = F.array(*[F.struct(F.lit(k).alias("field"), F.when(F.col("s_suppkey") % 11 == 0, "n/a").otherwise(x.cast("string")).alias("value")) for k, x in v.items()])
     return s.select("ticker", F.explode(parts).alias("_f")).select("ticker", "_f.field", "_f.value")
 
 
-INFO = "info AS (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, CASE WHEN s_suppkey % 11 <> 0 THEN s_acctbal / 300 END AS trailingPE, CASE WHEN s_suppkey % 11 <> 0 THEN s_acctbal / 320 END AS forwardPE, CASE WHEN s_suppkey % 11 <> 0 THEN s_acctbal * 1000 END AS marketCap FROM supplier)"
+INFO = "info AS (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, CASE WHEN s_suppkey % 11 <> 0 THEN s_acctbal / 300 END AS trailingPE, CASE WHEN s_suppkey % 11 <> 0 THEN s_acctbal / 320 END AS forwardPE, CASE WHEN s_suppkey % 11 <> 0 THEN s_acctbal * 1000 END AS marketCap, CASE WHEN s_suppkey % 11 <> 0 THEN s_acctbal * 1100 END AS enterpriseValue FROM supplier)"

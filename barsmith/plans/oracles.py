@@ -351,6 +351,19 @@ RATIOS = {
 }
 ORACLES["ratios"] = f"{WIDE}, {fx.INFO}, px AS (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, CASE WHEN s_suppkey % 11 <> 0 THEN (s_acctbal / 10) / nullif(s_acctbal / 90, 0) END AS pe FROM supplier) SELECT ticker, CAST(period AS VARCHAR) AS period, " + ", ".join(f"{r(x)} AS {n}" for n, x in RATIOS.items()) + " FROM wide JOIN info USING (ticker) JOIN px USING (ticker)"
 ORACLES["yoy"] = f"{WIDE} SELECT ticker, CAST(period AS VARCHAR) AS period, {r(div('TotalAssets - ' + _before.format('TotalAssets'), _before.format('TotalAssets')))} AS asset_growth, {r(div('OperatingCashFlow - ' + _before.format('OperatingCashFlow'), 'abs(' + _before.format('OperatingCashFlow') + ')'))} AS ocf_growth FROM wide"
+_px = "px AS (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, CASE WHEN s_suppkey % 11 <> 0 THEN (s_acctbal / 10) / nullif(s_acctbal / 90, 0) END AS pe FROM supplier)"
+ALL_RATIOS = RATIOS | {
+    "roe": div("NetIncome", "StockholdersEquity"), "ev_ebitda": div("enterpriseValue", "EBITDA"), "fcf_margin": div("FreeCashFlow", "TotalRevenue"), "fcf_conversion": div("FreeCashFlow", "NetIncome"),
+    "capex_intensity": div("CapitalExpenditure", "TotalRevenue"), "reinvestment_rate": div("CapitalExpenditure", "OperatingCashFlow"), "cash_ratio": div("CashAndCashEquivalents", "CurrentLiabilities"),
+    "debt_to_equity": div("TotalDebt", "StockholdersEquity"), "debt_to_assets": div("TotalDebt", "TotalAssets"), "equity_ratio": div("StockholdersEquity", "TotalAssets"), "tangible_equity_ratio": div("TangibleBookValue", "TotalAssets"),
+    "receivables_turnover": div("TotalRevenue", "AccountsReceivable"), "inventory_turnover": div("CostOfRevenue", "Inventory"), "book_value_per_share": div("StockholdersEquity", "OrdinarySharesNumber"),
+    "tangible_book_per_share": div("TangibleBookValue", "OrdinarySharesNumber"), "operating_margin": div("OperatingIncome", "TotalRevenue"), "ebitda_margin": div("EBITDA", "TotalRevenue"), "gross_margin": div("GrossProfit", "TotalRevenue"),
+    "fcf_after_capex": "OperatingCashFlow + CapitalExpenditure", "quick_ratio": div("CurrentAssets - Inventory", "CurrentLiabilities"), "working_capital_efficiency": div("ChangeInWorkingCapital", f"TotalRevenue - {_before.format('TotalRevenue')}"),
+}
+ORACLES["all_ratios"] = f"WITH {fx.FILED}, {fx.INFO}, {_px} SELECT ticker, CAST(period AS VARCHAR) AS period, " + ", ".join(f"{r(x)} AS {n}" for n, x in ALL_RATIOS.items()) + " FROM filed JOIN info USING (ticker) JOIN px USING (ticker)"
+_grown = {"asset_growth": "TotalAssets", "equity_growth": "StockholdersEquity", "debt_growth": "TotalDebt", "cash_growth": "CashAndCashEquivalents", "fcf_growth": "FreeCashFlow", "ocf_growth": "OperatingCashFlow", "capex_growth": "CapitalExpenditure"}
+_signed = ("asset_growth", "equity_growth")
+ORACLES["all_growth"] = f"WITH {fx.FILED} SELECT ticker, CAST(period AS VARCHAR) AS period, " + ", ".join(f"{r(div(f'{i} - {_before.format(i)}', _before.format(i) if n in _signed else f'abs({_before.format(i)})'))} AS {n}" for n, i in _grown.items()) + " FROM filed"
 ORACLES["pe_gap"] = f"WITH {fx.INFO} SELECT ticker, {r('trailingPE - forwardPE')} AS pe_gap, CASE WHEN abs(trailingPE - forwardPE) <= 1 THEN 'small' WHEN trailingPE > forwardPE THEN 'positive' WHEN trailingPE < forwardPE THEN 'negative' END AS pe_outlook FROM info"
 ORACLES["ratings_since"] = "SELECT o_custkey AS ticker, o_orderdate AS rating_ts, o_orderkey AS rating_id FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1998-01-01'"
 

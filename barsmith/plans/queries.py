@@ -457,6 +457,22 @@ def yoy(spark, d):
     return _dated(fu.growth(_wide(spark, d), {"asset_growth": ("TotalAssets", False), "ocf_growth": ("OperatingCashFlow", True)}))
 
 
+def _filings(spark, d):
+    good, _ = fu.select_items(fx.filings(spark, d))
+    return fu.to_wide(good, list(fx.FILINGS))
+
+
+@query
+def all_ratios(spark, d):
+    """Every ratio, for the tickers that have every item."""
+    return _dated(fu.ratios(fu.market_context(_filings(spark, d), fu.select_info(fx.info(spark, d)))))
+
+
+@query
+def all_growth(spark, d):
+    return _dated(fu.growth(_filings(spark, d)))
+
+
 @query
 def pe_gap(spark, d):
     return fu.pe_gap(fu.select_info(fx.info(spark, d)))
