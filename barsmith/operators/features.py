@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.bars import usable
+from ..functions.frames import below_quantile, in_parts, long_frames, mean_deviation
 from ..functions.scan import affine_scan, ema, wilder, with_index, Recurrence
-from ..functions.windows import change, clip, flag, full, lagged, ordered, upto, wide_mean
+from ..functions.windows import change, clip, flag, full, lagged, upto, wide_mean
 
 
 @dataclass(frozen=True)
@@ -81,18 +82,23 @@ def volume_columns(p: Preset = FULL) -> dict[str, Column]:
     return {"Volume_Ratio_20_15m": F.try_divide(v, full(V, p.volume[0], F.avg) + 1), "Volume_Ratio_20_1d": F.try_divide(v, wide_mean(V, p.volume[1]) + 1), "_obv": step}
 
 
-def risk_columns(p: Preset = FULL) -> dict[str, Column]:
-    """Distance from the trailing peak in percent, and a clipped rolling Sharpe ratio (needs a return for each bar)."""
-    c = F.col(C)
-    down = {f"Max_Drawdown_{n}": (F.try_divide(c, full(C, k, F.max)) - 1) * 100 for n, k in zip(("4h", "20d"), p.drawdown, strict=True)}
-    return down
+def with_drawdown(df: DataFrame, p: Preset = FULL) -> DataFrame:
+    """Distance from the trailing peak in percent."""
+    names = dict(zip(("4h", "20d"), p.drawdown, strict=True))
+    df = long_frames(df, {f"_peak_{n}": ("max", C, k) for n, k in names.items()})
+    return df.withColumns({f"Max_Drawdown_{n}": (F.try_divide(C, f"_peak_{n}") - 1) * 100 for n in names}).drop(*[f"_peak_{n}" for n in names])
 
 
-def sharpe(ret: str, n: int, scale: float) -> Column:
-    ratio = F.try_divide(full(ret, n, F.avg), full(ret, n, F.stddev_samp) + 1e-8) * F.sqrt(F.lit(scale))
+def sharpe(mean: Column, deviation: Column, scale: float) -> Column:
+    """A clipped Sharpe ratio from the mean and the deviation of the returns."""
+    ratio = F.try_divide(mean, deviation + 1e-8) * F.sqrt(F.lit(scale))
     return clip(ratio, -50.0, 50.0)
 
 
+def rolling_sharpe(ret: str, n: int, scale: float) -> Column:
+    return sharpe(full(ret, n, F.avg), full(ret, n, F.stddev_samp), scale)
+
+
 def _scan_inputs(bars: DataFrame) -> DataFrame:
     d = F.col(C) - lagged(C)
     gains = {"_gain": F.coalesce(F.greatest(d, F.lit(0.0)), F.lit(0.0)), "_loss": F.coalesce(F.greatest(-d, F.lit(0.0)), F.lit(0.0))}
@@ -166,70 +172,66 @@ def build_features(bars: DataFrame, preset: Preset = FULL) -> DataFrame:
     """ticker, ts and the 46 features of ``bars`` (ticker, ts, open, high, low, close, volume), one row for each usable bar."""
     p = preset
     df = recurrences(bars.select("ticker", "ts", *[F.col(c).cast("double").alias(c) for c in (O, H, L, C, V)]), p)
-    df = df.withColumns(lags(p) | sma_columns(p) | volume_columns(p) | risk_columns(p))
+    df = with_drawdown(df.withColumns(lags(p) | sma_columns(p) | volume_columns(p)), p)
     df = df.withColumns(rsi_events() | macd_events() | price_action())
-    df = df.withColumns({"OBV": F.sum("_obv").over(upto()), "Sharpe_Approx_4h": sharpe("Price_Change_15m", p.sharpe, p.bars_per_sharpe_year)})
+    df = df.withColumns({"OBV": F.sum("_obv").over(upto()), "Sharpe_Approx_4h": rolling_sharpe("Price_Change_15m", p.sharpe, p.bars_per_sharpe_year)})
     inputs = df.withColumnsRenamed({c: f"_{c}" for c in (O, H, L, C, V)})
     raw = {"Open": F.col("_open"), "High": F.col("_high"), "Low": F.col("_low"), "Close": F.col("_close"), "Volume": F.bround("_volume").cast("long")}
     return inputs.select("ticker", "ts", *[raw[n].alias(n) if n in raw else F.col(n) for n in NAMES])
 
 
-def _distance(centre: Column):
-    return lambda x: F.abs(x - centre)
-
-
 def optional_features(bars: DataFrame, preset: Preset = FULL) -> DataFrame:
     """ticker, ts and the indicators that the default preset leaves out: ranges, rates of change, channel position,
     divergence, distance to means, directional movement, true range, deviations, Bollinger bands, volume spikes, time
     under water and time since the peak."""
     df = recurrences(bars, preset)
     c, h, l, v = F.col(C), F.col(H), F.col(L), F.col(V)
-    w = ordered()
-    out: dict[str, Column] = {"_r": change(C, 1), "_typical": (h + l + c) / 3}
+    df = df.withColumns({"_r": change(C, 1), "_typical": (h + l + c) / 3})
+    frames = {f"_high{k}": ("max", H, k) for k in (14, 56, 350)} | {f"_low{k}": ("min", L, k) for k in (14, 56, 350)}
+    frames |= {n: ("stddev_samp", C, k) for n, k in (("Std_10_15m", 10), ("Std_10_1d", 500), ("Std_20_15m", 20), ("Std_20_1d", 500))}
+    frames |= {f"_mean{k}": ("avg", C, k) for k in (20, 500)} | {f"_dev{k}": ("stddev_pop", C, k) for k in (20, 500)} | {f"_top{k}": ("max", C, k) for k in (16, 500)}
+    frames |= {"_r_mean": ("avg", "_r", 500), "_r_dev": ("stddev_samp", "_r", 500)} | {f"_typical{k}": ("avg", "_typical", k) for k in (14, 350)}
+    df = long_frames(df, frames)
+    out: dict[str, Column] = {}
     for name, k in (("15m", 14), ("1h", 56), ("1d", 350)):
-        top, low = full(H, k, F.max), full(L, k, F.min)
+        top, low = F.col(f"_high{k}"), F.col(f"_low{k}")
         out[f"Williams_R_{name}"] = clip(F.try_divide(top - c, top - low) * -100, -100.0, 0.0)
     out |= {"ROC_10_15m": change(C, 10) * 100, "ROC_10_1h": change(C, 40) * 100}
     out["Price_Momentum_Div"] = flag(change(C, preset.day) > 0) - flag(F.col("RSI_15m") > 50)
     out |= {f"Price_vs_EMA{n}": F.try_divide(c, f"EMA_{n}") for n in ("21_15m", "21_1d", "50_1d")}
     out |= {f"MACD_Position_{n}": flag(F.col(f"MACD_{n}") > F.col(f"MACD_Signal_{n}")) for n in ("15m", "4h")}
-    out |= {n: full(C, k, F.stddev_samp) for n, k in (("Std_10_15m", 10), ("Std_10_1d", 500), ("Std_20_15m", 20), ("Std_20_1d", 500))}
     for name, k in (("15m", 20), ("1d", 500)):
-        mean, dev = full(C, k, F.avg), full(C, k, F.stddev_pop)
+        mean, dev = F.col(f"_mean{k}"), F.col(f"_dev{k}")
         out[f"BB_Position_{name}"] = clip(F.try_divide(c - mean + 2 * dev, 4 * dev + 1e-6), -3.0, 3.0)
         out[f"BB_Width_{name}"] = F.try_divide(4 * dev, mean + 1e-6)
     out["Volume_Ratio_10_15m"] = F.try_divide(v, full(V, 10, F.avg) + 1)
     out["Volume_Spike_15m"] = flag(F.try_divide(v, full(V, 20, F.avg) + 1) > 2)
     out["Volume_Spike_1d"] = flag(F.try_divide(v, wide_mean(V, 500) + 1) > 1.5)
     out["Volume_Change"] = clip(change(V, 1), -0.99, 10.0)
-    out |= {f"_top{k}": full(C, k, F.max) for k in (16, 500)}
     up, down = h - lagged(H), lagged(L) - l
     out["_tr"] = F.greatest(h - l, F.abs(h - lagged(C)), F.abs(l - lagged(C)))
     out["_pdm"] = F.when((up > down) & (up > 0), up).otherwise(0.0)
     out["_ndm"] = F.when((down > up) & (down > 0), down).otherwise(0.0)
     df = df.withColumns(out)
 
-    more: dict[str, Column] = {"Sharpe_Approx_20d": sharpe("_r", 500, 96.0 * 252)}
+    more: dict[str, Column] = {"Sharpe_Approx_20d": sharpe(F.col("_r_mean"), F.col("_r_dev"), 96.0 * 252)}
     for name, k in (("4h", 16), ("20d", 500)):
         more[f"Distance_From_Peak_{name}"] = (F.try_divide(c, f"_top{k}") - 1) * 100
         more[f"_under{k}"] = flag(c < F.col(f"_top{k}"))
         more[f"_new{k}"] = F.coalesce(F.col(f"_top{k}") != lagged(f"_top{k}"), F.lit(True)).cast("int")
-    for name, k in (("15m", 20), ("1d", 500)):
-        frame = w.rowsBetween(-(k - 1), 0)
-        width = f"BB_Width_{name}"
-        low = F.when(F.count(width).over(frame) == k, F.percentile(width, F.lit(0.2)).over(frame))
-        more[f"BB_Squeeze_{name}"] = flag(F.col(width) < low)
-    for name, k in (("15m", 14), ("1d", 350)):
-        mean = full("_typical", k, F.avg)
-        values = F.collect_list("_typical").over(w.rowsBetween(-(k - 1), 0))
-        spread = F.aggregate(F.transform(values, _distance(mean)), F.lit(0.0), lambda a, x: a + x) / k
-        cci = F.coalesce(F.try_divide(F.col("_typical") - mean, 0.015 * spread), F.lit(0.0))
-        more[f"CCI_{name}"] = clip(F.when(mean.isNotNull(), cci), -500.0, 500.0)
     df = df.withColumns(more)
-    counts = {n: full(f"_under{k}", k, F.sum) for n, k in (("Underwater_Periods_4h", 16), ("Underwater_Days", 500))}
-    df = df.withColumns(counts | {f"_run{k}": F.sum(f"_new{k}").over(upto()) for k in (16, 500)})
+    df = long_frames(df, {n: ("sum", f"_under{k}", k) for n, k in (("Underwater_Periods_4h", 16), ("Underwater_Days", 500))})
+    df = df.withColumns({f"_run{k}": F.sum(f"_new{k}").over(upto()) for k in (16, 500)})
     runs = {n: F.row_number().over(W.partitionBy("ticker", f"_run{k}").orderBy("ts")) - 1 for n, k in (("Periods_Since_Peak_4h", 16), ("Days_Since_Peak", 500))}
     df = df.withColumns(runs)
+    ranked = {f"_squeeze_{n}": (below_quantile, f"BB_Width_{n}", k) for n, k in (("15m", 20), ("1d", 500))}
+    df = in_parts(df, ranked | {f"_spread{k}": (mean_deviation, "_typical", k) for k in (14, 350)})
+    last: dict[str, Column] = {f"BB_Squeeze_{n}": flag(F.col(f"_squeeze_{n}") == 1) for n in ("15m", "1d")}
+    for name, k in (("15m", 14), ("1d", 350)):
+        mean = F.col(f"_typical{k}")
+        cci = F.coalesce(F.try_divide(F.col("_typical") - mean, 0.015 * F.col(f"_spread{k}")), F.lit(0.0))
+        last[f"CCI_{name}"] = clip(F.when(mean.isNotNull(), cci), -500.0, 500.0)
+    df = df.withColumns(last)
 
     # Wilder means of true range and directional movement, then of the index made of them
     parts = ("_tr", "_pdm", "_ndm")

@@ -147,12 +147,12 @@ def obv(spark, d):
 
 @query
 def trailing_drawdown(spark, d):
-    return _with(fx.bars_daily(spark, d), ft.risk_columns())
+    return ft.with_drawdown(fx.bars_daily(spark, d)).select("ticker", "ts", "Max_Drawdown_4h", "Max_Drawdown_20d")
 
 
 @query
 def rolling_sharpe(spark, d):
-    return _with(fx.bars_daily(spark, d).withColumn("_r", change("close", 1)), {"Sharpe_Approx_4h": ft.sharpe("_r", 16, 384.0)})
+    return _with(fx.bars_daily(spark, d).withColumn("_r", change("close", 1)), {"Sharpe_Approx_4h": ft.rolling_sharpe("_r", 16, 384.0)})
 
 
 @query
