@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .compression import op6_zstd_dictionaries
 from .decontamination import op3_suffix_automaton
+from .hard_negatives import op13_residue_gemm
 from .html_extraction import op9_tree_scoring
 from .jaccard_join import op7_combination_prefixes
 from .language_id import op8_word_first_backoff
@@ -29,5 +30,6 @@ QUERIES = {
         op8_word_first_backoff,
         op9_tree_scoring,
         op10_sampled_splitters,
+        op13_residue_gemm,
     )
 }
