@@ -11,8 +11,10 @@ from .language_id import op8_word_first_backoff
 from .licenses import op5_rare_token_index
 from .mixing import op2_pivotal_rounding
 from .perplexity import op4_kneser_ney_bands
+from .pii import op11_anchor_expansion
 from .sharding import op10_sampled_splitters
 from .sql import ORACLE_SQL
+from .token_alignment import op12_fragment_monoid
 from .warc import op1_linked_derivatives
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -30,6 +32,8 @@ QUERIES = {
         op8_word_first_backoff,
         op9_tree_scoring,
         op10_sampled_splitters,
+        op11_anchor_expansion,
+        op12_fragment_monoid,
         op13_residue_gemm,
     )
 }

@@ -35,8 +35,8 @@ FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS l
 OP13 = """
 WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
-    list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
-  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
   SELECT a.id AS a, b.id AS b, a.l = b.l AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
   FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
