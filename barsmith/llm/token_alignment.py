@@ -8,8 +8,7 @@ different tasks and put together by a tree of groupings.
 
 Texts are cut where tokenizers can't join: A before white space behind other characters, B before a space behind what is
 neither space nor its mark (no piece of B may hold such a place; this is checked). The two cuts of a range differ where
-lines end, and then groups stay open at the range's ends. Ids of words between such cuts are remembered, so a word is
-encoded once for each worker as long as it is in use.
+lines end, and then groups stay open at the range's ends.
 
 How many documents hold a pair of ids linked is summed in Spark from the distinct pairs of each document. A table of
 counts that is small enough is broadcast to the documents' pairs, a larger one meets them in a shuffle.
@@ -18,12 +17,11 @@ counts that is small enough is broadcast to the documents' pairs, a larger one m
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +35,15 @@ FOLDER = "/opt/tokenizers"
 LONG_BYTES, CHUNK = 65_536, 16_384
 #: Fragments of a text that one task composes in a round.
 ARITY = 8
-#: Words that a worker remembers, and the longest of them.
-WORDS, WORD_CHARS = 100_000, 48
 #: Tables of pairs with so many rows at most are broadcast (about 50 MB).
 FEW_PAIRS = 500_000
 #: A pair of ids is one number: the id of A times this, plus the id of B.
 SHIFT = 2**20
 
 MARK = "▁"
-_WORDS = re.compile(rf"(?<=[^\s{MARK}]) ")
-_CUT_A, _CUT_B = re.compile(r"(?<=\S)[\x20\t\n\r]"), _WORDS
+_CUT_A, _CUT_B = re.compile(r"(?<=\S)[\x20\t\n\r]"), re.compile(rf"(?<=[^\s{MARK}]) ")
+#: Fixed value: what A cuts a text into before anything is merged.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Tokenizers:
@@ -54,17 +51,22 @@ class Tokenizers:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        with open(path_a, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-        self.bytes_a = [b""] * self.a.get_vocab_size()
-        for entry, i in self.a.get_vocab().items():
-            self.bytes_a[i] = bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else entry.encode()
+        known = {entry: bytes(byte_of[c] for c in entry) for entry in model["vocab"] if all(c in byte_of for c in entry)}
+        # single bytes come first, then what merges make, in their order; the encoder gives ranks
+        made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        ranked = [*byte_of, *made]
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={known[e]: k for k, e in enumerate(ranked)}, special_tokens={})
+        self.id_of = np.array([model["vocab"][e] for e in ranked], np.int64)
+        self.bytes_a = [b""] * (1 + max(model["vocab"].values()))
+        for entry, i in model["vocab"].items():
+            self.bytes_a[i] = known.get(entry, entry.encode())
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(x != MARK and y == MARK for p in pieces for x, y in zip(p, p[1:])):
             raise ValueError("pieces that go on behind a word can't be cut at words")
@@ -73,51 +75,14 @@ class Tokenizers:
         self.lengths_a, self.lengths_b = (np.array([len(x) for x in xs]) for xs in (self.bytes_a, self.bytes_b))
         ends = ",|", ",;"
         self.shown = [f"{i}{end}" for xs, both in zip((self.bytes_a, self.bytes_b), ends) for end in both for i in range(len(xs))]
-        self.known: tuple[dict[str, list[int]], dict[str, list[int] | None]] = {}, {}
 
-    def _fresh_b(self, words: list[str]) -> list[list[int] | None]:
-        """Ids of each word with the space before it; None where their bytes are others."""
-        out = []
-        for word, ids in zip(words, self.b.encode(words, num_threads=1), strict=True):
-            ids = ids if word else [self.lone_space]
-            out.append(ids if b"".join(map(self.bytes_b.__getitem__, ids)) == b" " + word.encode() else None)
-        return out
+    def ids_a(self, text: str) -> np.ndarray:
+        return self.id_of[self.a.encode_ordinary(text)]  # byte-level: always gives the bytes back
 
-    def _fresh_a(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch([" " + w for w in words], add_special_tokens=False)]
-
-    def _each(self, words: list[str], side: int) -> list:
-        known, fresh = self.known[side], (self._fresh_a, self._fresh_b)[side]
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if len(known) > WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            now = dict(zip(new, fresh(new), strict=True))
-            out = [now[w] if w in now else known[w] for w in words]
-            known.update((w, x) for w, x in now.items() if len(w) <= WORD_CHARS)
-            return out
-
-    def ids_a(self, text: str, spaced: bool) -> list[int]:
-        """``text`` as it is, or with a space before it."""
-        first: list[int] = []
-        if not spaced:
-            if text[:1] == " ":
-                text = text[1:]
-            else:
-                head, *rest = _WORDS.split(text, maxsplit=1)
-                first = self.a.encode(head, add_special_tokens=False).ids
-                if not rest:
-                    return first
-                text = rest[0]
-        return [*first, *chain.from_iterable(self._each(_WORDS.split(text), 0))]
-
-    def ids_b(self, text: str) -> list[int] | None:
-        """``text`` with a space before it."""
-        each = self._each(_WORDS.split(text), 1)
-        return None if None in each else list(chain.from_iterable(each))
+    def ids_b(self, text: str) -> np.ndarray | None:
+        """``text`` with a space before it; None where the ids' bytes are others."""
+        ids = self.b.encode(text, num_threads=1) if text else [self.lone_space]
+        return np.array(ids, np.int64) if b"".join(map(self.bytes_b.__getitem__, ids)) == b" " + text.encode() else None
 
 
 @cache
@@ -187,31 +152,34 @@ class Fragment:
     suffix: Tokens
 
 
+def _met(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of two rising sequences without repeats: what both hold, and what either does."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    again = both[1:] == both[:-1]
+    return both[1:][again], both[np.concatenate([[True], ~again])] if len(both) else both
+
+
 def groups(x: Tokens, t: Tokenizers) -> Closed:
     """Groups of tokens whose last ends are common."""
     if not len(x.a):
         return Closed()
-    common = np.intersect1d(x.a_ends, x.b_ends, assume_unique=True)
-    sides, at = [], []
-    mine = [np.searchsorted(common, ends) for ends in (x.a_ends, x.b_ends)]  # the group of each token
-    upto = [np.searchsorted(ends, common, "right") for ends in (x.a_ends, x.b_ends)]  # tokens up to each group's end
-    for side, ids, ends, before in ((0, x.a, x.a_ends, np.concatenate([[0], upto[1]])[mine[0]]), (1, x.b, x.b_ends, upto[0][mine[1]])):
-        last = np.zeros(len(ids), np.int64)
-        last[upto[side] - 1] = 1
-        base = 2 * len(t.bytes_a) * side
-        sides.append(base + last * len((t.bytes_a, t.bytes_b)[side]) + ids)
-        at.append(np.arange(len(ids)) + before)
+    common, ends = _met(x.a_ends, x.b_ends)
     order = np.empty(len(x.a) + len(x.b), np.int64)
-    order[at[0]], order[at[1]] = sides
+    upto = [np.searchsorted(side, common, "right") for side in (x.a_ends, x.b_ends)]  # tokens up to each group's end
+    sizes = [np.diff(u, prepend=0) for u in upto]
+    for side, ids, before in ((0, x.a, upto[1] - sizes[1]), (1, x.b, upto[0])):  # tokens of the other side ahead of a group's
+        kind = 2 * len(t.bytes_a) * side + ids
+        kind[upto[side] - 1] += len((t.bytes_a, t.bytes_b)[side])  # the last of its group
+        order[np.arange(len(ids)) + np.repeat(before, sizes[side])] = kind
     text = "".join([t.shown[k] for k in order.tolist()])
-    ends = np.union1d(x.a_ends, x.b_ends)  # a link for each
-    links = x.a[np.searchsorted(x.a_ends, ends)] * SHIFT + x.b[np.searchsorted(x.b_ends, ends)]
-    pairs, times = np.unique(links, return_counts=True)
-    return Closed(text[:-1], len(common), pairs, times)
+    links = x.a[np.searchsorted(x.a_ends, ends)] * SHIFT + x.b[np.searchsorted(x.b_ends, ends)]  # one for each end of either
+    links.sort()
+    first = np.flatnonzero(np.concatenate([[True], links[1:] != links[:-1]]))
+    return Closed(text[:-1], len(common), links[first], np.diff(first, append=len(links)))
 
 
 def fragment(x: Tokens, t: Tokenizers, ok: bool = True) -> Fragment:
-    common = np.intersect1d(x.a_ends, x.b_ends, assume_unique=True)
+    common, _ = _met(x.a_ends, x.b_ends)
     if not len(common):
         return Fragment(ok, len(x.a), len(x.b), False, x, Closed(), Tokens())
     first, last = common[0], common[-1]
@@ -238,24 +206,27 @@ def whole(x: Fragment, t: Tokenizers) -> Closed | None:
     return groups(x.prefix, t) + x.closed
 
 
-def aligned(text: str, t: Tokenizers) -> Fragment:
-    """The fragment of a whole text."""
-    return piece(text, text, 0, 0, True, t)
+def tokens(text_a: str, text_b: str | None, from_a: int, from_b: int, t: Tokenizers) -> Tokens | None:
+    """Tokens of a range: ``text_a`` begins at the byte ``from_a``; ``text_b`` (None: no tokens of B) begins behind the space
+    at ``from_b``. None where B doesn't give the bytes back."""
+    a, b = t.ids_a(text_a), NO_IDS if text_b is None else t.ids_b(text_b)
+    return None if b is None else Tokens(a, from_a + t.lengths_a[a].cumsum(), b, from_b + t.lengths_b[b].cumsum())
+
+
+def piece(text_a: str, text_b: str | None, from_a: int, from_b: int, t: Tokenizers) -> Fragment:
+    found = tokens(text_a, text_b, from_a, from_b, t)
+    return fragment(found, t) if found else Fragment(False, 0, 0, False, Tokens(), Closed(), Tokens())
 
 
-def piece(text_a: str, text_b: str | None, from_a: int, from_b: int, first: bool, t: Tokenizers) -> Fragment:
-    """The fragment of a range: ``text_a`` begins at the byte ``from_a``; ``text_b`` (None: no tokens of B) begins behind the
-    space at ``from_b``."""
-    a, b = t.ids_a(text_a, first) if text_a or first else [], [] if text_b is None else t.ids_b(text_b)
-    if b is None:
-        return Fragment(False, 0, 0, False, Tokens(), Closed(), Tokens())
-    a, b = np.array(a, np.int64), np.array(b, np.int64)
-    return fragment(Tokens(a, from_a + t.lengths_a[a].cumsum(), b, from_b + t.lengths_b[b].cumsum()), t)
+def aligned(text: str, t: Tokenizers) -> tuple[int, int, Closed] | None:
+    """Numbers of tokens and groups of a text in one piece: it has no open ends."""
+    found = tokens(" " + text, text, 0, 0, t)
+    return found and (len(found.a), len(found.b), groups(found, t))
 
 
 def ranges(text: str, size: int) -> Iterator[tuple[str, str | None, int, int]]:
-    """Ranges of about ``size`` characters as they are tokenised: text of A, text of B without its space (None: nothing), and
-    the bytes of space + text where they begin."""
+    """Ranges of about ``size`` characters as they are tokenised: text of A (the first with the added space), text of B without
+    its space (None: nothing), and the bytes of space + text where they begin."""
 
     def cuts(form: re.Pattern) -> list[int]:
         out = [0]
@@ -272,7 +243,7 @@ def ranges(text: str, size: int) -> Iterator[tuple[str, str | None, int, int]]:
     off_a, off_b = offsets(at_a), offsets(at_b)
     for k, (i, j, m, n) in enumerate(zip(at_a, at_a[1:], at_b, at_b[1:])):
         if i < j or m < n:
-            yield text[i:j], (text[m + (k > 0) : n] if m < n else None), off_a[k], off_b[k]
+            yield " " * (k == 0) + text[i:j], (text[m + (k > 0) : n] if m < n else None), off_a[k], off_b[k]
 
 
 LISTS = [f"{side}_{part}" for side in ("prefix", "suffix") for part in ("a", "a_ends", "b", "b_ends")]
@@ -291,11 +262,11 @@ def _read_fragment(x: dict) -> Fragment:
     return Fragment(x["ok"], x["n_a"], x["n_b"], x["cut"], halves[0], Closed(x["text"], x["n"], n("pairs"), n("times")), halves[1])
 
 
-def _digest_row(row: int, f: Fragment | None, t: Tokenizers) -> dict:
-    done = f and whole(f, t)
-    if done is None:
+def _digest_row(row: int, found: tuple[int, int, Closed] | None) -> dict:
+    if found is None:
         return {"row": row, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "pairs": NO_IDS, "times": NO_IDS}
-    return {"row": row, "n_a": f.n_a, "n_b": f.n_b, "n_groups": done.n, "n_links": int(done.times.sum()), "groups_sha256": hashlib.sha256(done.text.encode()).hexdigest(), "pairs": done.pairs, "times": done.times}
+    n_a, n_b, done = found
+    return {"row": row, "n_a": n_a, "n_b": n_b, "n_groups": done.n, "n_links": int(done.times.sum()), "groups_sha256": hashlib.sha256(done.text.encode()).hexdigest(), "pairs": done.pairs, "times": done.times}
 
 
 def _with_id(doc_id: pa.Array, rest: pa.RecordBatch) -> pa.RecordBatch:
@@ -326,7 +297,7 @@ def digests(docs: DataFrame, path_a: str, path_b: str, long_bytes: int = LONG_BY
         t = tokenizers(path_a, path_b)
         for whole_batch in batches:
             for b in (whole_batch.slice(k, 200) for k in range(0, max(1, len(whole_batch)), 200)):
-                found = [_digest_row(r, aligned(x, t) if x else None, t) for r, x in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True)]
+                found = [_digest_row(r, aligned(x, t) if x else None) for r, x in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True)]
                 yield _with_id(b.column("doc_id"), _batch(found, DIGEST))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +313,7 @@ def digests(docs: DataFrame, path_a: str, path_b: str, long_bytes: int = LONG_BY
         t = tokenizers(path_a, path_b)
         for whole_batch in batches:
             for b in (whole_batch.slice(k, 20) for k in range(0, max(1, len(whole_batch)), 20)):
-                yield _batch([_fragment_row(x["row"], x["piece"], piece(x["text_a"], x["text_b"], x["from_a"], x["from_b"], x["piece"] == 0, t)) for x in b.to_pylist()], FRAGMENT)
+                yield _batch([_fragment_row(x["row"], x["piece"], piece(x["text_a"], x["text_b"], x["from_a"], x["from_b"], t)) for x in b.to_pylist()], FRAGMENT)
 
     def joined(rows: pa.Table) -> tuple[dict, Fragment, Tokenizers]:
         t = tokenizers(path_a, path_b)
@@ -358,7 +329,8 @@ def digests(docs: DataFrame, path_a: str, path_b: str, long_bytes: int = LONG_BY
 
     def finish(rows: pa.Table) -> pa.Table:
         first, f, t = joined(rows)
-        return pa.Table.from_batches([_batch([_digest_row(first["row"], f, t)], DIGEST)])
+        done = whole(f, t)
+        return pa.Table.from_batches([_batch([_digest_row(first["row"], done and (f.n_a, f.n_b, done))], DIGEST)])
 
     is_long = F.coalesce(F.octet_length("text"), F.lit(0)) > long_bytes
     doc_id = f"doc_id {dict(docs.dtypes)['doc_id']}"
