@@ -1,6 +1,7 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree; scripts, menus, footers, forms, notices, adverts, comments and the like are taken out. Each
+A page becomes a tree; scripts, menus, footers, forms, notices, adverts, comments and the like are taken out; a form or a
+container with such a name stays if the page's prose is in it, as some pages are one form. Each
 paragraph then passes points for its length and its commas to its ancestors, in full to the nearest, less to those
 further up; a container's points are discounted by the share of its text that is in links. The best container is kept
 (the article around it, if there is one) with those of its siblings that read like text. Every block of what is kept
@@ -52,17 +53,23 @@ OUTER_NOISE = frozenset("header masthead topbar top bottom meta search alert mes
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 # Words that say how a page is laid out or what it goes without: a name with one of them says nothing about its element.
 LAYOUT = frozenset("no not non with without has have enabled disabled off on layout xs sm md lg xl visible page template".split())
+#: Of the words of noise those of what readers write.
+READERS = frozenset("comment comments commentlist commentary disqus reply replies respond discussion".split())
+#: Elements that can hold a whole page whatever they are called.
+CONTAINERS = frozenset("div section table tbody tr td center form".split())
 LIKELY = frozenset("article body content entry main page post text blog story hentry".split())
 
 
 class Node:
-    __slots__ = ("children", "link", "name", "names", "parent", "points", "size")
+    __slots__ = ("children", "doubtful", "heads", "link", "name", "names", "paragraphs", "parent", "points", "prose", "size")
 
     def __init__(self, name: str, parent: Node | None, names: frozenset[str] = frozenset()):
         self.name, self.parent, self.names = name, parent, names
         self.children: list[Node | str] = []
         self.points = 0.0
         self.size = self.link = 0
+        self.doubtful = self.heads = False  # left out unless it holds the page; holds a title, an article or the main part
+        self.prose = self.paragraphs = 0  # characters outside links, and paragraphs with some
 
 
 def _names(attributes: dict[str, str]) -> tuple[frozenset[str], frozenset[str]]:
@@ -76,20 +83,55 @@ def _names(attributes: dict[str, str]) -> tuple[frozenset[str], frozenset[str]]:
     return frozenset(every), frozenset(marks)
 
 
-def _noise(name: str, a: dict[str, str], names: frozenset[str], marks: frozenset[str], in_article: bool, mild: bool) -> bool:
+KEPT, DOUBTFUL, NO_ARTICLE = range(3)
+
+
+def _judged(name: str, a: dict[str, str], names: frozenset[str], marks: frozenset[str], in_article: bool, mild: bool) -> int:
+    """Whether an element can be part of the article: KEPT, NO_ARTICLE, or DOUBTFUL for containers that look like none."""
+    if name == "form":
+        return DOUBTFUL
     if name in DROPPED:
-        return True
+        return NO_ARTICLE
+    if name == "article" and in_article and marks & NOISE:
+        return NO_ARTICLE  # an entry within the article, such as a reader's comment
     if name in ("html", "body", "article", "main"):
-        return False
+        return KEPT
     if name == "header" and not in_article:
-        return True
+        return NO_ARTICLE
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
-        return True
-    if mild and name in ("div", "section", "table", "tbody", "tr", "td", "center"):
-        return False
+        return NO_ARTICLE
+    if mild and name in CONTAINERS:
+        return KEPT
+    doubt = NO_ARTICLE if name not in CONTAINERS or marks & READERS else DOUBTFUL
     if a.get("role") in ROLES or marks & NOISE:
-        return True
-    return not in_article and bool(marks & OUTER_NOISE) and not names & LIKELY  # an entry's header is not the page's
+        return doubt
+    return doubt if not in_article and marks & OUTER_NOISE and not names & LIKELY else KEPT  # an entry's header is not the page's
+
+
+def _without_doubtful(root: Node) -> Node:
+    """Takes doubtful containers out, but for those that hold the page: two paragraphs or more and at least 80 % of the prose,
+    or a title, an article or the main part with a paragraph and at least half of the prose."""
+    in_link = 0
+    for node, leaving in _walk(root):
+        if not leaving:
+            in_link += node.name == "a"
+            node.prose = 0 if in_link else sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+            continue
+        in_link -= node.name == "a"
+        node.heads |= node.name in ("h1", "article", "main")
+        node.paragraphs += node.name in ("p", "pre", "blockquote") and node.prose >= 80
+        if node.parent is not None:
+            node.parent.prose += node.prose
+            node.parent.heads |= node.heads
+            node.parent.paragraphs += node.paragraphs
+
+    def holds_the_page(x: Node) -> bool:
+        return x.paragraphs >= 2 and x.prose >= 0.8 * root.prose or x.heads and x.paragraphs >= 1 and x.prose >= 0.5 * root.prose
+
+    for node, leaving in _walk(root):
+        if not leaving and any(isinstance(c, Node) and c.doubtful for c in node.children):
+            node.children = [c for c in node.children if isinstance(c, str) or not c.doubtful or holds_the_page(c)]
+    return root
 
 
 def after_raw_text(page: str, name: str, pos: int) -> int:
@@ -167,9 +209,11 @@ def parse(page: str, keep_all: bool = False, mild: bool = False) -> Node:
         names, marks = _names(found) if found else (frozenset(), frozenset())
         node = Node(name, at, names)
         if skip is None:
-            if _noise(name, found, names, marks, inside > 0, mild) if not keep_all else name == "head":
+            verdict = _judged(name, found, names, marks, inside > 0, mild) if not keep_all else NO_ARTICLE * (name == "head")
+            if verdict == NO_ARTICLE:
                 skip = node
             else:
+                node.doubtful = verdict == DOUBTFUL
                 at.children.append(node)
         if text.rstrip().endswith("/") and name not in BLOCKS:
             if skip is node:
@@ -178,7 +222,7 @@ def parse(page: str, keep_all: bool = False, mild: bool = False) -> Node:
         inside += name == "article"
         open_now[name] += 1
         at = node
-    return root
+    return root if keep_all else _without_doubtful(root)
 
 
 def _clean(text: str) -> str:
@@ -301,8 +345,8 @@ def _best(root: Node) -> list[Node]:
 
 
 def main_text(page: str) -> str:
-    """Where nothing is left, an outer container may have been given a name of noise: containers are then kept whatever
-    they are called, if there is an article or a heading in them."""
+    """Containers that look like no part of an article stay where they hold the page. Where nothing is left all the same,
+    containers are kept whatever they are called, if there is an article or a heading in them."""
     found = lines(_best(parse(page)))
     if not found and page.strip():
         again = parse(page, mild=True)
