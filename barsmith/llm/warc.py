@@ -27,6 +27,7 @@ from .common import bounded_batches, raw, table
 from .html_extraction import ATTRIBUTE, TOKEN, after_raw_text, all_text
 
 HTML, TEXT = ("text/html", "application/xhtml+xml"), ("text/plain",)
+HALF = re.compile("[\ud800-\udfff]")
 TITLE, TITLE_END = re.compile(r"<title[^<>]*>", re.I), re.compile(r"</title\s*>", re.I)
 # Elements that link to something, and the attribute that says to what.
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src"}
@@ -57,9 +58,12 @@ def header_value(headers: str, name: str) -> str:
 def decoded(payload: bytes, content_type: str) -> str:
     charset = re.search(r"charset=\"?([\w.:-]+)", content_type, re.I)
     try:
-        return payload.decode(charset[1] if charset else "utf-8", "replace")
+        text = payload.decode(charset[1] if charset else "utf-8", "replace")
     except (LookupError, ValueError):  # unknown names, and codecs that aren't for text or raise at any byte
         return payload.decode("utf-8", "replace")
+    if HALF.search(text):  # some codecs make halves of a pair: pairs are joined, lone halves replaced
+        text = text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return text
 
 
 def title_of(page: str) -> str:
