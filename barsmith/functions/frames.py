@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scan import with_index
-from .windows import KEY, full, lagged, upto
+from .ranges import ranged, with_index
+from .windows import KEY, full, lagged, ordered, upto
 
 #: Shorter frames are left to plain windows.
 LONG = 64
@@ -45,8 +45,12 @@ def _combined(kind: str, n: int, a: dict[str, Column], b: dict[str, Column], n_b
 
 def long_frames(df: DataFrame, wanted: dict[str, tuple[str, str, int]]) -> DataFrame:
     """``df`` with, for each name of ``wanted``, a kind of PLAIN of a column over the last n rows of its ticker, NULL unless
-    all n values are there."""
-    short = {name: full(x, n, PLAIN[kind]) for name, (kind, x, n) in wanted.items() if n < LONG}
+    all n values are there. Rows of :func:`ranges.in_ranges` stay in their ranges."""
+    if "_part" in df.columns:
+        keys, w = (KEY, "_part"), ranged()
+    else:
+        keys, w = (KEY,), ordered()
+    short = {name: full(x, n, PLAIN[kind], w) for name, (kind, x, n) in wanted.items() if n < LONG}
     wanted = {name: of for name, of in wanted.items() if name not in short}
     df = df.withColumns(short) if short else df
     if not wanted:
@@ -56,14 +60,14 @@ def long_frames(df: DataFrame, wanted: dict[str, tuple[str, str, int]]) -> DataF
     df = df.withColumns({f"_b{n}": F.floor(F.col("_i") / n) for n in {n for *_, n in wanted.values()}})
     first, second = {}, {}
     for kind, x, n in wanted.values():
-        block = W.partitionBy(KEY, f"_b{n}")
+        block = W.partitionBy(*keys, f"_b{n}")
         forward, backward = upto(block.orderBy("_i")), upto(block.orderBy(F.col("_i").desc()))
         for agg in RUNNING[kind]:
             first[f"_a_{agg}_{x}_{n}"] = getattr(F, agg)(x).over(forward)
             first[f"_z_{agg}_{x}_{n}"] = getattr(F, agg)(x).over(backward)
-            second[f"_y_{agg}_{x}_{n}"] = lagged(f"_z_{agg}_{x}_{n}", n - 1)
-        first[f"_k_{x}"] = F.count(x).over(upto())
-        second[f"_j_{x}_{n}"] = F.coalesce(lagged(f"_k_{x}", n), F.lit(0))
+            second[f"_y_{agg}_{x}_{n}"] = lagged(f"_z_{agg}_{x}_{n}", n - 1, w)
+        first[f"_k_{x}"] = F.count(x).over(upto(w))
+        second[f"_j_{x}_{n}"] = F.coalesce(lagged(f"_k_{x}", n, w), F.lit(0))
     df = df.withColumns(first).withColumns(second)
     out = {}
     for name, (kind, x, n) in wanted.items():

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.windows import ordered
+from ..functions.ranges import over_ranges, with_index
+from ..functions.windows import last, no_nan, ordered
 
 DOWN, NEUTRAL, UP = 0, 1, 2
 
@@ -47,17 +48,26 @@ def labelled(df: DataFrame, band: tuple[float, float] = (0.45, 0.55), per_split:
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...], most: int = 1_000_000, parts: int = 128) -> dict[str, list[float | None]]:
-    """For each column the quantiles (between neighbours by place) of its values. Around each place that is asked for, a
-    bracket is cut into ``parts`` ranges whose rows are counted, until it holds ``most`` values at most or only equal
-    ones; only those are put in order. So no task orders or holds a column, and the driver sees counts."""
+    """For each column the quantiles (between neighbours by place) of its values; missing values, NaN and infinities don't
+    count. Around each place that is asked for, a bracket is cut into ``parts`` ranges whose rows are counted, until it
+    holds ``most`` values at most or only equal ones; only those are put in order. So no task orders or holds a column,
+    and the driver sees counts. The columns are worked out once and kept until all is found."""
+    columns_only = df.select(*[no_nan(F.col(c).cast("double")).alias(c) for c in columns]).persist()
+    try:
+        return _exact_quantiles(columns_only, columns, shares, most, parts)
+    finally:
+        columns_only.unpersist()
+
+
+def _exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...], most: int, parts: int) -> dict[str, list[float | None]]:
     row = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first()
     wanted = {i: [(row[f"n{i}"] - 1) * s for s in shares] for i in range(len(columns)) if row[f"n{i}"]}
     #: (column, place): least and largest value of the bracket, values before it, values in it
     open_ = {(i, r): (float(row[f"a{i}"]), float(row[f"b{i}"]), 0, row[f"n{i}"]) for i, ps in wanted.items() for p in ps for r in (math.floor(p), math.ceil(p))}
     while wide := {k: v for k, v in open_.items() if v[3] > most and v[0] < v[1]}:
         keys = {(i, *b): (i, b) for (i, _), b in wide.items()}
-        cut = [F.struct(F.lit(j).alias("j"), F.when(F.col(columns[i]).between(a, b), F.least(F.lit(parts - 1), F.floor((F.col(columns[i]) - a) / (b - a) * parts))).alias("part"), F.col(columns[i]).cast("double").alias("x")) for j, (i, (a, b, *_)) in enumerate(keys.values())]
-        found = df.select(F.explode(F.array(*cut)).alias("_c")).select("_c.*").where("part IS NOT NULL").groupBy("j", "part").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
+        cut = [F.when(F.col(columns[i]).between(a, b), F.struct(F.lit(j).alias("j"), F.least(F.lit(parts - 1), F.floor((F.col(columns[i]) - a) / (b - a) * parts)).alias("part"), F.col(columns[i]).alias("x"))) for j, (i, (a, b, *_)) in enumerate(keys.values())]
+        found = df.select(F.explode(F.array_compact(F.array(*cut))).alias("_c")).select("_c.*").groupBy("j", "part").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
         by: dict[int, list] = {}
         for x in sorted(found.collect()):  # at most ``parts`` rows for each bracket
             by.setdefault(x["j"], []).append(x)
@@ -71,8 +81,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]
     narrow = {(i, v): None for (i, _), v in open_.items() if v[0] < v[1]}
     values: dict = {}
     if narrow:
-        cut = [F.struct(F.lit(j).alias("j"), F.when(F.col(columns[i]).between(a, b), F.col(columns[i]).cast("double")).alias("x")) for j, (i, (a, b, *_)) in enumerate(narrow)]
-        each = df.select(F.explode(F.array(*cut)).alias("_c")).select("_c.*").where("x IS NOT NULL").groupBy("j", "x").agg(F.count("*").alias("n"))
+        cut = [F.when(F.col(columns[i]).between(a, b), F.struct(F.lit(j).alias("j"), F.col(columns[i]).alias("x"))) for j, (i, (a, b, *_)) in enumerate(narrow)]
+        each = df.select(F.explode(F.array_compact(F.array(*cut))).alias("_c")).select("_c.*").groupBy("j", "x").agg(F.count("*").alias("n"))
         upto = F.sum("n").over(W.partitionBy("j").orderBy("x"))
         places = spark_rows(df, [(j, r - v[2]) for j, (i, v) in enumerate(narrow) for (k, r), o in open_.items() if k == i and o == v], "j int, r long")
         placed = each.withColumn("upto", upto).join(F.broadcast(places), "j").where("r < upto AND r >= upto - n")  # a row for each place
@@ -176,9 +186,9 @@ def balanced_batches(df: DataFrame, batch: int, n_batches: int, classes: int = 3
 def sequences(df: DataFrame, columns: list[str], length: int = 16, include_first: bool = True) -> DataFrame:
     """ticker, ts, label and the ``length`` rows that end there; without ``include_first`` a ticker's first full window
     is left out."""
-    w = ordered()
-    rows = df.withColumns({"window": F.collect_list(F.struct(*columns)).over(w.rowsBetween(-(length - 1), 0)), "_at": F.row_number().over(w)})
-    return rows.where(F.col("_at") >= length + (not include_first)).select("ticker", "ts", "label", "window")
+    window = lambda w: {"window": F.collect_list(F.struct(*columns)).over(last(length, w))}
+    rows = over_ranges(with_index(df), window, before=length - 1)
+    return rows.where(F.col("_i") >= length - include_first).select("ticker", "ts", "label", "window")
 
 
 def prepare(features: DataFrame, columns: list[str], horizon: int = 4, test_size: float = 0.2, band: tuple[float, float] = (0.45, 0.55), min_rows: int = 32, val_size: float | None = None, price: str = "Close") -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.bars import usable
 from ..functions.frames import below_quantile, in_parts, long_frames, mean_deviation
-from ..functions.scan import affine_scan, ema, wilder, with_index, Recurrence
+from ..functions.ranges import in_ranges, over_ranges, own_rows, ranged, with_index
+from ..functions.scan import Recurrence, affine_scan, ema, wilder
 from ..functions.windows import change, clip, flag, full, lagged, upto, wide_mean
 
 
@@ -62,24 +63,28 @@ def raw_columns() -> dict[str, Column]:
     return {"Open": F.col(O), "High": F.col(H), "Low": F.col(L), "Close": F.col(C), "Volume": F.bround(V).cast("long")}
 
 
-def lags(p: Preset = FULL) -> dict[str, Column]:
-    return {"Close_15m": lagged(C), "Close_1h": lagged(C, p.hour), "Volume_15m": lagged(V)} | {
-        f"Price_Change_{n}": change(C, k) for n, k in (("15m", 1), ("1h", p.hour), ("4h", p.four_hours), ("1d", p.day))
+def lags(p: Preset = FULL, w: WindowSpec | None = None) -> dict[str, Column]:
+    return {"Close_15m": lagged(C, 1, w), "Close_1h": lagged(C, p.hour, w), "Volume_15m": lagged(V, 1, w)} | {
+        f"Price_Change_{n}": change(C, k, w) for n, k in (("15m", 1), ("1h", p.hour), ("4h", p.four_hours), ("1d", p.day))
     }
 
 
-def sma_columns(p: Preset = FULL) -> dict[str, Column]:
+def sma_columns(p: Preset = FULL, w: WindowSpec | None = None) -> dict[str, Column]:
     """Ratios of simple means, short over long, and whether the short one is above."""
-    a, b = (full(C, n, F.avg) for n in p.sma[:2])
-    c, d = (wide_mean(C, n) for n in p.sma[2:])
+    a, b = (full(C, n, F.avg, w) for n in p.sma[:2])
+    c, d = (wide_mean(C, n, w) for n in p.sma[2:])
     return {"SMA_5_20_Ratio_15m": F.try_divide(a, b), "SMA_20_50_Ratio_1d": F.try_divide(c, d), "SMA_Cross_5_20_15m": flag(a > b), "SMA_Cross_20_50_1d": flag(c > d)}
 
 
-def volume_columns(p: Preset = FULL) -> dict[str, Column]:
-    """Volume over its mean (with 1 added), and on-balance volume."""
+def volume_columns(p: Preset = FULL, w: WindowSpec | None = None) -> dict[str, Column]:
+    """Volume over its mean (with 1 added)."""
     v = F.col(V)
-    step = F.coalesce(F.signum(F.col(C) - lagged(C)) * v, v)  # the first bar counts in full
-    return {"Volume_Ratio_20_15m": F.try_divide(v, full(V, p.volume[0], F.avg) + 1), "Volume_Ratio_20_1d": F.try_divide(v, wide_mean(V, p.volume[1]) + 1), "_obv": step}
+    return {"Volume_Ratio_20_15m": F.try_divide(v, full(V, p.volume[0], F.avg, w) + 1), "Volume_Ratio_20_1d": F.try_divide(v, wide_mean(V, p.volume[1], w) + 1)}
+
+
+def obv_step() -> Column:
+    """What a bar adds to on-balance volume; the first counts in full."""
+    return F.coalesce(F.signum(F.col(C) - F.col(f"_prev_{C}")) * F.col(V), F.col(V))
 
 
 def with_drawdown(df: DataFrame, p: Preset = FULL) -> DataFrame:
@@ -95,86 +100,95 @@ def sharpe(mean: Column, deviation: Column, scale: float) -> Column:
     return clip(ratio, -50.0, 50.0)
 
 
-def rolling_sharpe(ret: str, n: int, scale: float) -> Column:
-    return sharpe(full(ret, n, F.avg), full(ret, n, F.stddev_samp), scale)
-
-
-def _scan_inputs(bars: DataFrame) -> DataFrame:
-    d = F.col(C) - lagged(C)
-    gains = {"_gain": F.coalesce(F.greatest(d, F.lit(0.0)), F.lit(0.0)), "_loss": F.coalesce(F.greatest(-d, F.lit(0.0)), F.lit(0.0))}
-    bars = with_index(bars).withColumns(gains)
-    return bars.withColumns({"_mean_close": F.avg(C).over(upto()), "_sum_close": F.sum(C).over(upto()), "_sum_gain": F.sum("_gain").over(upto()), "_sum_loss": F.sum("_loss").over(upto())})
-
-
-def _ema(name: str, n: int) -> Recurrence:
-    return ema(name, F.col(C), n, F.col("_mean_close"))
+def rolling_sharpe(ret: str, n: int, scale: float, w: WindowSpec | None = None) -> Column:
+    return sharpe(full(ret, n, F.avg, w), full(ret, n, F.stddev_samp, w), scale)
 
 
 def _rsi(i: int, n: int) -> list[Recurrence]:
-    return [wilder(f"_g{i}", F.col("_gain"), n, F.col("_sum_gain")), wilder(f"_l{i}", F.col("_loss"), n, F.col("_sum_loss"))]
+    return [wilder(f"_g{i}", F.col("_gain"), n), wilder(f"_l{i}", F.col("_loss"), n)]
 
 
-def rsi_value(i: int) -> Column:
-    g, l = F.col(f"_g{i}"), F.col(f"_l{i}")
+def rsi_value(i: int, end: str = "") -> Column:
+    g, l = F.col(f"_g{i}{end}"), F.col(f"_l{i}{end}")
     return F.when(g + l == 0, 0.0).otherwise(100 * g / (g + l))
 
 
 def _macd(i: int, fast: int, slow: int) -> list[Recurrence]:
     """The fast mean is seeded where the slow one starts, with the mean of the ``fast`` values that end there."""
     k = 2 / (fast + 1)
-    seed = (F.col("_sum_close") - F.col(f"_before{i}")) / fast
-    return [Recurrence(f"_fast{i}", F.col(C), 1 - k, k, slow - 1, seed), _ema(f"_slow{i}", slow)]
+    return [Recurrence(f"_fast{i}", F.col(C), 1 - k, k, slow - 1, fast), ema(f"_slow{i}", F.col(C), slow)]
 
 
-def recurrences(bars: DataFrame, p: Preset = FULL, parts: tuple[str, ...] = ("ema", "rsi", "macd")) -> DataFrame:
-    """Usable ``bars`` with EMA_*, RSI_* and MACD columns of the parts asked for; one scan, and one more for signal lines."""
-    df = _scan_inputs(usable(bars))
-    todo: list[Recurrence] = []
+def _rsi_events(r: Column, before: Column) -> dict[str, Column]:
+    return {"RSI_Change": r - before, "RSI_Overbought": flag(r > 70), "RSI_Oversold": flag(r < 30)}
+
+
+def _macd_events(m: Column, s: Column, m1: Column, s1: Column) -> dict[str, Column]:
+    return {"MACD_Change_15m": m - m1, "MACD_Bull_Cross_15m": flag((m > s) & (m1 <= s1)), "MACD_Bear_Cross_15m": flag((m < s) & (m1 >= s1))}
+
+
+def _scanned(df: DataFrame, p: Preset, parts: tuple[str, ...], more: tuple[Recurrence, ...] = (), then=None) -> DataFrame:
+    """``df`` (with _i and _prev_close) and the columns of the parts asked for; one scan, and one more for signal lines.
+    ``more`` recurrences go into the first; ``then`` gives columns made of it, and recurrences of these for the second."""
+    d = F.col(C) - F.col(f"_prev_{C}")
+    df = df.withColumns({"_gain": F.coalesce(F.greatest(d, F.lit(0.0)), F.lit(0.0)), "_loss": F.coalesce(F.greatest(-d, F.lit(0.0)), F.lit(0.0)), "_flow": F.coalesce(obv_step(), F.lit(0.0))})
+    todo = [*more]
+    lags: list[str] = []
     if "ema" in parts:
-        todo += [_ema(name, n) for name, n in zip(("EMA_9_15m", "EMA_21_15m", "EMA_21_1d", "EMA_50_1d"), p.ema, strict=True)]
+        todo += [ema(name, F.col(C), n) for name, n in zip(("EMA_9_15m", "EMA_21_15m", "EMA_21_1d", "EMA_50_1d"), p.ema, strict=True)]
     if "rsi" in parts:
         todo += [r for i, n in enumerate(p.rsi) for r in _rsi(i, n)]
+        lags += ["_g0", "_l0"]
     if "macd" in parts:
-        df = df.withColumns({f"_before{i}": F.coalesce(lagged("_sum_close", f), F.lit(0.0)) for i, (f, _, _) in enumerate(p.macd)})
         todo += [r for i, (f, s, _) in enumerate(p.macd) for r in _macd(i, f, s)]
-    df = affine_scan(df, todo)
+        lags += ["_fast0", "_slow0"]
+    if "obv" in parts:
+        todo.append(Recurrence("OBV", F.col("_flow"), 1.0, 1.0, 0, F.col("_flow")))
+    df = affine_scan(df, todo, lags=tuple(lags))
     if "rsi" in parts:
         df = df.withColumns({name: rsi_value(i) for i, name in enumerate(("RSI_15m", "RSI_1h", "RSI_4h", "RSI_1d"))})
+        df = df.withColumns(_rsi_events(F.col("RSI_15m"), rsi_value(0, "_lag")))
     if "macd" in parts:
         df = df.withColumns({f"_m{i}": F.coalesce(F.col(f"_fast{i}") - F.col(f"_slow{i}"), F.lit(0.0)) for i in range(2)})
-        df = df.withColumns({f"_sum_m{i}": F.sum(f"_m{i}").over(upto()) for i in range(2)})
-        lines = []
-        for i, (_, s, n) in enumerate(p.macd):
-            k = 2 / (n + 1)
-            lines.append(Recurrence(f"_signal{i}", F.col(f"_m{i}"), 1 - k, k, s + n - 2, F.col(f"_sum_m{i}") / n))
-        df = affine_scan(df, lines)
+        lines = [Recurrence(f"_signal{i}", F.col(f"_m{i}"), 1 - 2 / (n + 1), 2 / (n + 1), s + n - 2, n) for i, (_, s, n) in enumerate(p.macd)]
+        columns, last = then or ({}, [])
+        df = affine_scan(df.withColumns(columns), [*lines, *last], lags=("_signal0",))
         out = {}
         for i, name in enumerate(("15m", "4h")):
             out[f"MACD_{name}"] = F.when(F.col(f"_signal{i}").isNotNull(), F.col(f"_m{i}"))
             out[f"MACD_Signal_{name}"] = F.col(f"_signal{i}")
             out[f"MACD_Histogram_{name}"] = F.col(f"_m{i}") - F.col(f"_signal{i}")
         df = df.withColumns(out)
+        before = F.when(F.col("_signal0_lag").isNotNull(), F.col("_fast0_lag") - F.col("_slow0_lag"))
+        df = df.withColumns(_macd_events(F.col("MACD_15m"), F.col("MACD_Signal_15m"), before, F.col("_signal0_lag")))
+    return df
+
+
+def recurrences(bars: DataFrame, p: Preset = FULL, parts: tuple[str, ...] = ("ema", "rsi", "macd")) -> DataFrame:
+    """Usable ``bars`` with EMA_*, RSI_*, MACD_* and OBV columns of the parts asked for (ema, rsi, macd, obv)."""
+    df = _scanned(with_index(usable(bars), previous=(C,)), p, parts)
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
-def macd_events() -> dict[str, Column]:
-    m, s = F.col("MACD_15m"), F.col("MACD_Signal_15m")
-    m1, s1 = lagged("MACD_15m"), lagged("MACD_Signal_15m")
-    return {"MACD_Change_15m": m - m1, "MACD_Bull_Cross_15m": flag((m > s) & (m1 <= s1)), "MACD_Bear_Cross_15m": flag((m < s) & (m1 >= s1))}
+def framed(bars: DataFrame, stages, before: int) -> DataFrame:
+    """ticker, ts and the columns of ``stages`` (each gets the window to use) over frames of at most ``before`` rows back."""
+    df = over_ranges(bars, *stages, before=before)
+    return df.select("ticker", "ts", *[c for c in df.columns if c not in bars.columns and c[0] != "_"])
 
 
-def rsi_events() -> dict[str, Column]:
-    r = F.col("RSI_15m")
-    return {"RSI_Change": r - lagged("RSI_15m"), "RSI_Overbought": flag(r > 70), "RSI_Oversold": flag(r < 30)}
+def longest(p: Preset = FULL) -> int:
+    """The rows that the frames of a preset look back."""
+    return max(*p.sma, *p.volume, *p.drawdown, p.sharpe + 1, p.day + 1, p.four_hours + 1) - 1
 
 
 def build_features(bars: DataFrame, preset: Preset = FULL) -> DataFrame:
     """ticker, ts and the 46 features of ``bars`` (ticker, ts, open, high, low, close, volume), one row for each usable bar."""
     p = preset
-    df = recurrences(bars.select("ticker", "ts", *[F.col(c).cast("double").alias(c) for c in (O, H, L, C, V)]), p)
-    df = with_drawdown(df.withColumns(lags(p) | sma_columns(p) | volume_columns(p)), p)
-    df = df.withColumns(rsi_events() | macd_events() | price_action())
-    df = df.withColumns({"OBV": F.sum("_obv").over(upto()), "Sharpe_Approx_4h": rolling_sharpe("Price_Change_15m", p.sharpe, p.bars_per_sharpe_year)})
+    df = usable(bars.select("ticker", "ts", *[F.col(c).cast("double").alias(c) for c in (O, H, L, C, V)]))
+    df = in_ranges(with_index(df, previous=(C,)), longest(p))
+    df = with_drawdown(df.withColumns(lags(p, ranged()) | sma_columns(p, ranged()) | volume_columns(p, ranged())), p)
+    df = df.withColumn("Sharpe_Approx_4h", rolling_sharpe("Price_Change_15m", p.sharpe, p.bars_per_sharpe_year, ranged()))
+    df = _scanned(own_rows(df, "_i"), p, ("ema", "rsi", "macd", "obv")).withColumns(price_action())
     inputs = df.withColumnsRenamed({c: f"_{c}" for c in (O, H, L, C, V)})
     raw = {"Open": F.col("_open"), "High": F.col("_high"), "Low": F.col("_low"), "Close": F.col("_close"), "Volume": F.bround("_volume").cast("long")}
     return inputs.select("ticker", "ts", *[raw[n].alias(n) if n in raw else F.col(n) for n in NAMES])
@@ -184,8 +198,20 @@ def optional_features(bars: DataFrame, preset: Preset = FULL) -> DataFrame:
     """ticker, ts and the indicators that the default preset leaves out: ranges, rates of change, channel position,
     divergence, distance to means, directional movement, true range, deviations, Bollinger bands, volume spikes, time
     under water and time since the peak."""
-    df = recurrences(bars, preset)
     c, h, l, v = F.col(C), F.col(H), F.col(L), F.col(V)
+    df = with_index(usable(bars), previous=(C, H, L))
+    up, down = h - F.col(f"_prev_{H}"), F.col(f"_prev_{L}") - l
+    moves = {"_tr": F.greatest(h - l, F.abs(h - F.col(f"_prev_{C}")), F.abs(l - F.col(f"_prev_{C}")))}
+    moves |= {"_pdm": F.when((up > down) & (up > 0), up).otherwise(0.0), "_ndm": F.when((down > up) & (down > 0), down).otherwise(0.0)}
+    # Wilder means of true range and directional movement, then of the index made of them
+    index: dict[str, Column] = {}
+    for name, k in (("15m", 14), ("1d", 350)):
+        p, n = F.col(f"_w_pdm{k}"), F.col(f"_w_ndm{k}")  # the true range cancels out
+        index[f"_dx{k}"] = F.coalesce(100 * F.try_divide(F.abs(p - n), p + n), F.lit(0.0))
+        index |= {f"ATR_14_{name}": F.col(f"_w_tr{k}"), f"ATR_Ratio_{name}": F.try_divide(f"_w_tr{k}", c)}
+    adx = [Recurrence(f"ADX_{n}", F.col(f"_dx{k}"), (k - 1) / k, 1 / k, 2 * k - 1, k) for n, k in (("15m", 14), ("1d", 350))]
+    df = _scanned(df.withColumns(moves), preset, ("ema", "rsi", "macd"), tuple(wilder(f"_w{x}{k}", F.col(x), k) for k in (14, 350) for x in moves), (index, adx))
+    df = df.select(*bars.columns, "_i", *[x for x in df.columns if x[0] != "_" and x not in bars.columns])
     df = df.withColumns({"_r": change(C, 1), "_typical": (h + l + c) / 3})
     frames = {f"_high{k}": ("max", H, k) for k in (14, 56, 350)} | {f"_low{k}": ("min", L, k) for k in (14, 56, 350)}
     frames |= {n: ("stddev_samp", C, k) for n, k in (("Std_10_15m", 10), ("Std_10_1d", 500), ("Std_20_15m", 20), ("Std_20_1d", 500))}
@@ -208,10 +234,6 @@ def optional_features(bars: DataFrame, preset: Preset = FULL) -> DataFrame:
     out["Volume_Spike_15m"] = flag(F.try_divide(v, full(V, 20, F.avg) + 1) > 2)
     out["Volume_Spike_1d"] = flag(F.try_divide(v, wide_mean(V, 500) + 1) > 1.5)
     out["Volume_Change"] = clip(change(V, 1), -0.99, 10.0)
-    up, down = h - lagged(H), lagged(L) - l
-    out["_tr"] = F.greatest(h - l, F.abs(h - lagged(C)), F.abs(l - lagged(C)))
-    out["_pdm"] = F.when((up > down) & (up > 0), up).otherwise(0.0)
-    out["_ndm"] = F.when((down > up) & (down > 0), down).otherwise(0.0)
     df = df.withColumns(out)
 
     more: dict[str, Column] = {"Sharpe_Approx_20d": sharpe(F.col("_r_mean"), F.col("_r_dev"), 96.0 * 252)}
@@ -232,19 +254,5 @@ def optional_features(bars: DataFrame, preset: Preset = FULL) -> DataFrame:
         cci = F.coalesce(F.try_divide(F.col("_typical") - mean, 0.015 * F.col(f"_spread{k}")), F.lit(0.0))
         last[f"CCI_{name}"] = clip(F.when(mean.isNotNull(), cci), -500.0, 500.0)
     df = df.withColumns(last)
-
-    # Wilder means of true range and directional movement, then of the index made of them
-    parts = ("_tr", "_pdm", "_ndm")
-    df = with_index(df).withColumns({f"_sum{x}": F.sum(F.when(F.col("_i") > 0, F.col(x))).over(upto()) for x in parts})
-    df = affine_scan(df, [wilder(f"_w{x}{k}", F.col(x), k, F.col(f"_sum{x}")) for k in (14, 350) for x in parts])
-    index = {}
-    for name, k in (("15m", 14), ("1d", 350)):
-        p, n = F.col(f"_w_pdm{k}"), F.col(f"_w_ndm{k}")  # the true range cancels out
-        index[f"_dx{k}"] = F.coalesce(100 * F.try_divide(F.abs(p - n), p + n), F.lit(0.0))
-        index[f"ATR_14_{name}"] = F.col(f"_w_tr{k}")
-        index[f"ATR_Ratio_{name}"] = F.try_divide(f"_w_tr{k}", c)
-    df = df.withColumns(index)
-    df = df.withColumns({f"_sumdx{k}": F.sum(F.when(F.col("_i") >= k, F.col(f"_dx{k}"))).over(upto()) for k in (14, 350)})
-    df = affine_scan(df, [Recurrence(f"ADX_{n}", F.col(f"_dx{k}"), (k - 1) / k, 1 / k, 2 * k - 1, F.col(f"_sumdx{k}") / k) for n, k in (("15m", 14), ("1d", 350))])
     drop = {*bars.columns, *NAMES}
     return df.select("ticker", "ts", *sorted(x for x in df.columns if x[0] != "_" and x not in drop))

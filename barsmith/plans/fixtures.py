@@ -199,3 +199,11 @@ def info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INFO = "info AS (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, CASE WHEN s_suppkey % 11 <> 0 THEN s_acctbal / 300 END AS trailingPE, CASE WHEN s_suppkey % 11 <> 0 THEN s_acctbal / 320 END AS forwardPE, CASE WHEN s_suppkey % 11 <> 0 THEN s_acctbal * 1000 END AS marketCap, CASE WHEN s_suppkey % 11 <> 0 THEN s_acctbal * 1100 END AS enterpriseValue FROM supplier)"
+
+
+# weights of two small networks of a user's own, by rule
+DENSE = tuple(tuple(((3 * i + 2 * k) % 7 - 3) / 4 for k in range(3)) for i in range(3))
+BIAS = (0.1, 0.0, -0.1)
+INNER = tuple(tuple(((7 * i + 3 * j) % 11 - 5) / 100 for j in range(3)) for i in range(46))
+OWN = tuple(tuple(((i + 2 * j) % 5 - 2) / 10 for j in range(3)) for i in range(3))
+HEAD = tuple(tuple(float((j + k) % 3 - 1) for k in range(3)) for j in range(3))

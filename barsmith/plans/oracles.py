@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.features import NAMES
 from . import fixtures as fx
 
 ORACLES: dict[str, str] = {}
@@ -66,9 +67,23 @@ RSIS = {"RSI_15m": 14, "RSI_1h": 56, "RSI_4h": 224, "RSI_1d": 350}
 MACDS = {"15m": (12, 26, 9), "4h": (192, 416, 144)}
 
 
-def numbered() -> str:
+class Lengths:
+    """Window lengths of a preset."""
+
+    emas, rsis, macds = EMAS, RSIS, MACDS
+    sma, volume, drawdown = (5, 20, 500, 1250), (20, 500), (16, 500)
+
+
+class Short(Lengths):
+    emas = dict(zip(EMAS, (9, 21, 52, 125)))
+    rsis = dict(zip(RSIS, (14, 14, 22, 35)))
+    macds = {"15m": (12, 26, 9), "4h": (19, 42, 14)}
+    sma, volume, drawdown = (5, 20, 50, 125), (20, 50), (16, 50)
+
+
+def numbered(p: type[Lengths] = Lengths) -> str:
     d = f"close - {lag('close')}"
-    befores = ", ".join(f"coalesce(lag(sum_close, {f}) OVER ({W}), 0) AS before_{n}" for n, (f, _, _) in MACDS.items())
+    befores = ", ".join(f"coalesce(lag(sum_close, {f}) OVER ({W}), 0) AS before_{n}" for n, (f, _, _) in p.macds.items())
     return (
         f"changes AS (SELECT *, row_number() OVER ({W}) - 1 AS rn, greatest(coalesce({d}, 0), 0) AS gain, greatest(coalesce(-({d}), 0), 0) AS loss FROM bars), "
         f"sums AS (SELECT *, avg(close) OVER ({W}) AS mean_close, sum(close) OVER ({W}) AS sum_close, sum(gain) OVER ({W}) AS sum_gain, sum(loss) OVER ({W}) AS sum_loss FROM changes), "
@@ -76,15 +91,15 @@ def numbered() -> str:
     )
 
 
-def states(*kinds: str) -> dict:
+def states(*kinds: str, p: type[Lengths] = Lengths) -> dict:
     out: dict = {}
     if "ema" in kinds:
-        out |= {n: ema_state(k) for n, k in EMAS.items()}
+        out |= {n: ema_state(k) for n, k in p.emas.items()}
     if "rsi" in kinds:
-        for n, k in RSIS.items():
+        for n, k in p.rsis.items():
             out |= {f"g_{n}": wilder_state(k, "gain"), f"l_{n}": wilder_state(k, "loss")}
     if "macd" in kinds:
-        for n, (f, s, _) in MACDS.items():
+        for n, (f, s, _) in p.macds.items():
             k = 2 / (f + 1)
             out |= {f"fast_{n}": (s - 1, f"(b.sum_close - b.before_{n}) / {f}", 1 - k, k, "b.close"), f"slow_{n}": ema_state(s)}
     return out
@@ -94,9 +109,9 @@ def rsi_sql(n: str) -> str:
     return f"CASE WHEN g_{n} + l_{n} = 0 THEN 0 ELSE 100 * g_{n} / (g_{n} + l_{n}) END"
 
 
-def recurrent(prefix: str, *kinds: str) -> str:
+def recurrent(prefix: str, *kinds: str, p: type[Lengths] = Lengths) -> str:
     """CTEs up to ``feats``: bars with the recurrent columns of the kinds asked for."""
-    sql = f"{prefix.replace('WITH', 'WITH RECURSIVE', 1)}, {numbered()}, {recursion(states(*kinds), 'num')}"
+    sql = f"{prefix.replace('WITH', 'WITH RECURSIVE', 1)}, {numbered(p)}, {recursion(states(*kinds, p=p), 'num')}"
     columns = [f"{rsi_sql(n)} AS {n}" for n in RSIS] if "rsi" in kinds else []
     columns += list(EMAS) if "ema" in kinds else []
     if "macd" not in kinds:
@@ -104,9 +119,9 @@ def recurrent(prefix: str, *kinds: str) -> str:
     m = ", ".join(f"coalesce(fast_{n} - slow_{n}, 0) AS m_{n}" for n in MACDS)
     sums = ", ".join(f"sum(m_{n}) OVER ({W}) AS sum_m_{n}" for n in MACDS)
     lines = {}
-    for n, (_, s, p) in MACDS.items():
-        k = 2 / (p + 1)
-        lines[f"signal_{n}"] = (s + p - 2, f"b.sum_m_{n} / {p}", 1 - k, k, f"b.m_{n}")
+    for n, (_, s, m9) in p.macds.items():
+        k = 2 / (m9 + 1)
+        lines[f"signal_{n}"] = (s + m9 - 2, f"b.sum_m_{n} / {m9}", 1 - k, k, f"b.m_{n}")
     sql += f", lines AS (SELECT *, {m} FROM rec), lines2 AS (SELECT *, {sums} FROM lines), {recursion(lines, 'lines2', 'sig')}"
     for n in MACDS:
         columns += [f"CASE WHEN signal_{n} IS NOT NULL THEN m_{n} END AS MACD_{n}", f"signal_{n} AS MACD_Signal_{n}", f"m_{n} - signal_{n} AS MACD_Histogram_{n}"]
@@ -118,12 +133,23 @@ ACTION = {
     "High_Low_Ratio": div("high", "low"), "Price_Range": div("high - low", "(high + low) / 2"), "Intraday_Return": div("close - open", "open"), "Price_Position": div("close - low", "high - low + 0.001"),
 }
 RAW = {"Open": "open", "High": "high", "Low": "low", "Close": "close", "Volume": "CAST(round_even(volume, 0) AS BIGINT)"}
-MEANS = {n: full("close", n, "avg") for n in (5, 20, 500, 1250)}
-SMAS = {
-    "SMA_5_20_Ratio_15m": div(MEANS[5], MEANS[20]), "SMA_20_50_Ratio_1d": div(MEANS[500], MEANS[1250]), "SMA_Cross_5_20_15m": flag(f"({MEANS[5]}) > ({MEANS[20]})"), "SMA_Cross_20_50_1d": flag(f"({MEANS[500]}) > ({MEANS[1250]})"),
-}
-VOLUMES = {"Volume_Ratio_20_15m": div("volume", f"({full('volume', 20, 'avg')}) + 1"), "Volume_Ratio_20_1d": div("volume", f"({full('volume', 500, 'avg')}) + 1")}
-DRAWDOWNS = {f"Max_Drawdown_{n}": f"({div('close', full('close', k, 'max'))} - 1) * 100" for n, k in (("4h", 16), ("20d", 500))}
+
+
+def smas(p: type[Lengths] = Lengths) -> dict[str, str]:
+    a, b, c, d = (full("close", n, "avg") for n in p.sma)
+    return {"SMA_5_20_Ratio_15m": div(a, b), "SMA_20_50_Ratio_1d": div(c, d), "SMA_Cross_5_20_15m": flag(f"({a}) > ({b})"), "SMA_Cross_20_50_1d": flag(f"({c}) > ({d})")}
+
+
+def volumes(p: type[Lengths] = Lengths) -> dict[str, str]:
+    return {f"Volume_Ratio_20_{n}": div("volume", f"({full('volume', k, 'avg')}) + 1") for n, k in zip(("15m", "1d"), p.volume)}
+
+
+def drawdowns(p: type[Lengths] = Lengths) -> dict[str, str]:
+    return {f"Max_Drawdown_{n}": f"({div('close', full('close', k, 'max'))} - 1) * 100" for n, k in zip(("4h", "20d"), p.drawdown)}
+
+
+MEANS = {n: full("close", n, "avg") for n in (5, 20)}
+SMAS, VOLUMES, DRAWDOWNS = smas(), volumes(), drawdowns()
 OBV_STEP = f"coalesce(sign(close - {lag('close')}) * volume, volume)"
 RSI_EVENTS = {"RSI_Change": f"RSI_15m - {lag('RSI_15m')}", "RSI_Overbought": flag("RSI_15m > 70"), "RSI_Oversold": flag("RSI_15m < 30")}
 _m, _s = "MACD_15m", "MACD_Signal_15m"
@@ -160,11 +186,18 @@ ORACLES["obv"] = f"{DAILY}, steps AS (SELECT ticker, ts, {OBV_STEP} AS step FROM
 ORACLES["trailing_drawdown"] = f"{DAILY} {pick(rounded(DRAWDOWNS))} FROM bars"
 ORACLES["rolling_sharpe"] = f"{DAILY}, rets AS (SELECT ticker, ts, {change('close', 1)} AS ret FROM bars) {pick(rounded({'Sharpe_Approx_4h': sharpe('ret', 16, 384.0)}))} FROM rets"
 ALL = RAW | LAGS | ACTION | SMAS | VOLUMES | DRAWDOWNS
-ORACLES["features_all"] = (
-    f"{recurrent(DAILY, 'ema', 'rsi', 'macd')}, plain AS ({pick(ALL)}, {OBV_STEP} AS step FROM bars), joined AS (SELECT p.*, f.* EXCLUDE (ticker, ts, rn) FROM plain p JOIN feats f ON p.ticker = f.ticker AND p.ts = f.ts) "
-    + pick(rounded({n: n for n in [*ALL, *RSIS, *EMAS, *MACD_COLUMNS]} | RSI_EVENTS | MACD_EVENTS | {"OBV": f"sum(step) OVER ({W})", "Sharpe_Approx_4h": sharpe("Price_Change_15m", 16, 384.0)}, FLAGS))
-    + " FROM joined"
-)
+EVENTS = RSI_EVENTS | MACD_EVENTS | {"OBV": f"sum(step) OVER ({W})", "Sharpe_Approx_4h": sharpe("Price_Change_15m", 16, 384.0)}
+
+
+def featured(p: type[Lengths] = Lengths) -> tuple[str, dict[str, str]]:
+    """CTEs up to ``joined``, and the columns of all 46 features on it."""
+    plain = RAW | LAGS | ACTION | smas(p) | volumes(p) | drawdowns(p)
+    sql = f"{recurrent(DAILY, 'ema', 'rsi', 'macd', p=p)}, plain AS ({pick(plain)}, {OBV_STEP} AS step FROM bars), joined AS (SELECT p.*, f.* EXCLUDE (ticker, ts, rn) FROM plain p JOIN feats f ON p.ticker = f.ticker AND p.ts = f.ts) "
+    return sql, {n: n for n in [*plain, *RSIS, *EMAS, *MACD_COLUMNS]} | EVENTS
+
+
+_sql, _columns = featured()
+ORACLES["features_all"] = _sql + pick(rounded(_columns, FLAGS)) + " FROM joined"
 
 # the optional preset
 _top = {k: full("close", k, "max") for k in (16, 500)}
@@ -247,6 +280,43 @@ ORACLES["prepared"] = (
     + LABELLED[len(COMPLETE) :]
     + f" SELECT ticker, ts, split, label, {r(scaled('f1'))} AS f1, {r(scaled('f4'))} AS f4 FROM lab"
 )
+_sql, _columns = featured(Short)
+_complete = " AND ".join(f"{n} IS NOT NULL" for n in (*_columns, "target"))
+_train = ", ".join(f"quantile_cont({n}, {q}) AS {n}_{k}" for n in _columns for k, q in (("low", 0.25), ("mid", 0.5), ("high", 0.75)))
+_scaled = {n: f"({n} - {n}_mid) / CASE WHEN {n}_high - {n}_low = 0 THEN 1 ELSE {n}_high - {n}_low END" for n in _columns}
+FEATURED = (
+    f"{_sql}, feat AS ({pick(_columns)} FROM joined), aimed AS (SELECT *, {div(f'lead(Close, 4) OVER ({W})', 'Close')} - 1 AS target FROM feat), complete AS MATERIALIZED (SELECT * FROM aimed WHERE {_complete})"
+    + LABELLED[len(COMPLETE) :]
+    + f", train AS MATERIALIZED (SELECT {_train} FROM parts WHERE split = 'train'), ready AS MATERIALIZED ({pick(_scaled, 'ticker, ts, split, label')} FROM lab, train)"
+)
+ORACLES["prepared_features"] = f"{FEATURED} {pick({n: r(n, 4) for n in _columns}, 'ticker, ts, split, label')} FROM ready"
+
+
+def probabilities(logits: tuple[str, str, str], source: str, name: str) -> str:
+    """Classes and probabilities of a model's logits, worked out from ``source`` (ticker, ts, label)."""
+    x = [f"exp({z})" for z in logits]
+    total = f"({' + '.join(x)})"
+    pred = f"CASE WHEN {logits[0]} >= {logits[1]} AND {logits[0]} >= {logits[2]} THEN 0 WHEN {logits[1]} >= {logits[2]} THEN 1 ELSE 2 END"
+    return f"SELECT '{name}' AS model, ticker, ts, label AS actual, {pred} AS pred, " + ", ".join(f"{r(f'{e} / {total}')} AS {n}" for e, n in zip(x, ("p_down", "p_neutral", "p_up"))) + f" FROM {source}"
+
+
+def weighted(names: list[str], weights: tuple[tuple[float, ...], ...], k: int) -> str:
+    return " + ".join(f"{n} * {row[k]!r}::DOUBLE" for n, row in zip(names, weights))
+
+
+_three = {c: scaled(c) for c in ("f1", "f4", "f_sma")}
+_logits = tuple(f"({weighted([*_three], fx.DENSE, k)} + {b!r}::DOUBLE)" for k, b in enumerate(fx.BIAS))
+ORACLES["linear_scores"] = f"{LABELLED}, three AS ({pick(_three, 'ticker, ts, label')} FROM lab WHERE split = 'test') {probabilities(_logits, 'three', 'linear')}"
+# the recurrent net, place by place of the sequence that ends at a row
+_hidden = range(len(fx.OWN))
+_inputs = ", ".join(f"{weighted(NAMES, fx.INNER, j)} AS i{j}" for j in _hidden)
+_places = ", ".join(f"lag(i{j}, {15 - t}) OVER ({W}) AS i{j}_{t}" for j in _hidden for t in range(16))
+_steps = "".join(f", s{t} AS (SELECT *, " + ", ".join(f"tanh(i{j}_{t}" + (f" + {weighted([f'h{i}_{t - 1}' for i in _hidden], fx.OWN, j)}" if t else "") + f") AS h{j}_{t}" for j in _hidden) + f" FROM {f's{t - 1}' if t else 'placed16'})" for t in range(16))
+_logits = tuple(f"({weighted([f'h{j}_15' for j in _hidden], fx.HEAD, k)} + {b!r}::DOUBLE)" for k, b in enumerate(fx.BIAS))
+ORACLES["network_scores"] = (
+    f"{FEATURED}, inputs AS (SELECT ticker, ts, label, {_inputs} FROM ready), windows16 AS (SELECT *, {_places}, row_number() OVER ({W}) AS k FROM inputs), placed16 AS (SELECT * FROM windows16 WHERE k >= 16){_steps} "
+    + probabilities(_logits, "s15", "network")
+)
 
 # evaluation
 SCORED = f"WITH {fx.SCORES}"
@@ -379,13 +449,13 @@ ORACLES["greeks_rows"] = (
 # streams: what a batch over all rows gives
 ORACLES["stream_bars"] = f"{Q15} SELECT {BAR_COLUMNS} FROM bars WHERE ts + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE"
 ORACLES["stream_latest_quote"] = f"SELECT event_type AS symbol, ts, {r('value')} AS last, {r('value - 0.01')} AS bid, {r('value + 0.01')} AS ask FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1"
-ORACLES["stream_ema"] = f"WITH RECURSIVE {fx.TICKS}, num AS (SELECT ticker, ts, seq, price AS close, row_number() OVER (PARTITION BY ticker ORDER BY ts, seq) - 1 AS rn, avg(price) OVER (PARTITION BY ticker ORDER BY ts, seq) AS mean_close FROM ticks), {recursion({'ema': ema_state(9)}, 'num')} SELECT n.ticker, n.ts, n.seq, {r('rec.ema')} AS ema FROM num n JOIN rec ON n.ticker = rec.ticker AND n.rn = rec.rn"
+ORACLES["stream_ema"] = f"WITH RECURSIVE {fx.TICKS}, num AS (SELECT ticker, ts, seq, price AS close, row_number() OVER (PARTITION BY ticker ORDER BY ts, seq) - 1 AS rn, avg(price) OVER (PARTITION BY ticker ORDER BY ts, seq) AS mean_close FROM ticks), {recursion({'ema': ema_state(9)}, 'num')} SELECT n.ticker, n.ts, n.seq, {r('rec.ema')} AS ema FROM num n JOIN rec ON n.ticker = rec.ticker AND n.rn = rec.rn WHERE date_trunc('hour', n.ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE"
 ORACLES["stream_pair"] = f"SELECT s.event_type AS symbol, s.ts AS s_ts, {r('s.value')} AS s_last, o.ts AS o_ts, {r('o.value')} AS o_last FROM events s JOIN events o ON s.event_type = o.event_type AND s.user_id % 2 = 0 AND o.user_id % 2 = 1 AND o.ts >= s.ts AND o.ts <= s.ts + INTERVAL 5 MINUTE"
 _num = "num AS (SELECT *, avg(close) OVER (PARTITION BY ticker ORDER BY rn) AS mean_close, sum(gain) OVER (PARTITION BY ticker ORDER BY rn) AS sum_gain, sum(loss) OVER (PARTITION BY ticker ORDER BY rn) AS sum_loss, sum(coalesce(sign(d) * size, size)) OVER (PARTITION BY ticker ORDER BY rn) AS obv FROM moves)"
 _moves = "placed AS (SELECT ticker, ts, seq, size, price AS close, row_number() OVER s - 1 AS rn, price - lag(price) OVER s AS d FROM ticks WINDOW s AS (PARTITION BY ticker ORDER BY ts, seq)), moves AS (SELECT *, greatest(coalesce(d, 0), 0) AS gain, greatest(coalesce(-d, 0), 0) AS loss FROM placed)"
 ORACLES["stream_indicators"] = (
     f"WITH RECURSIVE {fx.TICKS}, {_moves}, {_num}, {recursion({'ema': ema_state(9), 'g': wilder_state(14, 'gain'), 'l': wilder_state(14, 'loss')}, 'num')} "
-    f"SELECT n.ticker, n.ts, n.seq, {r('rec.ema')} AS ema, {r('CASE WHEN g + l = 0 THEN 0 ELSE 100 * g / (g + l) END')} AS rsi, {r('coalesce(obv, 0)')} AS obv FROM num n JOIN rec ON n.ticker = rec.ticker AND n.rn = rec.rn"
+    f"SELECT n.ticker, n.ts, n.seq, {r('rec.ema')} AS ema, {r('CASE WHEN g + l = 0 THEN 0 ELSE 100 * g / (g + l) END')} AS rsi, {r('coalesce(obv, 0)')} AS obv FROM num n JOIN rec ON n.ticker = rec.ticker AND n.rn = rec.rn WHERE date_trunc('hour', n.ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE"
 )
 _side = "SELECT event_type, ts, value FROM events WHERE user_id % 2 = {} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1"
 _quote = lambda k, n: f"{k}.ts AS {n}_ts, {r(f'{k}.value')} AS {n}_last, {r(f'{k}.value - 0.01')} AS {n}_bid, {r(f'{k}.value + 0.01')} AS {n}_ask"

@@ -6,11 +6,13 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.windows import change, clip, full, lagged, upto
+from ..functions.ranges import in_ranges, own_rows
+from ..functions.windows import change, clip, full, lagged
 from ..operators import dataset as ds
 from ..operators import evaluate as ev
 from ..operators import features as ft
@@ -92,7 +94,7 @@ def pool_profile(spark, d):
 
 @query
 def lag_change(spark, d):
-    return _with(fx.bars_daily(spark, d), ft.lags() | {"Close_Diff": F.col("close") - lagged("close")})
+    return ft.framed(fx.bars_daily(spark, d), [lambda w: ft.lags(w=w) | {"Close_Diff": F.col("close") - lagged("close", 1, w)}], ft.FULL.day)
 
 
 @query
@@ -102,7 +104,7 @@ def price_action(spark, d):
 
 @query
 def sma_ratios(spark, d):
-    return _with(fx.bars_daily(spark, d), ft.sma_columns())
+    return ft.framed(fx.bars_daily(spark, d), [lambda w: ft.sma_columns(w=w)], ft.longest())
 
 
 @query
@@ -119,7 +121,7 @@ def rsi(spark, d):
 
 @query
 def rsi_flags(spark, d):
-    return _with(ft.recurrences(fx.bars15(spark, d), ft.FULL, ("rsi",)), ft.rsi_events())
+    return ft.recurrences(fx.bars15(spark, d), ft.FULL, ("rsi",)).select("ticker", "ts", "RSI_Change", "RSI_Overbought", "RSI_Oversold")
 
 
 @query
@@ -130,29 +132,28 @@ def macd(spark, d):
 
 @query
 def macd_cross(spark, d):
-    return _with(ft.recurrences(fx.bars15(spark, d), ft.FULL, ("macd",)), ft.macd_events())
+    return ft.recurrences(fx.bars15(spark, d), ft.FULL, ("macd",)).select("ticker", "ts", "MACD_Change_15m", "MACD_Bull_Cross_15m", "MACD_Bear_Cross_15m")
 
 
 @query
 def volume_ratio(spark, d):
-    x = ft.volume_columns()
-    return _with(fx.bars_daily(spark, d), {n: x[n] for n in x if n[0] != "_"})
+    return ft.framed(fx.bars_daily(spark, d), [lambda w: ft.volume_columns(w=w)], max(ft.FULL.volume) - 1)
 
 
 @query
 def obv(spark, d):
-    x = fx.bars_daily(spark, d).withColumn("_s", ft.volume_columns()["_obv"])
-    return _with(x, {"OBV": F.sum("_s").over(upto())})
+    return ft.recurrences(fx.bars_daily(spark, d), parts=("obv",)).select("ticker", "ts", "OBV")
 
 
 @query
 def trailing_drawdown(spark, d):
-    return ft.with_drawdown(fx.bars_daily(spark, d)).select("ticker", "ts", "Max_Drawdown_4h", "Max_Drawdown_20d")
+    x = in_ranges(fx.bars_daily(spark, d), before=max(ft.FULL.drawdown) - 1)
+    return own_rows(ft.with_drawdown(x)).select("ticker", "ts", "Max_Drawdown_4h", "Max_Drawdown_20d")
 
 
 @query
 def rolling_sharpe(spark, d):
-    return _with(fx.bars_daily(spark, d).withColumn("_r", change("close", 1)), {"Sharpe_Approx_4h": ft.rolling_sharpe("_r", 16, 384.0)})
+    return ft.framed(fx.bars_daily(spark, d), [lambda w: {"_r": change("close", 1, w)}, lambda w: {"Sharpe_Approx_4h": ft.rolling_sharpe("_r", 16, 384.0, w)}], 16)
 
 
 @query
@@ -251,6 +252,10 @@ def prepared(spark, d):
 @query
 def prepared_features(spark, d):
     """All 46 features of the short preset, complete rows only, scaled and labelled."""
+    return fx.rounded(_prepared_features(spark, d), 4)
+
+
+def _prepared_features(spark, d) -> DataFrame:
     f = ft.build_features(fx.bars_daily(spark, d), ft.SHORT)
     return ds.prepare(f, list(ft.NAMES)).select("ticker", "ts", "split", "label", *ft.NAMES)
 
@@ -515,6 +520,22 @@ def _trained(spark, d, kind):
     return ev.predicted(md.score(md.train_classifier(train, columns, kind, (8,), 20), x.where("split = 'test'"), kind)).drop("logits")
 
 
+@query
+def linear_scores(spark, d):
+    """A user's own linear model, called with batches of rows."""
+    columns = ["f1", "f4", "f_sma"]
+    x = ds.robust_scaled(ds.labelled(_split(spark, d)), columns).where("split = 'test'")
+    return ev.predicted(md.score_with(partial(md.dense, fx.DENSE, fx.BIAS), x, columns, "linear")).drop("logits")
+
+
+@query
+def network_scores(spark, d):
+    """A user's own recurrent net, called with batches of sequences of all 46 features."""
+    x = ds.sequences(_prepared_features(spark, d), list(ft.NAMES))
+    net = partial(md.elman, fx.INNER, fx.OWN, fx.HEAD, fx.BIAS)
+    return ev.predicted(md.score_with(net, x, list(ft.NAMES), "network", window="window")).drop("logits")
+
+
 @query
 def lr_scores(spark, d):
     return _trained(spark, d, "logistic")
@@ -593,11 +614,10 @@ def stream_signals(spark, d):
 
     def work(batch: DataFrame, number: int) -> None:
         p = batch.groupBy(F.col("event_type").alias("ticker"), F.concat(F.lit("m"), F.col("user_id") % 3).alias("model")).agg((F.avg("value") / 1000).alias("predicted_return"))
-        found = sg.signals(p).drop("model_predictions", "timestamp")
-        found.write.mode("append").json(f"{folder}/signals")
+        sm.write_once(sg.signals(p).drop("model_predictions", "timestamp"), number, f"{folder}/signals")
 
     sm.run_incrementally(_stream(spark, d, lambda e: e), work, f"{folder}/state")
-    return src.read_json(spark, f"{folder}/signals", "action string, confidence double, predicted_return double, rank int, signal_strength string, ticker string")
+    return sm.read_complete(spark, f"{folder}/signals", "action string, confidence double, predicted_return double, rank int, signal_strength string, ticker string")
 
 
 # sinks: written and read again

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -50,20 +51,62 @@ def latest_pairs(quotes: DataFrame) -> DataFrame:
     return found.select("symbol", *[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("stock", "option") for c in ("ts", "last", "bid", "ask")])
 
 
+#: Rows of a key are put in order by stretches of so many seconds; one stretch of a key stands in memory at a time.
+STRETCH = 3_600
+
+
 class IndicatorProcessor(StatefulProcessor):
-    """For each key an exponential mean, a relative strength index and on-balance volume. The state holds the number of
-    values, what the seeds need and the last values; a batch is folded by pandas' own exponential means."""
+    """For each key an exponential mean, a relative strength index and on-balance volume, in order of event time.
+
+    Rows wait in the state, by stretches of time, until the watermark has passed the end of their stretch; then no more of
+    them can come, and the stretches are folded one after another in order of (ts, seq). So neither the order of rows in a
+    micro-batch nor that of micro-batches matters. A timer at the end of the earliest stretch sees to keys without new rows.
+    The state further holds the number of values, what the seeds need and the last values."""
 
-    def __init__(self, ema: int, rsi: int):
-        self.ema, self.rsi = ema, rsi
+    def __init__(self, ema: int, rsi: int, stretch: int = STRETCH):
+        self.ema, self.rsi, self.stretch = ema, rsi, stretch * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("indicators", "n long, price double, total double, mean double, gain double, loss double, obv double")
+        self.waiting = handle.getMapState("waiting", "stretch long", "at array<long>, seq array<long>, price array<double>, size array<double>")
+        self.closed = handle.getValueState("closed", "until long")  # stretches that end here or before are done
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        until = self.closed.get()[0] if self.closed.exists() else None
+        for chunk in rows:
+            for k, part in chunk.groupby(chunk["at"] // self.stretch):
+                if until is not None and (k + 1) * self.stretch <= until:
+                    continue  # late
+                new = [part[c].tolist() for c in ("at", "seq", "price", "size")]
+                if self.waiting.containsKey((int(k),)):
+                    new = [[*old, *more] for old, more in zip(self.waiting.getValue((int(k),)), new, strict=True)]
+                self.waiting.updateValue((int(k),), tuple(new))
+        yield from self._close(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._close(key, timerValues)
+
+    def _close(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        """Fold the stretches that the watermark has passed, and wait for the next."""
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        stretches = sorted(int(k[0]) for k in self.waiting.keys())
+        done = [k for k in stretches if (k + 1) * self.stretch <= mark]
+        for k in done:
+            at, seq, price, size = (np.array(x, dtype=t) for x, t in zip(self.waiting.getValue((k,)), ("int64", "int64", "float64", "float64"), strict=True))
+            order = np.lexsort((seq, at))
+            yield self._fold(key, at[order], seq[order], price[order], size[order])
+            self.waiting.removeKey((k,))
+        if done:
+            self.closed.update(((done[-1] + 1) * self.stretch,))
+        set_ = set(self.handle.listTimers())
+        if len(done) < len(stretches):
+            due = -(-(stretches[len(done)] + 1) * self.stretch // 1000)
+            if due not in set_ and due > mark // 1000:
+                self.handle.registerTimer(due)
+
+    def _fold(self, key, at_us: np.ndarray, seq: np.ndarray, x: np.ndarray, size: np.ndarray) -> pd.DataFrame:
         n, price, total, mean, gain, loss, obv = self.state.get() if self.state.exists() else (0, None, 0.0, 0.0, 0.0, 0.0, 0.0)
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        x, size = batch["price"].to_numpy(dtype=float), batch["size"].to_numpy(dtype=float)
         step = np.diff(x, prepend=x[0] if price is None else price)
         flow = np.nan_to_num(np.sign(step) * size)
         if price is None:
@@ -80,7 +123,7 @@ class IndicatorProcessor(StatefulProcessor):
         n += len(x)
         self.state.update((n, float(x[-1]), float(total + x.sum()) if n <= self.ema else 0.0, float(means[-1]), float(gains[-1]), float(losses[-1]), float(obvs[-1])))
         none = lambda a: pd.Series(a, dtype="float64").astype(object).where(~np.isnan(a), None)
-        yield pd.DataFrame({"ticker": key[0], "ts": batch["ts"].to_numpy(), "seq": batch["seq"].to_numpy(), "ema": none(np.where(at >= self.ema - 1, means, np.nan)), "rsi": none(rsi), "obv": none(obvs)})
+        return pd.DataFrame({"ticker": key[0], "at": at_us, "seq": seq, "ema": none(np.where(at >= self.ema - 1, means, np.nan)), "rsi": none(rsi), "obv": none(obvs)})
 
     def close(self) -> None:
         pass
@@ -103,12 +146,15 @@ def _seeded(x: np.ndarray, at: np.ndarray, last: float, total: float, first: int
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def stream_indicators(ticks: DataFrame, ema: int = 9, rsi: int = 14, delay: str = "10 minutes") -> DataFrame:
-    """ticker, ts, seq and the running EMA, RSI and OBV of each ticker's prices and sizes, updated batch by batch; rows of a
-    batch are put in order first. Rows without a price are left out; a missing size counts as none. How much of a ticker
-    stands in memory is bounded by the files of a micro-batch (:func:`read_stream`). Needs STATE_STORE."""
-    rows = timed(ticks, delay).select("ticker", "ts", "seq", "price", F.col("size").cast("double").alias("size")).where("price IS NOT NULL AND NOT isnan(price)")
-    return rows.groupBy("ticker").transformWithStateInPandas(IndicatorProcessor(ema, rsi), "ticker string, ts timestamp, seq long, ema double, rsi double, obv double", "Append", "None")
+def stream_indicators(ticks: DataFrame, ema: int = 9, rsi: int = 14, delay: str = "10 minutes", stretch: int = STRETCH) -> DataFrame:
+    """ticker, ts, seq and the running EMA, RSI and OBV of each ticker's prices and sizes in order of (ts, seq), whatever the
+    order in which rows come. A row comes out once the watermark (``delay`` behind the latest time seen) has passed the end
+    of its ``stretch`` (seconds); rows of a stretch that is done are late and dropped. Rows without a time or a price are left
+    out; a missing size counts as none. Needs STATE_STORE."""
+    rows = timed(ticks, delay).select("ticker", "ts", F.unix_micros("ts").alias("at"), "seq", "price", F.col("size").cast("double").alias("size"))
+    rows = rows.where("ts IS NOT NULL AND price IS NOT NULL AND NOT isnan(price)")
+    found = rows.groupBy("ticker").transformWithStateInPandas(IndicatorProcessor(ema, rsi, stretch), "ticker string, at long, seq long, ema double, rsi double, obv double", "Append", "EventTime")
+    return found.select("ticker", F.timestamp_micros("at").alias("ts"), "seq", "ema", "rsi", "obv")
 
 
 def stream_ema(ticks: DataFrame, n: int = 9, delay: str = "10 minutes") -> DataFrame:
@@ -142,5 +188,27 @@ def drained(stream: DataFrame, name: str, folder: str, mode: str = "append", set
 
 
 def run_incrementally(stream: DataFrame, work: Callable[[DataFrame, int], None], folder: str) -> None:
-    """Gives each new micro-batch to ``work`` (say, one that writes signals) and ends when all is done."""
+    """Gives each new micro-batch to ``work`` (say, one that writes signals) and ends when all is done. After a failure the
+    last micro-batch may be given again under the same number: see :func:`write_once`."""
     stream.writeStream.foreachBatch(work).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+
+
+def write_once(df: DataFrame, number: int, path: str) -> None:
+    """The rows of micro-batch ``number`` as JSON lines in a folder of its own, and then a marker that it is complete. A batch
+    that comes again after a failure replaces what it has left, so each batch is there exactly once."""
+    df.write.mode("overwrite").json(f"{path}/rows/batch={number}")
+    df.sparkSession.range(1).select(F.lit(True).alias("complete")).coalesce(1).write.mode("overwrite").json(f"{path}/done/batch={number}")
+
+
+def read_complete(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all complete micro-batches of :func:`write_once`; those of a batch without its marker stay out."""
+
+    def found(part: str, columns: str) -> DataFrame:
+        try:
+            return spark.read.schema(f"{columns}, batch long").json(f"{path}/{part}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], f"{columns}, batch long")
+
+    return found("rows", schema).join(found("done", "complete boolean").where("complete"), "batch", "left_semi").drop("batch")

@@ -3,13 +3,14 @@
 import datetime
 import math
 import random
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barsmith.operators import dataset, features, models
+from barsmith.operators import dataset, evaluate, features, models
 from barsmith.plans import fixtures, queries
 from barsmith.sources import bars as src
 from barsmith.streaming import streams
@@ -25,6 +26,8 @@ def test_exact_quantiles(spark, most):
     want = df.agg(*[F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in "abcde"]).first()
     assert got == {c: want[c] or [None] * 6 for c in "abcde"}
     assert dataset.exact_quantiles(df.limit(0), ["a"], shares) == {"a": [None] * 6}
+    odd = spark.createDataFrame([(float(i),) for i in range(1, 101)] + [(math.nan,), (math.inf,), (-math.inf,), (None,)], "a double")
+    assert dataset.exact_quantiles(odd, ["a"], (0.25, 0.5, 0.75), most=most, parts=7) == {"a": [25.75, 50.5, 75.25]}
 
 
 def test_balanced_batches_draw_rows_of_the_class(spark):
@@ -66,28 +69,84 @@ def test_prepared_features_equal_pandas(spark, data):
     want = (p[names].astype(float) - train[names].astype(float).median()) / iqr.replace(0, 1)
     got = queries.QUERIES["prepared_features"](spark, data).toPandas().sort_values(["ticker", "ts"])
     assert len(got) == len(p) > 500 and (got["label"].to_numpy() == p["label"].to_numpy()).all() and (got["split"].to_numpy() == p["split"].to_numpy()).all()
-    np.testing.assert_allclose(got[names].to_numpy(dtype=float), want.to_numpy(), rtol=1e-4, atol=2e-6)
+    np.testing.assert_allclose(got[names].to_numpy(dtype=float), want.to_numpy(), rtol=1e-4, atol=6e-5)
 
 
 def _ticks(spark, rows, path):
     spark.createDataFrame(rows, "ticker string, ts timestamp_ntz, seq long, price double, size double").coalesce(1).write.mode("append").parquet(path)
 
 
-def test_indicators_go_on_over_batches(spark, tmp_path):
+def _indicators(spark, folder, batches, **more):
+    """The result after all micro-batches; each is a run that goes on from the state of the one before."""
+    for rows in batches:
+        _ticks(spark, rows, f"{folder}/in")
+        like = spark.read.parquet(f"{folder}/in")
+        out = streams.drained(streams.stream_indicators(streams.read_stream(spark, f"{folder}/in", like), **more), "x", f"{folder}/out", settings=(streams.STATE_STORE,))
+    return sorted(tuple(x) for x in out.select("seq", F.round("ema", 8), F.round("rsi", 8), F.round("obv", 8)).collect())
+
+
+def test_indicators_in_any_order_of_rows_and_batches(spark, tmp_path):
     r, start = random.Random(1), datetime.datetime(2024, 1, 1)
     rows = [("ab"[i % 2], start + datetime.timedelta(minutes=i), i, None if i == 33 else 50 + r.gauss(0, 2), None if i % 10 == 0 else float(r.randint(1, 9))) for i in range(200)]
-    found = []
-    for name, cuts in (("one", [0, 200]), ("many", [0, 3, 5, 21, 200])):
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            _ticks(spark, rows[a:b], f"{tmp_path}/{name}")
-            # each run takes what is new and goes on from the state of the one before
-            like = spark.read.parquet(f"{tmp_path}/{name}")
-            out = streams.drained(streams.stream_indicators(streams.read_stream(spark, f"{tmp_path}/{name}", like)), "x", f"{tmp_path}/{name}-out", settings=(streams.STATE_STORE,))
-        found.append(sorted(tuple(x) for x in out.select("seq", F.round("ema", 8), F.round("rsi", 8), F.round("obv", 8)).collect()))
-    assert len(found[0]) == 199 and [str(x) for x in found[0]] == [str(x) for x in found[1]]
+    end = [("z", start + datetime.timedelta(days=9), 999, 1.0, 1.0)]  # moves the watermark on
+    mixed = r.sample(rows, len(rows))
+    near = sorted(rows, key=lambda x: x[2] + r.uniform(0, 25))  # up to 25 minutes out of order
+    one = _indicators(spark, tmp_path / "one", [rows, end], delay="1 day", stretch=600)
+    many = _indicators(spark, tmp_path / "many", [mixed[:3], mixed[3:120], mixed[120:], end], delay="1 day", stretch=600)
+    short = _indicators(spark, tmp_path / "short", [near[:50], near[50:60], near[60:150], near[150:], end], delay="30 minutes", stretch=300)
+    assert len(one) == 199 and str(one) == str(many) == str(short)
+    # against the definition, in plain order
+    by = {t: [x for x in rows if x[0] == t and x[3] is not None] for t in "ab"}
+    got = {s: (e, o) for s, e, _, o in one}
+    for series in by.values():
+        mean, flow, last = None, 0.0, None
+        for k, (_, _, seq, price, size) in enumerate(series):
+            mean = sum(x[3] for x in series[:9]) / 9 if k == 8 else 0.8 * mean + 0.2 * price if k > 8 else None
+            flow += (size or 0) * (1 if last is None or price > last else -1 if price < last else 0)
+            last = price
+            assert (got[seq][0] is None) == (mean is None) and (mean is None or math.isclose(got[seq][0], mean, abs_tol=1e-6)) and math.isclose(got[seq][1], flow, abs_tol=1e-6)
     assert spark.conf.get(streams.STATE_STORE[0]) != streams.STATE_STORE[1]  # the session is as it was
 
 
+def test_late_rows_change_no_indicator(spark, tmp_path):
+    at = lambda m: datetime.datetime(2024, 1, 1, 10) + datetime.timedelta(minutes=m)
+    batches = [[("a", at(k), k, 10.0 + k, 1.0) for k in (0, 1, 2, 3, 4, 6)], [("a", at(5), 5, 15.0, 1.0), ("a", at(60), 60, 17.0, 1.0)], [("a", at(1), 99, 500.0, 1.0)], [("a", at(600), 600, 1.0, 1.0)]]
+    got = _indicators(spark, tmp_path, batches, ema=3, delay="5 minutes", stretch=60)
+    assert [(x[0], x[1], x[3]) for x in got] == [(0, None, 1.0), (1, None, 2.0), (2, 11.0, 3.0), (3, 12.0, 4.0), (4, 13.0, 5.0), (5, 14.0, 6.0), (6, 15.0, 7.0), (60, 16.0, 8.0)]
+
+
+def test_a_batch_that_comes_again_is_written_once(spark, tmp_path):
+    df = lambda *xs: spark.createDataFrame([(x,) for x in xs], "x long")
+    path = str(tmp_path / "signals")
+    read = lambda: sorted(r["x"] for r in streams.read_complete(spark, path, "x long").collect())
+    assert read() == []
+    streams.write_once(df(1, 2), 0, path)
+    df(7, 8, 9).write.mode("overwrite").json(f"{path}/rows/batch=1")  # killed before the marker
+    assert read() == [1, 2]
+    streams.write_once(df(3), 1, path)
+    streams.write_once(df(3), 1, path)  # killed behind the marker, before the stream took note
+    assert read() == [1, 2, 3]
+
+
+def test_a_run_that_fails_after_the_write_repeats_nothing(spark, tmp_path):
+    path, folder = str(tmp_path / "signals"), str(tmp_path / "state")
+    _ticks(spark, [("a", datetime.datetime(2024, 1, 1), k, 1.0, 1.0) for k in range(5)], f"{tmp_path}/in")
+    like = spark.read.parquet(f"{tmp_path}/in")
+    failing = [True]
+
+    def work(batch, number):
+        streams.write_once(batch.select("seq"), number, path)
+        if failing:
+            failing.clear()
+            raise RuntimeError("killed after the write")
+
+    run = lambda: streams.run_incrementally(streams.read_stream(spark, f"{tmp_path}/in", like), work, folder)
+    with pytest.raises(Exception, match="killed"):
+        run()
+    run()
+    assert sorted(r["seq"] for r in streams.read_complete(spark, path, "seq long").collect()) == list(range(5))
+
+
 def test_late_ticks_are_dropped(spark, tmp_path):
     at = lambda h, m: datetime.datetime(2024, 1, 1, h, m)
     batches = [[("a", at(10, 0), 1, 5.0, 1.0), ("a", at(11, 0), 2, 6.0, 1.0)], [("a", at(11, 30), 3, 7.0, 1.0)], [("a", at(9, 0), 4, 1.0, 1.0), ("a", at(11, 31), 5, 9.0, 1.0)], [("a", at(14, 0), 6, 8.0, 1.0)]]
@@ -134,3 +193,30 @@ def test_a_model_learns_what_can_be_learned(spark):
 def test_resampled_counts_are_near_their_mean(spark, data):
     n = {r["label"]: r["n"] for r in queries.QUERIES["resample_counts"](spark, data).collect()}
     assert set(n) == {0, 1, 2} and all(abs(x - 3000) < 6 * math.sqrt(3000) for x in n.values())
+
+
+def test_a_numpy_model_gives_the_probabilities_of_spark_ml(spark):
+    r = random.Random(3)
+    rows = [("t", i, i % 3, i % 3 + r.gauss(0, 1), r.gauss(0, 1)) for i in range(300)]
+    df = spark.createDataFrame(rows, "ticker string, ts long, label int, x double, y double")
+    fitted = models.train_classifier(df, ["x", "y"], "logistic")
+    ml = fitted.stages[-1]
+    weights, bias = (tuple(map(tuple, ml.coefficientMatrix.toArray().T.tolist())), tuple(ml.interceptVector.toArray().tolist()))
+    p = lambda scored: [tuple(x) for x in evaluate.predicted(scored).orderBy("ts").select("ts", "actual", "pred", "p_down", "p_up").collect()]
+    own = p(models.score_with(partial(models.dense, weights, bias), df, ["x", "y"], "own", rows=7))
+    np.testing.assert_allclose(own, p(models.score(fitted, df, "ml")), atol=1e-9)
+
+
+def test_a_recurrent_model_gets_sequences(spark):
+    rows = [("t", i, 1, float(i), None if i == 30 else i / 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "ticker string, ts long, label int, x double, y double")
+    windows = dataset.sequences(df, ["x", "y"], 4)
+    shape = partial(_sums, 2.0)
+    got = {r["ts"]: r["logits"] for r in models.score_with(shape, windows, ["x", "y"], "n", window="window").collect()}
+    assert got[10] == [4.0, 2.0, 2 * (7 + 8 + 9 + 10), 2 * (7 + 8 + 9 + 10) / 2] and math.isnan(got[31][3]) and len(got) == 37
+    assert models.score_with(shape, windows.limit(0).drop("label"), ["x", "y"], "n", window="window").count() == 0
+
+
+def _sums(weight):
+    """A model that tells what it has got: places, columns and weighted sums."""
+    return lambda x: np.concatenate([np.full((len(x), 1), x.shape[1]), np.full((len(x), 1), x.shape[2]), weight * x.sum(axis=1)], axis=1)
