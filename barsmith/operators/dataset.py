@@ -155,6 +155,31 @@ def balanced_resample(df: DataFrame, n: int, keys: tuple[str, ...] = ("ticker",
     return drawn.withColumn("_t", times).where("_t > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_t")))).select(*df.columns)
 
 
+def _numbered(df: DataFrame, keys: tuple[str, ...], ranges: int) -> DataFrame:
+    """_row (all columns), _pool (the label), _no and _of_any: numbers from 0 of the rows of a label, and of all rows. Rows
+    are numbered within hash ranges of their class, and ranges by the counts of those before: no task holds a class."""
+    ranged = df.select(F.struct(*df.columns).alias("_row"), F.col("label").cast("int").alias("_pool"), F.pmod(F.xxhash64(*keys), F.lit(ranges)).alias("_range"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    held = ranged.groupBy("_pool", "_range").agg(F.count("*").alias("_held"))
+    before = lambda w: F.coalesce(F.sum("_held").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = held.select("_pool", "_range", before(W.partitionBy("_pool").orderBy("_range")).alias("_start"), before(W.partitionBy().orderBy("_pool", "_range")).alias("_any"))
+    order = W.partitionBy("_pool", "_range").orderBy(*[f"_k{i}" for i in range(len(keys))])
+    rows = ranged.withColumn("_in", F.row_number().over(order) - 1).join(starts, ["_pool", "_range"])
+    rows = rows.select("_row", "_pool", (F.col("_in") + F.col("_start")).alias("_no"), (F.col("_in") + F.col("_any")).alias("_of_any"))
+    return rows
+
+
+def resample(df: DataFrame, n: int, keys: tuple[str, ...] = ("ticker", "ts"), seed: int = 1, ranges: int = 4096) -> DataFrame:
+    """Exactly ``n`` rows of ``df`` drawn with replacement, all classes that have rows equally likely, and within a class all
+    rows: each draw picks a class and a number in it from a hash of its own number. Without rows there is nothing to draw."""
+    counts = df.groupBy(F.col("label").cast("int").alias("_c")).agg(F.count("*").alias("_n")).where("_c IS NOT NULL")
+    kinds = counts.agg(F.sort_array(F.collect_list(F.struct("_c", "_n"))).alias("_kinds")).where(F.size("_kinds") > 0)  # one row, an entry for each class
+    draws = df.sparkSession.range(n).crossJoin(F.broadcast(kinds))
+    kind = F.get("_kinds", F.pmod(F.xxhash64("id", F.lit(seed)), F.size("_kinds")).cast("int"))
+    draws = draws.select("id", kind.alias("_k")).select("id", F.col("_k._c").alias("_c"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.col("_k._n")).alias("_pick"))
+    rows = _numbered(df, keys, ranges)
+    return draws.join(rows, (F.col("_c") == F.col("_pool")) & (F.col("_pick") == F.col("_no"))).select("_row.*")
+
+
 def balanced_batches(df: DataFrame, batch: int, n_batches: int, classes: int = 3, keys: tuple[str, ...] = ("ticker", "ts"), seed: int = 1, ranges: int = 4096) -> DataFrame:
     """(batch_no, slot, drawn row): batch // classes slots for each class, one more for the first classes while there is
     a rest; each slot draws a row of its class with replacement, or any row where the class is empty."""
@@ -163,14 +188,7 @@ def balanced_batches(df: DataFrame, batch: int, n_batches: int, classes: int = 3
     slots = spark.range(n_batches).select(F.col("id").alias("batch_no"), F.explode(F.array(*[F.lit(c) for c in range(classes)])).alias("wanted"))
     slots = slots.withColumn("slot", F.explode(F.sequence(F.lit(0), F.get(F.array(*[F.lit(max(0, s - 1)) for s in sizes]), F.col("wanted")))))
     slots = slots.where(F.col("slot") < F.get(F.array(*[F.lit(s) for s in sizes]), F.col("wanted")))
-    # rows are numbered within hash ranges of their class, and ranges by the counts of those before: no task holds a class
-    ranged = df.select(F.struct(*df.columns).alias("_row"), F.col("label").cast("int").alias("_pool"), F.pmod(F.xxhash64(*keys), F.lit(ranges)).alias("_range"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    held = ranged.groupBy("_pool", "_range").agg(F.count("*").alias("_held"))
-    before = lambda w: F.coalesce(F.sum("_held").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = held.select("_pool", "_range", before(W.partitionBy("_pool").orderBy("_range")).alias("_start"), before(W.partitionBy().orderBy("_pool", "_range")).alias("_any"))
-    order = W.partitionBy("_pool", "_range").orderBy(*[f"_k{i}" for i in range(len(keys))])
-    rows = ranged.withColumn("_in", F.row_number().over(order) - 1).join(starts, ["_pool", "_range"])
-    rows = rows.select("_row", "_pool", (F.col("_in") + F.col("_start")).alias("_no"), (F.col("_in") + F.col("_any")).alias("_of_any"))
+    rows = _numbered(df, keys, ranges)
     counts = df.groupBy(F.col("label").cast("int").alias("_c")).agg(F.count("*").alias("_n"))
     slots = slots.join(F.broadcast(counts), F.col("wanted") == F.col("_c"), "left")  # a row for each class
     hashed = F.xxhash64("batch_no", "wanted", "slot", F.lit(seed))

@@ -450,6 +450,10 @@ ORACLES["greeks_rows"] = (
 ORACLES["stream_bars"] = f"{Q15} SELECT {BAR_COLUMNS} FROM bars WHERE ts + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE"
 ORACLES["stream_latest_quote"] = f"SELECT event_type AS symbol, ts, {r('value')} AS last, {r('value - 0.01')} AS bid, {r('value + 0.01')} AS ask FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1"
 ORACLES["stream_ema"] = f"WITH RECURSIVE {fx.TICKS}, num AS (SELECT ticker, ts, seq, price AS close, row_number() OVER (PARTITION BY ticker ORDER BY ts, seq) - 1 AS rn, avg(price) OVER (PARTITION BY ticker ORDER BY ts, seq) AS mean_close FROM ticks), {recursion({'ema': ema_state(9)}, 'num')} SELECT n.ticker, n.ts, n.seq, {r('rec.ema')} AS ema FROM num n JOIN rec ON n.ticker = rec.ticker AND n.rn = rec.rn WHERE date_trunc('hour', n.ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE"
+ORACLES["resample_total"] = "SELECT CAST(9000 AS BIGINT) AS n, CAST(3 AS BIGINT) AS n_labels"
+ORACLES["float_features"] = f"{SPLIT} {pick({c: r(f'CAST(CAST({c} AS FLOAT) AS DOUBLE)') for c in ('close', 'f1', 'f4', 'f_sma', 'f_const')})} FROM parts"
+ORACLES["feature_manifest"] = f"{DAILY} SELECT ticker, CAST(count(*) AS BIGINT) AS n_rows, 8 AS n_columns, CAST(0 AS BIGINT) AS n_errors FROM bars GROUP BY ticker"
+ORACLES["landed_months"] = f"{DAILY} SELECT ticker, ts, {r('open')} AS open, {r('high')} AS high, {r('low')} AS low, {r('close')} AS close, {r('CASE WHEN ts >= TIMESTAMP ' + repr('1995-05-20') + ' THEN volume + 1 ELSE volume END')} AS volume FROM bars"
 ORACLES["stream_pair"] = f"SELECT s.event_type AS symbol, s.ts AS s_ts, {r('s.value')} AS s_last, o.ts AS o_ts, {r('o.value')} AS o_last FROM events s JOIN events o ON s.event_type = o.event_type AND s.user_id % 2 = 0 AND o.user_id % 2 = 1 AND o.ts >= s.ts AND o.ts <= s.ts + INTERVAL 5 MINUTE"
 _num = "num AS (SELECT *, avg(close) OVER (PARTITION BY ticker ORDER BY rn) AS mean_close, sum(gain) OVER (PARTITION BY ticker ORDER BY rn) AS sum_gain, sum(loss) OVER (PARTITION BY ticker ORDER BY rn) AS sum_loss, sum(coalesce(sign(d) * size, size)) OVER (PARTITION BY ticker ORDER BY rn) AS obv FROM moves)"
 _moves = "placed AS (SELECT ticker, ts, seq, size, price AS close, row_number() OVER s - 1 AS rn, price - lag(price) OVER s AS d FROM ticks WINDOW s AS (PARTITION BY ticker ORDER BY ts, seq)), moves AS (SELECT *, greatest(coalesce(d, 0), 0) AS gain, greatest(coalesce(-d, 0), 0) AS loss FROM placed)"
@@ -467,6 +471,7 @@ ORACLES["stream_signals"] = f"WITH {_means}, {SIGNALS[SIGNALS.index('sig AS'):]}
 ORACLES["landed_files"] = ORACLES["bars_daily"]
 ORACLES["feature_files"] = f"{DAILY} SELECT ticker, count(*) AS n_rows, TRUE AS found FROM bars GROUP BY ticker"
 ORACLES["signals_json"] = ORACLES["signals"]
+ORACLES["signals_files"] = f"{SIGNALS} SELECT ticker, action, {r('confidence')} AS confidence, signal_strength, rank, run FROM sig, (SELECT unnest(['20240131_093000', '20240131_160000']) AS run)"
 ORACLES["news_json"] = ORACLES["news_confidence"]
 ORACLES["model_comparison"] = ORACLES["accuracy_f1"].replace("SELECT model, round((SELECT", "SELECT model, CAST(row_number() OVER (ORDER BY (SELECT avg(CAST(pred = actual AS INTEGER)) FROM scored s WHERE s.model = f.model) DESC, model) AS INTEGER) AS place, round((SELECT")
 _import = f"{Q15.replace('bars AS (', 'whole AS (')}, bars AS (SELECT ticker, ts, close, CASE WHEN volume <= 300 THEN volume END AS volume FROM whole WHERE close >= 20)"

@@ -223,6 +223,20 @@ def resample_counts(spark, d):
     return x.groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query
+def resample_total(spark, d):
+    """Exactly as many draws as are asked for, from all classes."""
+    x = ds.resample(ds.labelled(_split(spark, d), (0.1, 0.3)).where("split = 'train'"), 9000)
+    return x.agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
+
+
+@query
+def float_features(spark, d):
+    """The features of a table by its schema, as single floats."""
+    x = src.as_float(_split(spark, d))
+    return x.select("ticker", "ts", *[F.col(c).cast("double").alias(c) for c in src.feature_names(x)])
+
+
 @query
 def balanced_batches(spark, d):
     x = ds.balanced_batches(ds.labelled(_split(spark, d)).where("split = 'train'"), 32, 50)
@@ -579,8 +593,9 @@ def stream_bars(spark, d):
 
 @query
 def stream_latest_quote(spark, d):
-    x = sm.drained(sm.latest_quotes(_stream(spark, d, _quotes)), "latest", _folder(spark), "complete")
-    return x.select("symbol", "ts", "last", "bid", "ask")
+    folder, quotes = _folder(spark), sm.latest_quotes(_stream(spark, d, _quotes))
+    sm.run_incrementally(quotes, lambda batch, number: sm.write_once(batch, number, f"{folder}/latest", "parquet"), f"{folder}/state", "update")
+    return sm.latest_of(spark, f"{folder}/latest", "symbol string, ts timestamp_ntz, last double, bid double, ask double", "symbol", "parquet")
 
 
 @query
@@ -641,6 +656,33 @@ def feature_files(spark, d):
     return found.select("ticker", "n_rows", (F.col("n_files") > 0).alias("found"))
 
 
+@query
+def feature_manifest(spark, d):
+    """What the files of a feature folder hold, file by file, summed up for each ticker."""
+    folder = _folder(spark)
+    _with(fx.bars_daily(spark, d), ft.lags()).repartition("ticker").write.partitionBy("ticker").parquet(folder)
+    found = src.file_manifest(spark, folder)
+    return found.groupBy("ticker").agg(F.sum("n_rows").alias("n_rows"), F.max(F.size("columns")).alias("n_columns"), F.count("error").alias("n_errors"))
+
+
+@query
+def landed_months(spark, d):
+    """A table of months that a later chunk, overlapping and with other volumes, is added to."""
+    folder, b = _folder(spark), fx.bars_daily(spark, d)
+    src.land_months(b.where("ts < TIMESTAMP_NTZ '1995-06-15'"), folder)
+    src.land_months(b.where("ts >= TIMESTAMP_NTZ '1995-05-20'").withColumn("volume", F.col("volume") + 1), folder)
+    return src.read_bars(spark, folder)
+
+
+@query
+def signals_files(spark, d):
+    """Signals of two runs, the second of them written twice, read again with the time of their run."""
+    folder, p = _folder(spark), fx.predictions(spark, d)
+    for at in ("2024-01-31 09:30:00", "2024-01-31 16:00:00", "2024-01-31 16:00:00"):
+        src.write_signals(sg.signals(p, at=at), folder)
+    return src.read_json(spark, folder, "ticker string, action string, confidence double, signal_strength string, rank int, run string")
+
+
 @query
 def signals_json(spark, d):
     folder = _folder(spark)

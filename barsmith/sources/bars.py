@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +42,47 @@ def usable(bars: DataFrame) -> DataFrame:
     return bars.withColumns(numbers).dropna("any", subset=list(BAR_COLUMNS[2:6]))
 
 
+def land_months(bars: DataFrame, path: str) -> None:
+    """Adds ``bars`` to the table at ``path``, which is kept in a folder for each month: of rows of one (ticker, ts) the new
+    one stays. Only the months that ``bars`` has rows in are read and written again."""
+    spark = bars.sparkSession
+    month = lambda df: df.withColumn("month", F.date_format("ts", "yyyy-MM"))
+    new = month(bars.select(*BAR_COLUMNS))
+    try:
+        there = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in bars.select(*BAR_COLUMNS).schema)}, month string").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        there = None
+    rows = new.withColumn("_old", F.lit(0))
+    if there is not None:  # one row for each touched month: a broadcast of months, and partitions pruned by them
+        rows = rows.unionByName(there.join(F.broadcast(new.select("month").distinct()), "month", "left_semi").withColumn("_old", F.lit(1)))
+    rows = rows.groupBy("ticker", "ts").agg(F.min_by(F.struct(*BAR_COLUMNS[2:], "month"), "_old").alias("_row")).select("ticker", "ts", "_row.*")
+    rows.repartition("month").sortWithinPartitions("month", "ticker", "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def file_manifest(spark: SparkSession, path: str, pattern: str = r"([^/=]+)/[^/]*$|([^/]+)\.parquet$") -> DataFrame:
+    """(file, ticker, n_rows, columns, error) of every Parquet file below a folder; a file that can't be read has an error in
+    place of rows and columns; empty files are not listed. Files are opened by tasks, one after another; each must fit into a worker's memory."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    files = files.select(F.col("path").alias("file"), F.regexp_extract("path", pattern, 1).alias("ticker"), "content")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for content in batch.column("content"):
+                try:
+                    found = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
+                    rows.append((found.metadata.num_rows, found.schema_arrow.names, None))
+                except (pa.ArrowException, OSError) as e:
+                    rows.append((None, None, f"{type(e).__name__}: {e}"[:300]))
+            n, columns, errors = zip(*rows, strict=True) if rows else ([], [], [])
+            made = [pa.array(n, pa.int64()), pa.array(columns, pa.list_(pa.string())), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("ticker"), *made], ["file", "ticker", "n_rows", "columns", "error"])
+
+    return files.mapInArrow(look, "file string, ticker string, n_rows long, columns array<string>, error string")
+
+
 def land_bars(*chunks: DataFrame, source_zone: str | None = None, target_zone: str = "America/New_York") -> DataFrame:
     """Chunks in any order and overlap as one table: local time without zone, the six columns, one row for each
     (ticker, ts): that of the chunk given first."""
@@ -114,7 +160,10 @@ def pool_profile(df: DataFrame) -> DataFrame:
 
 
 def write_signals(signals: DataFrame, path: str) -> None:
-    signals.withColumn("run", F.date_format("timestamp", "yyyyMMdd_HHmmss")).write.json(path)
+    """Signals as JSON lines in a folder for each time at which they were made (``run=yyyyMMdd_HHmmss``); a run that is
+    written again replaces its folder and no other."""
+    rows = signals.withColumn("run", F.date_format("timestamp", "yyyyMMdd_HHmmss"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -149,7 +198,7 @@ def feature_names(df: DataFrame, keys: tuple[str, ...] = ("ticker", "ts", "code"
 
 
 def newest(df: DataFrame, order: Column | None = None) -> DataFrame:
-    """The last row of each ticker, without a sort."""
-    at = F.col("ts") if order is None else order
+    """The last row of each ticker, without a sort; of rows of one time always the same, whatever the partitions."""
+    at = F.struct(F.col("ts") if order is None else order, F.xxhash64(*df.columns))
     row = F.max_by(F.struct(*df.columns), at).alias("_row")
     return df.groupBy("ticker").agg(row).select("_row.*")

@@ -162,53 +162,53 @@ def stream_ema(ticks: DataFrame, n: int = 9, delay: str = "10 minutes") -> DataF
     return stream_indicators(ticks.withColumn("size", F.lit(0.0)), n, delay=delay).select("ticker", "ts", "seq", "ema")
 
 
-def drained(stream: DataFrame, name: str, folder: str, mode: str = "append", settings: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    """Runs a stream over what is there and returns its rows, written as Parquet: all of them in append mode, the last
-    result in complete mode. ``settings`` hold while the stream starts."""
+def drained(stream: DataFrame, name: str, folder: str, settings: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """Runs a stream in append mode over what is there and returns its rows, written as Parquet. ``settings`` hold while the
+    stream starts."""
     spark = stream.sparkSession
     before = {k: spark.conf.get(k, None) for k, _ in settings}
     for k, v in settings:
         spark.conf.set(k, v)
     try:
-        writer = stream.writeStream.option("checkpointLocation", f"{folder}/{name}-state").outputMode(mode).trigger(availableNow=True)
-        if mode == "append":
-            writer.format("parquet").option("path", f"{folder}/{name}").start().awaitTermination()
-            return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
-        done: list[int] = []
-
-        def work(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{folder}/{name}/{number}")
-            done.append(number)
-
-        writer.foreachBatch(work).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{folder}/{name}/{max(done)}") if done else spark.createDataFrame([], stream.schema)
+        writer = stream.writeStream.option("checkpointLocation", f"{folder}/{name}-state").outputMode("append").trigger(availableNow=True)
+        writer.format("parquet").option("path", f"{folder}/{name}").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def run_incrementally(stream: DataFrame, work: Callable[[DataFrame, int], None], folder: str) -> None:
+def run_incrementally(stream: DataFrame, work: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
     """Gives each new micro-batch to ``work`` (say, one that writes signals) and ends when all is done. After a failure the
     last micro-batch may be given again under the same number: see :func:`write_once`."""
-    stream.writeStream.foreachBatch(work).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(work).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
 
 
-def write_once(df: DataFrame, number: int, path: str) -> None:
-    """The rows of micro-batch ``number`` as JSON lines in a folder of its own, and then a marker that it is complete. A batch
-    that comes again after a failure replaces what it has left, so each batch is there exactly once."""
-    df.write.mode("overwrite").json(f"{path}/rows/batch={number}")
-    df.sparkSession.range(1).select(F.lit(True).alias("complete")).coalesce(1).write.mode("overwrite").json(f"{path}/done/batch={number}")
+def write_once(df: DataFrame, number: int, path: str, form: str = "json") -> None:
+    """The rows of micro-batch ``number`` in a folder of its own, and then a marker that it is complete. A batch that comes
+    again after a failure replaces what it has left, so each batch is there exactly once."""
+    df.write.mode("overwrite").format(form).save(f"{path}/rows/batch={number}")
+    df.sparkSession.range(1).select(F.lit(True).alias("complete")).coalesce(1).write.mode("overwrite").format(form).save(f"{path}/done/batch={number}")
 
 
-def read_complete(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def latest_of(spark: SparkSession, path: str, schema: str, key: str, form: str = "json") -> DataFrame:
+    """The newest row of each key of the micro-batches of :func:`write_once`, where each holds the keys that it changes: a
+    table with upserts of which a batch writes its own keys only, and a reader takes the last."""
+    rows = read_complete(spark, path, schema, form, with_batch=True)
+    columns = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("_row")).select("_row.*")
+
+
+def read_complete(spark: SparkSession, path: str, schema: str, form: str = "json", with_batch: bool = False) -> DataFrame:
     """The rows of all complete micro-batches of :func:`write_once`; those of a batch without its marker stay out."""
 
     def found(part: str, columns: str) -> DataFrame:
         try:
-            return spark.read.schema(f"{columns}, batch long").json(f"{path}/{part}")
+            return spark.read.schema(f"{columns}, batch long").format(form).load(f"{path}/{part}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return spark.createDataFrame([], f"{columns}, batch long")
 
-    return found("rows", schema).join(found("done", "complete boolean").where("complete"), "batch", "left_semi").drop("batch")
+    rows = found("rows", schema).join(found("done", "complete boolean").where("complete"), "batch", "left_semi")
+    return rows if with_batch else rows.drop("batch")

@@ -220,3 +220,49 @@ def test_a_recurrent_model_gets_sequences(spark):
 def _sums(weight):
     """A model that tells what it has got: places, columns and weighted sums."""
     return lambda x: np.concatenate([np.full((len(x), 1), x.shape[1]), np.full((len(x), 1), x.shape[2]), weight * x.sum(axis=1)], axis=1)
+
+
+def test_exactly_as_many_draws_as_asked_for(spark):
+    rows = [("t", i, 0 if i < 900 else 2 if i < 990 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "ticker string, ts long, label int")
+    for seed in (1, 2, 3):
+        drawn = dataset.resample(df, 5000, seed=seed).groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("ts").alias("k")).collect()
+        n = {r["label"]: r["n"] for r in drawn}
+        assert sum(n.values()) == 5000 and set(n) == {0, 2} and abs(n[0] - 2500) < 250 and {r["label"]: r["k"] for r in drawn}[2] == 90
+    assert sorted(dataset.resample(df, 50).collect()) == sorted(dataset.resample(df.repartition(7), 50).collect())
+    assert dataset.resample(df.limit(0), 5).count() == 0
+
+
+def test_landing_touches_its_months_only(spark, tmp_path):
+    bar = lambda day, v: ("a", datetime.datetime(2024, *day), 1.0, 1.0, 1.0, 1.0, v)
+    frame = lambda *rows: spark.createDataFrame(rows, "ticker string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    path = str(tmp_path / "bars")
+    src.land_months(frame(bar((1, 5), 1.0), bar((2, 5), 1.0), bar((2, 6), 1.0)), path)
+    files = lambda m: sorted(p.name for p in (tmp_path / "bars" / f"month=2024-{m:02}").glob("part-*"))
+    january, february = files(1), files(2)
+    src.land_months(frame(bar((2, 6), 9.0), bar((2, 7), 9.0), bar((3, 1), 9.0)), path)
+    assert files(1) == january and files(2) != february
+    got = [(r["ts"].month, r["ts"].day, r["volume"]) for r in src.read_bars(spark, path).orderBy("ts").collect()]
+    assert got == [(1, 5, 1.0), (2, 5, 1.0), (2, 6, 9.0), (2, 7, 9.0), (3, 1, 9.0)]
+
+
+def test_a_manifest_names_broken_files(spark, tmp_path):
+    (tmp_path / "ticker=a").mkdir()
+    (tmp_path / "ticker=b").mkdir()
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"x": [1, 2], "y": ["u", None]}), tmp_path / "ticker=a" / "part-0.parquet")
+    (tmp_path / "ticker=b" / "part-0.parquet").write_bytes(b"no parquet")
+    got = sorted((r["ticker"], r["n_rows"], r["columns"], r["error"] is None) for r in src.file_manifest(spark, str(tmp_path)).collect())
+    assert got == [("a", 2, ["x", "y"], True), ("b", None, None, False)]
+
+
+def test_upserts_write_their_own_keys_only(spark, tmp_path):
+    path = str(tmp_path / "latest")
+    frame = lambda *rows: spark.createDataFrame(rows, "symbol string, last double")
+    streams.write_once(frame(("a", 1.0), ("b", 1.0)), 0, path)
+    before = {p: p.read_bytes() for p in (tmp_path / "latest" / "rows" / "batch=0").glob("part-*")}
+    streams.write_once(frame(("b", 2.0), ("c", 2.0)), 1, path)
+    assert {p: p.read_bytes() for p in (tmp_path / "latest" / "rows" / "batch=0").glob("part-*")} == before
+    assert sorted(map(tuple, streams.latest_of(spark, path, "symbol string, last double", "symbol").collect())) == [("a", 1.0), ("b", 2.0), ("c", 2.0)]
