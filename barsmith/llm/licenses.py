@@ -1,21 +1,23 @@
 """License scan with a positional index of rare tokens.
 
-Templates of license notices are indexed word by word: a posting is (template, position). How rare a license word is,
-is counted over all documents. A key phrase is looked up by its rarest word, at every place in the file. Around the places
-of a template's key phrase all its words are looked up: a posting and a place in the file agree on where the template would
-start, and starts that enough words agree on (give or take SLACK words) are candidates. A candidate counts if enough of
-the template's words stand there in the template's order and its key phrases in the same stretch. No word or place is left
-out: a key phrase has AGREE words or more, so each of its places has a candidate. Phrases that name a license outright are
-found at every place besides.
+Templates of license notices are indexed word by word: a posting is (template, position). How rare a license word is, is
+counted over all documents (IDF), and only the rarest positions of each template are in the index. A file's words are looked
+up there; postings of a template whose places in the file agree on where it would start, as far as the allowed gaps let
+them, make a candidate. A candidate counts if its mandatory key phrases stand in the same stretch and enough of the
+template's words do in the template's order.
+
+The index loses nothing: a stretch that covers COVER of a template of n words lacks (1 - COVER) n positions at most, and so
+holds AGREE of the (1 - COVER) n + AGREE rarest, each no further from its place than words can be missing or put in.
+Phrases that name a license outright are found at every place besides.
 
 Null and empty texts have no words and no labels; repeated rows each get their result; very long texts are read whole;
-words of equal IDF are told apart by their place in the phrase; an empty table gives no rows; extra columns play no part. Model and index are bounded by the templates.
+positions of equal IDF are taken in the template's order; an empty table gives no rows; extra columns play no part. Model and index are bounded by the templates.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -53,10 +55,34 @@ TEMPLATES = (
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("without any express or implied warranty", "will the authors be held liable")),
     ("bsl", "distributed under the boost software license version 1 0", ("boost software license",)),
     ("artistic", "you may distribute this package under the terms of the artistic license 2 0", ("artistic license",)),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4",)),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("commons attribution sharealike",)),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("commons attribution noncommercial",)),
+    ("cc-by", "licensed under creative commons attribution 4 0", ("creative commons attribution 4",)),
+    ("mpl", "mozilla public license version 2 0", ("mozilla public license",)),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ("without warranty of any kind express or implied", "fitness for a particular purpose and noninfringement")),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("required by applicable law or agreed to in writing",)),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", ("lesser general public license",)),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program", ("affero general public license",)),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", ("gnu general public license along with",)),
+    ("mit", "spdx license identifier mit", ("license identifier mit",)),
+    ("apache", "spdx license identifier apache 2 0", ("license identifier apache",)),
+    ("bsd", "spdx license identifier bsd 3 clause", ("license identifier bsd",)),
+    ("bsd", "spdx license identifier bsd 2 clause", ("license identifier bsd",)),
+    ("gpl", "spdx license identifier gpl 2 0", ("license identifier gpl",)),
+    ("gpl", "spdx license identifier gpl 3 0", ("license identifier gpl",)),
+    ("lgpl", "spdx license identifier lgpl 2 1", ("license identifier lgpl",)),
+    ("lgpl", "spdx license identifier lgpl 3 0", ("license identifier lgpl",)),
+    ("agpl", "spdx license identifier agpl 3 0", ("license identifier agpl",)),
+    ("mpl", "spdx license identifier mpl 2 0", ("license identifier mpl",)),
+    ("isc", "spdx license identifier isc", ("license identifier isc",)),
+    ("epl", "spdx license identifier epl 2 0", ("license identifier epl",)),
+    ("cc0", "spdx license identifier cc0 1 0", ("license identifier cc0",)),
+    ("unlicense", "spdx license identifier unlicense", ("license identifier unlicense",)),
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights", ("waived all copyright",)),
 )
 
-#: Words that must agree on a start; words a start may be off.
+#: Rare words that must agree on a start; words that a stretch begins before it (and ends twice as many behind it).
 AGREE, SLACK = 2, 2
 #: Least share of a template's words found in order of place.
 COVER = 0.6
@@ -78,44 +104,39 @@ class Index:
         self.weigh(0, {})
 
     def weigh(self, n_docs: int, found: dict[bytes, int]) -> None:
-        """Sets how rare each word is, from the number of documents that hold it, and with it the words to look up."""
+        """Sets how rare each word is, from the number of documents that hold it, and with it what is looked up: postings of
+        the rarest positions of each template."""
         self.idf = {w: math.log((n_docs + 1) / (found.get(w, 0) + 1)) for w in self.postings}
-        self.anchors: dict[bytes, list[tuple[tuple[bytes, ...], int]]] = defaultdict(list)
-        for key in dict.fromkeys(k for keys in self.keys for k in keys):
-            words = tuple(key.split())
-            at = max(range(len(words)), key=lambda i: self.idf.get(words[i], math.inf))
-            self.anchors[words[at]].append((words, at))
-
-    def key_places(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        """Key phrases that stand in the file, each with all its places."""
-        found: dict[bytes, list[int]] = defaultdict(list)
-        own = self.anchors.keys() & set(words)
-        if own:
-            for i, w in enumerate(words):
-                if w in own:
-                    for key, at in self.anchors[w]:
-                        if i >= at and tuple(words[i - at : i - at + len(key)]) == key:
-                            found[b" ".join(key)].append(i - at)
-        return found
+        self.gaps = [int((1 - COVER) * len(words) + 1e-9) for words in self.words]
+        self.rare: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for t, words in enumerate(self.words):
+            for i in sorted(range(len(words)), key=lambda i: (-self.idf[words[i]], i))[: self.gaps[t] + AGREE]:
+                self.rare[words[i]].append((t, i))
 
     def candidates(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(template, start) that enough words agree on, of the starts whose stretch can hold the key phrases."""
-        standing = self.key_places(words)
-        for t, keys in enumerate(self.keys):
-            if not words or not all(k in standing for k in keys):
+        """(template, start) that enough of the file's rare words agree on, of those whose stretch can hold the key phrases."""
+        starts: dict[int, list[int]] = defaultdict(list)  # by template: where it would start, for each rare word
+        if self.rare.keys().isdisjoint(words):
+            return
+        for i, w in enumerate(words):
+            if w in self.rare:
+                for t, at in self.rare[w]:
+                    starts[t].append(i - at)
+        standing: dict[bytes, list[int]] = {}
+        for t, votes in starts.items():
+            n, wanted = len(self.words[t]), min(AGREE, len(self.words[t]))
+            if len(votes) < wanted:
                 continue
-            n, starts = len(self.words[t]), set(range(-SLACK, len(words)))
-            if keys:
-                key = min(keys, key=lambda k: len(standing[k]))
-                first = len(key.split()) - n - 2 * SLACK
-                starts = {s for p in standing[key] for s in range(p + first, p + SLACK + 1)}
-            votes: Counter = Counter()
-            for i in range(max(0, min(starts) - SLACK), min(len(words), max(starts) + n)):
-                for at in self.places[t].get(words[i], ()):
-                    votes[i - at] += 1
-            wanted = min(AGREE, n)
-            for s in sorted(starts):
-                if sum(votes.get(s - k, 0) for k in range(SLACK + 1)) >= wanted:
+            for k in self.keys[t]:
+                if k not in standing:
+                    standing[k] = places_of(k.split(), words)
+            votes.sort()
+            key = min(self.keys[t], key=lambda k: len(standing[k]), default=b"")
+            first = len(key.split()) - n - 2 * SLACK
+            near = {s for p in standing[key] for s in range(p + first, p + SLACK + 1)} if key else {s for v in votes for s in range(v - self.gaps[t] - 2 * SLACK, v + self.gaps[t] + SLACK + 1)}
+            for s in sorted(near):
+                low = bisect_left(votes, s - SLACK - self.gaps[t])
+                if bisect_right(votes, s + 2 * SLACK + self.gaps[t]) - low >= wanted:
                     yield t, s
 
     def cover(self, stretch: tuple[bytes, ...], t: int) -> float:
@@ -145,20 +166,21 @@ class Index:
         return labels, best
 
 
+def places_of(phrase: list[bytes], words: list[bytes]) -> list[int]:
+    """Where a phrase stands, by its first word."""
+    found, i = [], -1
+    while True:
+        try:
+            i = words.index(phrase[-1], i + 1)
+        except ValueError:
+            return found
+        if i + 1 >= len(phrase) and words[i + 1 - len(phrase) : i + 1] == phrase:
+            found.append(i + 1 - len(phrase))
+
+
 def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     """(first word, label) of every place where a phrase stands."""
-    found = []
-    for phrase, label in PHRASES.items():
-        p = phrase.encode().split()
-        i = -1
-        while True:
-            try:
-                i = words.index(p[-1], i + 1)
-            except ValueError:
-                break
-            if i + 1 >= len(p) and words[i + 1 - len(p) : i + 1] == p:
-                found.append((i + 1 - len(p), label))
-    return found
+    return [(i, label) for phrase, label in PHRASES.items() for i in places_of(phrase.encode().split(), words)]
 
 
 def word_counts(docs: DataFrame, index: Index) -> tuple[int, dict[bytes, int]]:

@@ -433,6 +433,51 @@ def test_licenses_equal_brute_force(spark, data):
     assert {r["doc_id"]: tuple(r)[1:7] for r in got} == want and sum(bool(w[5]) for w in want.values()) > 40
 
 
+def test_document_counts_change_the_candidates_and_no_label():
+    r = random.Random(8)
+    prose = "the of and license software public copyright this under general with without use free notice any as is version".split()
+    texts = []
+    for _ in range(150):
+        words = [r.choice(prose) for _ in range(r.randint(0, 80))]
+        for _ in range(r.randint(0, 2)):
+            at = r.randint(0, len(words))
+            words[at:at] = [w for w in r.choice(licenses.TEMPLATES)[1].split() if r.random() > 0.1]
+        texts.append([w.encode() for w in words])
+    found, tried = [], []
+    for seed in range(3):
+        index, draw = licenses.Index(), random.Random(seed)
+        index.weigh(1000, {w: draw.randint(0, 1000) for w in index.postings} if seed else {})
+        found.append([index.scan(t)[0] for t in texts])
+        tried.append([sorted(index.candidates(t)) for t in texts])
+    assert found[0] == found[1] == found[2] and sum(map(bool, found[0])) > 60
+    assert tried[0] != tried[1] != tried[2]
+
+
+def test_recall_of_mutated_notices():
+    """Words lost, put in and changed in one of ten places, key phrases left whole."""
+    r, index, right, n = random.Random(9), licenses.Index(), 0, 0
+    for label, notice, keys in licenses.TEMPLATES * 5:
+        words = notice.split()
+        kept = {i for k in keys for i in range(len(words)) for j in range(len(k.split())) if words[i - j : i - j + len(k.split())] == k.split() and i >= j}
+        out = []
+        for i, w in enumerate(words):
+            x = r.random() if i not in kept else 1
+            out += [] if x < 0.04 else [w, "indeed"] if x < 0.07 else ["other"] if x < 0.1 else [w]
+        around = [f"w{r.randint(0, 99)}" for _ in range(40)]
+        n += 1
+        right += label in index.scan([w.encode() for w in [*around, *out, *around]])[0]
+    assert right >= 0.95 * n, (right, n)
+
+
+@pytest.mark.parametrize(("line", "label"), [
+    ("// SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: Apache-2.0", "apache"), ("/* SPDX-License-Identifier: BSD-3-Clause */", "bsd"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl"), ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("Licensed under Creative Commons Attribution 4.0", "cc-by"), ("Mozilla Public License Version 2.0", "mpl"), ("SPDX-License-Identifier: MPL-2.0", "mpl"),
+])
+def test_tags_and_short_notices(line, label):
+    assert label in licenses.Index().scan(licenses.plain_words(line.encode()))[0]
+
+
 def test_all_licenses_of_one_long_text():
     index = licenses.Index()
     prose = [b"w%d" % i for i in range(300)]
