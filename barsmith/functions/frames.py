@@ -2,14 +2,12 @@
 
 A series is cut into blocks as long as the frame. The last n rows are then the end of one block and the beginning of the
 next, and both are running aggregates, one forwards and one backwards; means and deviations of the two are put together
-without a difference of large sums. What has no such form (ranks, mean deviations) is worked out in Arrow batches over
-parts of a series, each with the rows before it that its first frames need.
+without a difference of large sums. What has no such form (ranks, mean deviations: :mod:`ranks`) is worked out in Arrow
+batches over parts of a series, each with the rows before it that its first frames need.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -77,32 +75,6 @@ def long_frames(df: DataFrame, wanted: dict[str, tuple[str, str, int]]) -> DataF
     return df.select(*kept, *[c.alias(name) for name, c in out.items()])
 
 
-def _windows(x: np.ndarray, n: int) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(x, n)
-
-
-def mean_deviation(x: np.ndarray, n: int) -> np.ndarray:
-    """Mean distance of the last n values from their mean; NaN unless all are there."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= n:
-        w = _windows(x, n)
-        centre = w[:, 0] + (w - w[:, :1]).mean(axis=1)  # exact where all are equal
-        out[n - 1 :] = np.abs(w - centre[:, None]).mean(axis=1)
-    return out
-
-
-def below_quantile(x: np.ndarray, n: int, share: float = 0.2) -> np.ndarray:
-    """1 where a value lies below the interpolated quantile of the last n values, else 0; NaN unless all are there.
-
-    It does exactly if no more values than the quantile's place, rounded up, are as low as it is."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= n:
-        w = _windows(x, n)
-        low = (w <= x[n - 1 :, None]).sum(axis=1) <= math.ceil(round(share * (n - 1), 9))
-        out[n - 1 :] = np.where(np.isnan(w).any(axis=1), np.nan, low)
-    return out
-
-
 def in_parts(df: DataFrame, wanted: dict[str, tuple], part: int = PART) -> DataFrame:
     """``df`` with, for each name of ``wanted`` (function, column, n), function(values, n) over the series, as a double."""
     before = max(n for *_, n in wanted.values()) - 1

@@ -32,10 +32,39 @@ def temporal_split(df: DataFrame, test_size: float = 0.2, min_rows: int = 32, va
     return df.withColumn("split", split.otherwise("train")).drop("_n", "_at")
 
 
+def group_quantiles(df: DataFrame, column: str, shares: tuple[float, ...], by: tuple[str, ...], accuracy: int = 10_000) -> DataFrame:
+    """``by`` and ``_q``, the exact quantiles (between neighbours by place) of each group's values; missing values, NaN and
+    infinities don't count, groups without values and rows without a group are left out.
+
+    A sketch of bounded size gives each quantile a bracket that is sure to hold it; groups of at most ``accuracy`` values are
+    brackets themselves. Values in a bracket (a few in ``accuracy`` of the group) are put in order, those below are only
+    counted, before the exchange. So no buffer and no task holds a group."""
+    values = df.select(*by, no_nan(F.col(column).cast("double")).alias("_v")).where("_v IS NOT NULL")
+    reach = 4 / accuracy  # the sketch may be one off in ``accuracy``, places are two ranks wide
+    around = [min(1.0, max(0.0, s + d)) for s in shares for d in (-reach, reach)]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(a) for a in around]), accuracy)
+    ends = values.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_a"))
+    few = F.col("_n") <= accuracy
+    low = [F.when(few | F.lit(a <= 0), F.col("_min")).otherwise(F.col("_a")[2 * j]) for j, a in enumerate(around[::2])]
+    high = [F.when(few | F.lit(a >= 1), F.col("_max")).otherwise(F.col("_a")[2 * j + 1]) for j, a in enumerate(around[1::2])]
+    ends = ends.select(*by, "_n", *[c.alias(f"_low{j}") for j, c in enumerate(low)], *[c.alias(f"_high{j}") for j, c in enumerate(high)])
+    v = F.col("_v")
+    parts = [F.when(v <= F.col(f"_high{j}"), F.struct(F.lit(j).alias("j"), F.when(v >= F.col(f"_low{j}"), v).alias("x"))) for j in range(len(shares))]
+    found = values.join(ends, list(by)).select(*by, "_n", F.explode(F.array_compact(F.array(*parts))).alias("_p"))
+    found = found.groupBy(*by, "_n", F.col("_p.j").alias("_j"), F.col("_p.x").alias("_x")).agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(W.partitionBy(*by, "_j").orderBy(F.col("_x").asc_nulls_first()))
+    place = (F.col("_n") - 1) * F.get(F.array(*[F.lit(float(s)) for s in shares]), F.col("_j"))
+    found = found.withColumns({"_upto": upto, "_at": place})
+    held = lambda r: F.max(F.when((r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_k")), F.col("_x")))
+    ends = found.groupBy(*by, "_j").agg(held(F.floor("_at")).alias("_lower"), held(F.ceil("_at")).alias("_upper"), F.first("_at").alias("_at"))
+    between = (F.ceil("_at") - F.col("_at")) * F.col("_lower") + (F.col("_at") - F.floor("_at")) * F.col("_upper")
+    ends = ends.withColumn("_x", F.when(F.col("_lower") == F.col("_upper"), F.col("_lower")).otherwise(between))
+    return ends.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_j", "_x"))), lambda s: s["_x"]).alias("_q"))
+
+
 def thresholds(df: DataFrame, band: tuple[float, float] = (0.45, 0.55), by: tuple[str, ...] = ("ticker",)) -> DataFrame:
     """Exact quantiles of the target, for each group."""
-    q = F.percentile("target", F.array(*[F.lit(b) for b in band]))
-    return df.groupBy(*by).agg(q.alias("_q")).select(*by, F.col("_q")[0].alias("q_low"), F.col("_q")[1].alias("q_high"))
+    return group_quantiles(df, "target", band, by).select(*by, F.col("_q")[0].alias("q_low"), F.col("_q")[1].alias("q_high"))
 
 
 def labelled(df: DataFrame, band: tuple[float, float] = (0.45, 0.55), per_split: bool = False) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.bars import usable
-from ..functions.frames import below_quantile, in_parts, long_frames, mean_deviation
+from ..functions.frames import in_parts, long_frames
 from ..functions.ranges import in_ranges, over_ranges, own_rows, ranged, with_index
+from ..functions.ranks import below_quantile, mean_deviation
 from ..functions.scan import Recurrence, affine_scan, ema, wilder
 from ..functions.windows import change, clip, flag, full, lagged, upto, wide_mean
 

@@ -30,6 +30,19 @@ def test_exact_quantiles(spark, most):
     assert dataset.exact_quantiles(odd, ["a"], (0.25, 0.5, 0.75), most=most, parts=7) == {"a": [25.75, 50.5, 75.25]}
 
 
+@pytest.mark.parametrize("accuracy", [10_000, 300, 50])
+def test_quantiles_of_groups(spark, accuracy):
+    r = random.Random(5)
+    rows = [(r.choice("aaaab") if i else "one", i % 2, r.choice([r.gauss(0, 1), r.gauss(1000, 0.001), 3.0, math.nan, None, -1e9 * r.random() ** 9])) for i in range(6_000)]
+    df = spark.createDataFrame([*rows, ("none", 1, None)], "g string, h int, x double").repartition(5)
+    shares = (0.0, 0.25, 0.45, 0.5, 0.999, 1.0)
+    for by in (("g",), ("g", "h")):
+        clean = df.where("NOT isnan(x)").groupBy(*by).agg(F.percentile("x", F.array(*map(F.lit, shares))).alias("_q")).where("_q IS NOT NULL")
+        got = dataset.group_quantiles(df, "x", shares, by, accuracy)
+        assert sorted(map(tuple, got.select(*by, "_q").collect())) == sorted(map(tuple, clean.select(*by, "_q").collect()))
+    assert dataset.group_quantiles(df.limit(0), "x", shares, ("g",)).count() == 0
+
+
 def test_balanced_batches_draw_rows_of_the_class(spark):
     rows = [(f"t{i % 7}", i, 0 if i % 3 else 2, i * 1.5) for i in range(500)]
     df = spark.createDataFrame(rows, "ticker string, ts long, label int, x double")
