@@ -17,7 +17,8 @@ other set has than a similar set could lack has no partner. Only the others, the
 their sets are kept; every link is between suspects.
 
 Null and empty texts, and those without words, have no shingles and are linked with nothing. Rows with equal ids, null
-ids and equal texts are all kept; a component's id is its least non-null doc_id. An empty table gives no rows; extra
+ids and equal texts are all kept; a component's id is its least non-null doc_id, and ids must be numbers. Very long texts are
+read whole, as one set each; tokens of equal counts are ordered by their hash. An empty table gives no rows; extra
 columns are untouched by :func:`deduplicated`.
 """
 
@@ -354,4 +355,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op7_combination_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with the size of its set and its component; edge cases: see the module's text."""
     return similarity_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -223,7 +223,9 @@ def with_language(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang
 
 
 def in_known_language(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
-    """Rows of ``docs`` with letters, a clear language, and as many known words as texts of that language have."""
+    """Rows of ``docs`` with letters, a clear language, and as many known words as texts of that language have. Null and empty
+    texts and those without letters go; with nothing learned all rows go; repeated rows are all judged alike; columns of
+    any name stay as they are."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("_row"))  # packed, so that no column's name can clash
     found = rows.withColumn("_found", _predicted(model, F.col("_row.text")))

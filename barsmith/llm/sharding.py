@@ -7,7 +7,8 @@ follows from the totals of the ranges before its own and a running sum inside it
 shard is more than one record away from its share, and no task orders more than one range.
 
 Null ids and texts are allowed (a null text has no bytes); rows equal in id and text are counted as one unit with a
-multiplicity and take consecutive places; an empty table gives no rows; extra columns play no part.
+multiplicity and take consecutive places; a text longer than a shard's share fills what it needs, and is never cut; records
+of equal hashes are ordered by their ids' hash and size; an empty table gives no rows; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -157,4 +158,5 @@ def shard_records(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
 
 
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its shard of 16 and its slot; edge cases: see the module's text."""
     return shard_assignment(table(spark, sf_dir, "documents"))

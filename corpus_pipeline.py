@@ -1,4 +1,7 @@
-"""From raw documents to a sharded training set; each stage works on all that the one before kept."""
+"""From raw documents to a sharded training set; each stage works on all that the one before kept.
+
+Every stage takes empty tables, which stay empty, and reads very long texts whole; ties are told apart by hashes of the rows or
+by the least id, so reruns agree."""
 
 from __future__ import annotations
 

@@ -107,6 +107,16 @@ def test_language(docs, empty):
     assert language_id.with_language(empty, none).count() == 0
 
 
+def test_known_language(docs, empty):
+    model = language_id.fit(docs)
+    kept = language_id.in_known_language(docs, model, 0.0)
+    assert kept.columns == docs.columns and kept.where("doc_id IN (2, 3, 5)").count() == 0
+    assert kept.where("doc_id = 1").count() == 2 and kept.where("doc_id IS NULL").count() == 1
+    none = language_id.fit(empty)
+    assert language_id.in_known_language(docs, none, 0.0).count() == 0
+    assert language_id.in_known_language(empty, model, 0.0).count() == 0 and language_id.in_known_language(empty, none, 0.0).count() == 0
+
+
 PAGES = [(1, "http://x/", None), (2, None, ""), (3, "u", "<p>a<p>b &lt;c&gt; &#233;"), (3, "u", "<p>a<p>b &lt;c&gt; &#233;"), (None, "v", "plain < text"), (4, "w", "<div>" * 3000 + "deep" + "<p>x" * 5000)]
 
 
