@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: What counts as a word for operators that split on ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: ``bytes.translate`` table: A-Z become a-z, everything that is not a letter, digit or non-ASCII byte becomes a space.
@@ -51,6 +57,28 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+#: Bytes of an Arrow batch at most where many steps follow each other in one session (Spark's default is 64 MB).
+BATCH_BYTES = 8_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES where they are larger."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(name).lower())
+    if not now or not 0 < int(now[1]) * {"": 1, "k": 2**10, "m": 2**20, "g": 2**30}[now[2]] <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def released(batches: Iterator[T]) -> Iterator[T]:
+    """``batches``; behind the last a worker gives the memory that it no longer uses back to the system, as workers stay."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # of glibc only
+        pass
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, plain_words, raw, table
+from .common import bounded_batches, plain_words, raw, released, table
 from .mapped import arrays, packed, shipped
 
 WINDOW = 10
@@ -226,7 +226,7 @@ def scan(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("*",), wind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [SuffixAutomaton(own, window) for own in arrays(files)]
-        for batch in batches:
+        for batch in released(batches):
             n, hit, all_spans, all_items = [], [], [], []
             for text in batch["_text"]:
                 words = hashes(plain_words(text.as_py()))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discarded, raw, space_words, stored, table
+from .common import bounded_batches, discarded, raw, released, space_words, stored, table
 from .components import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -97,7 +97,7 @@ def _first_pass(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, set_key (null where empty), n and zone (tokens below ZONE) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             keys, sizes, zones = [], [], []
             for text in batch["_text"]:
                 s = shingles(text.as_py())
@@ -120,7 +120,7 @@ def _zone_postings(docs: DataFrame) -> DataFrame:
     """(token, set_key) of all tokens below ZONE of sets that can have a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             sets = [s for s in (shingles(text.as_py()) for text in batch["_text"]) if need(len(s)) > 3]
             yield _pairs([(_class_key(s), s[: np.searchsorted(s, ZONE)]) for s in sets])
 
@@ -131,7 +131,7 @@ def _all_postings(sets: DataFrame) -> DataFrame:
     """(token, set_key) of all tokens of ``sets`` (set_key, tokens as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             yield _pairs(list(zip(batch["set_key"].to_pylist(), _sets_of(batch["tokens"]), strict=True)))
 
     return sets.select("set_key", "tokens").mapInArrow(run, "token long, set_key long")
@@ -141,7 +141,7 @@ def _keys(shared: DataFrame) -> DataFrame:
     """(set_key, key): index keys of sets, from n and their tokens that other sets have too (structs of token and df)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             lists = batch["shared"]
             flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             token = flat.field("token").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -258,7 +258,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     narrow = narrow.join(ids, F.coalesce("doc_id", F.lit(-1)) == F.col("_id"), "left_semi").select(raw(F.col("text")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             sets = [s for s in (shingles(text.as_py()) for text in batch["_text"]) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_class_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "tokens"])
 

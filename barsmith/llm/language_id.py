@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, least_rows, stored, table
+from .common import bounded_batches, held_out, least_rows, released, stored, table
 from .mapped import arrays, packed, shipped
 
 #: Rows of each language that are learned from.
@@ -206,7 +206,7 @@ def _predicted(model: Model, text: Column) -> Column:
     @F.pandas_udf("lang_pred string, score double, known double, words long")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = model.opened()
-        for texts in batches:
+        for texts in released(batches):
             yield pd.DataFrame(dict(zip(("lang_pred", "score", "known", "words"), own.predict(texts.tolist()), strict=True)))
 
     return predict(text)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barsmith.llm import decontamination, jaccard_join, language_id, mixing, sharding
-from barsmith.llm.common import stored, table
+from barsmith.llm.common import small_batches, stored, table
 
 #: Least confidence in a document's language.
 LEAST_SCORE = 0.5
@@ -17,18 +17,21 @@ LEAST_SCORE = 0.5
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, a clear language and words that this language knows; the others go, null and empty texts
     with them. Null labels aren't learned from; repeated rows are all judged alike; columns of any name stay as they are."""
+    small_batches(spark)
     return language_id.in_known_language(docs, language_id.fit(docs), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of its least id; rows without words or without an id all stay. Columns
     of any name stay as they are."""
+    small_batches(spark)
     return jaccard_join.deduplicated(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs, those with null or empty texts among them; windows of items
     without an id count too. Columns of any name stay as they are."""
+    small_batches(spark)
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
