@@ -127,7 +127,10 @@ def _exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...
 
 
 def spark_rows(df: DataFrame, rows: list, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame(rows, schema)
+    """A few rows as literals: no Python worker is needed to read them."""
+    fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
+    structs = [F.struct(*[F.lit(x).cast(kind).alias(name.strip("`")) for x, (name, kind) in zip(row, fields, strict=True)]) for row in rows]
+    return df.sparkSession.range(1).select(F.inline(F.array(*structs)))
 
 
 def robust_parameters(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -242,8 +245,8 @@ def prepare(features: DataFrame, columns: list[str], horizon: int = 4, test_size
     """Features to a scaled, labelled and split table. Rows with a missing value go before anything is counted;
     quantiles and scaling see train rows only."""
     df = with_target(features, price, horizon).dropna("any", subset=[*columns, "target"])
-    df = labelled(temporal_split(df, test_size, min_rows, val_size), band)
-    return robust_scaled(df, columns)
+    df = temporal_split(df, test_size, min_rows, val_size)
+    return robust_scaled(labelled(df, band), columns, robust_parameters(df, columns))  # labels leave all train rows
 
 
 def union_all(*frames: DataFrame) -> DataFrame:
