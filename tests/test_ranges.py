@@ -67,7 +67,7 @@ def test_long_frames_in_ranges(series):
     assert rows(got, *wanted) == rows(long_frames(series, wanted), *wanted)
 
 
-@pytest.mark.parametrize("a", [0.0, 0.05, 0.5, 0.98, 0.9999, 1.0])
+@pytest.mark.parametrize("a", [0.0, 0.05, 0.98, 0.9999, 1.0])
 def test_scan_over_many_parts(series, a):
     df = with_index(series).withColumn("z", F.coalesce("y", F.lit(0.0)))
     todo = [Recurrence("u", F.col("z"), a, 0.5, 3, 5), Recurrence("v", F.col("x"), a, 1.0, 0, F.col("x"))]
@@ -89,7 +89,7 @@ def test_scan_over_many_parts(series, a):
 
 
 def test_one_long_ticker_is_spread_over_tasks(spark):
-    n = 300_000
+    n = 120_000
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be put together again
     bars = spark.range(n).select(F.concat(F.lit("A"), F.col("id") % 1).alias("ticker"), F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000).alias("ts"), *[(100 + F.sin(F.col("id") / 50)).alias(c) for c in ("open", "high", "low", "close")], F.lit(5.0).alias("volume"))
     got = features.recurrences(bars, parts=("ema", "obv"))
