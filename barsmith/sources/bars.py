@@ -97,11 +97,13 @@ def land_bars(*chunks: DataFrame, source_zone: str | None = None, target_zone: s
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*BAR_COLUMNS)
 
 
-def read_feature_files(spark: SparkSession, path: str, pattern: str = r"([^/=]+)/[^/]*$|([^/]+)\.parquet$", skip_broken: bool = False) -> DataFrame:
+def read_feature_files(spark: SparkSession, path: str, pattern: str = r"([^/=]+)/[^/]*$|([^/]+)\.parquet$", skip_broken: bool = False, schema: str | None = None) -> DataFrame:
     """All feature files below a directory with the ticker taken from the file's path: its folder (``ticker=X/part``) or,
     for other ``pattern``s, what the first group finds. With ``skip_broken`` files that can't be read are passed over;
-    :func:`files_read` says which were read."""
-    df = spark.read.option("ignoreCorruptFiles", str(skip_broken).lower()).option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(path)
+    :func:`files_read` says which were read, :func:`file_manifest` which can't be and why. With a ``schema`` no footer is read
+    beforehand; without one those of all files are, to merge their columns."""
+    reader = spark.read.option("ignoreCorruptFiles", str(skip_broken).lower()).option("recursiveFileLookup", "true")
+    df = (reader.schema(schema) if schema else reader.option("mergeSchema", "true")).parquet(path)
     return df.withColumn("ticker", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 

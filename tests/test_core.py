@@ -180,6 +180,8 @@ def test_broken_feature_files(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)parquet|footer"):
         spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/f").count()
     assert src.read_feature_files(spark, f"{tmp_path}/f", skip_broken=True).count() == 6
+    few = src.read_feature_files(spark, f"{tmp_path}/f", skip_broken=True, schema="ts long, close double, more double")
+    assert few.columns == ["ts", "close", "more", "ticker"] and few.count() == 6
 
 
 def test_landing_from_another_zone(spark):
