@@ -618,7 +618,7 @@ def latest_pairs(spark, d):
 @query
 def stream_pair(spark, d):
     stocks, options = (_stream(spark, d, _quotes).where(f"odd = {k}") for k in (0, 1))
-    x = sm.drained(sm.pair_quotes(stocks, options), "pairs", _folder(spark))
+    x = sm.drained(sm.pair_quotes(stocks, options), "pairs", _folder(spark), settings=(sm.STATE_STORE,))
     return x.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("s_ts", "o_ts")})
 
 

@@ -35,10 +35,17 @@ def latest_quotes(quotes: DataFrame) -> DataFrame:
 
 
 def pair_quotes(stocks: DataFrame, options: DataFrame, within: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Stock quotes with the option quotes of the same underlying that follow within ``within``; both have a last price."""
+    """Stock quotes with the option quotes of the same underlying that follow within ``within``; both have a last price.
+
+    Time is cut into cells as long as ``within``: an option quote is in one, a stock quote waits in its own and in the next.
+    So a quote meets the quotes of two cells in the state, not all of its underlying, and each pair meets once. The state
+    holds all quotes of a batch: large ones need STATE_STORE."""
+    step = F.expr(f"INTERVAL {within}")
     s = timed(stocks.where("last IS NOT NULL").select(F.col("symbol").alias("s_symbol"), F.col("ts").alias("s_ts"), F.col("last").alias("s_last")), delay, "s_ts")
     o = timed(options.where("last IS NOT NULL").select(F.col("symbol").alias("o_symbol"), F.col("ts").alias("o_ts"), F.col("last").alias("o_last")), delay, "o_ts")
-    near = (F.col("s_symbol") == F.col("o_symbol")) & (F.col("o_ts") >= F.col("s_ts")) & (F.col("o_ts") <= F.col("s_ts") + F.expr(f"INTERVAL {within}"))
+    s = s.withColumn("_start", F.window("s_ts", within)["start"]).withColumn("_s_cell", F.explode(F.array("_start", F.col("_start") + step))).drop("_start")
+    o = o.withColumn("_o_cell", F.window("o_ts", within)["start"])
+    near = (F.col("s_symbol") == F.col("o_symbol")) & (F.col("_s_cell") == F.col("_o_cell")) & (F.col("o_ts") >= F.col("s_ts")) & (F.col("o_ts") <= F.col("s_ts") + step)
     return s.join(o, near).select(F.col("s_symbol").alias("symbol"), "s_ts", "s_last", "o_ts", "o_last")
 
 

@@ -3,6 +3,8 @@
 import datetime
 import math
 import random
+import re
+import time
 from functools import partial
 
 import numpy as np
@@ -171,6 +173,40 @@ def test_late_ticks_are_dropped(spark, tmp_path):
     assert got == {"10:00": (5.0, 5.0), "11:00": (6.0, 6.0), "11:30": (7.0, 9.0)}  # 9:00 came after its bar was closed; 14:00 is open
 
 
+def _quotes(spark, rows, path, parts=1):
+    spark.createDataFrame(rows, "odd int, symbol string, ts timestamp_ntz, last double").repartition(parts).write.mode("append").parquet(path)
+    read = streams.read_stream(spark, path, spark.read.parquet(path), files=99)
+    return [read.where(f"odd = {k}") for k in (0, 1)]
+
+
+def test_pairs_of_quotes_by_brute_force(spark, tmp_path):
+    r, start = random.Random(4), datetime.datetime(2024, 2, 28, 23, 40)
+    at = [start + datetime.timedelta(seconds=60 * r.randint(0, 90) + r.choice((0, 0, 0, 1, 59)), microseconds=r.choice((0, 0, 1, 999_999))) for _ in range(300)]
+    rows = [(i % 2, r.choice(("a", "a", "b", None)), None if i % 40 == 0 else t, None if i % 37 == 0 else float(i)) for i, t in enumerate(at)]
+    rows += [(0, "z", start, 1.0), (0, "z", start, 1.0), (1, "z", start, 2.0), *[(1, "z", start + datetime.timedelta(minutes=m, microseconds=u), 3.0) for m in (5, 7) for u in (-1, 0, 1)], (1, "z", start - datetime.timedelta(microseconds=1), 4.0)]
+    for within in (5, 7):
+        for k, batch in enumerate((rows[:100], rows[100:150], rows[150:])):
+            both = _quotes(spark, batch, f"{tmp_path}/in{within}")
+            out = streams.drained(streams.pair_quotes(*both, within=f"{within} minutes", delay="1 day"), "pairs", f"{tmp_path}/out{within}", settings=(streams.STATE_STORE,))
+        got = sorted(tuple(x) for x in out.select("symbol", F.col("s_ts").cast("timestamp_ntz"), "s_last", F.col("o_ts").cast("timestamp_ntz"), "o_last").collect())
+        whole = [x for x in rows if None not in x]
+        want = sorted((s[1], s[2], s[3], o[2], o[3]) for s in whole for o in whole if (s[0], o[0]) == (0, 1) and s[1] == o[1] and s[2] <= o[2] <= s[2] + datetime.timedelta(minutes=within))
+        assert got == want and len(want) > 300
+
+
+def test_quotes_meet_only_those_near_them(spark, tmp_path, capsys):
+    """Keys of the join in the state: with the underlying alone, the work grows with the square of its quotes."""
+    start = datetime.datetime(2024, 1, 1)
+    both = _quotes(spark, [(i % 2, "a", start + datetime.timedelta(minutes=i // 2 * 5), float(i)) for i in range(40_000)], f"{tmp_path}/in")
+    pairs = streams.pair_quotes(*both)
+    pairs.explain()
+    keys = re.search(r"StreamingSymmetricHashJoin \[(.*?)\], \[(.*?)\]", capsys.readouterr().out).groups()
+    assert [len(k.split(", ")) for k in keys] == [2, 2]
+    began = time.monotonic()
+    assert streams.drained(pairs, "pairs", f"{tmp_path}/out", settings=(streams.STATE_STORE,)).count() == 39_999  # with the one of its time and the next
+    assert time.monotonic() - began < 120  # 400 million meetings by the underlying alone
+
+
 def test_broken_feature_files(spark, tmp_path):
     src.write_bars(spark.createDataFrame([("a", i, 1.0, 1.0, 1.0, 1.0, 1.0) for i in range(5)] + [("b", 1, 1.0, 1.0, 1.0, 1.0, 1.0)], "ticker string, ts long, open double, high double, low double, close double, volume double"), f"{tmp_path}/f")
     assert {tuple(r) for r in src.files_read(src.read_feature_files(spark, f"{tmp_path}/f")).collect()} == {("a", 1, 5), ("b", 1, 1)}
