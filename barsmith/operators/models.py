@@ -15,6 +15,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType, IntegralType
 
 from . import dataset, evaluate
 
@@ -58,6 +59,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _places(column: pa.Array) -> np.ndarray:
+    """A list column of structs of numbers, all lists of one length, as rows of a matrix, place by place; missing numbers are NaN."""
+    fields = [f.to_numpy(zero_copy_only=False).astype(np.float64) for f in column.flatten().flatten()]
+    return np.stack(fields, axis=-1).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def score_with(load: Callable[[], Callable[[np.ndarray], np.ndarray]], df: DataFrame, columns: list[str], name: str, window: str | None = None, rows: int = 4_096) -> DataFrame:
     """(model, ticker, ts, actual, logits) by a model of the user's own. ``load`` gives a function from inputs to logits, rows
     by classes; it is called once for each worker, reads what the model needs where workers can reach it, and must be known
@@ -67,7 +74,11 @@ def score_with(load: Callable[[], Callable[[np.ndarray], np.ndarray]], df: DataF
     places in the sequence by columns: what recurrent and convolutional nets take. ``rows`` bounds a call. Missing values are
     NaN for the model; rows whose window is of another length than the first of their batch are an error."""
     parts = F.array(*[F.col(c).cast("double") for c in columns])
-    if window:
+    fields = df.schema[window].dataType.elementType.fields if window else []
+    whole_window = bool(window) and [x.name for x in fields] == columns and all(isinstance(x.dataType, (FractionalType, IntegralType)) for x in fields)
+    if whole_window:
+        parts = F.col(window)
+    elif window:
         parts = F.flatten(F.transform(window, lambda x: F.array(*[x[c].cast("double") for c in columns])))
     actual = F.col("label").cast("int") if "label" in df.columns else F.lit(None).cast("int")
     wide = df.select("ticker", "ts", actual.alias("actual"), parts.alias("_x"))
@@ -76,7 +87,7 @@ def score_with(load: Callable[[], Callable[[np.ndarray], np.ndarray]], df: DataF
         model = _loaded(load)
         for whole in batches:
             for batch in (whole.slice(k, rows) for k in range(0, len(whole), rows)):
-                x = _matrix(batch.column("_x"))
+                x = _places(batch.column("_x")) if whole_window else _matrix(batch.column("_x"))
                 if window:
                     x = x.reshape(len(batch), -1, len(columns))
                 logits = np.asarray(model(x), dtype=np.float64)

@@ -269,8 +269,16 @@ def prepared_features(spark, d):
     return fx.rounded(_prepared_features(spark, d), 4)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written once, for plans that read it several times."""
+    path = _folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _prepared_features(spark, d) -> DataFrame:
-    f = ft.build_features(fx.bars_daily(spark, d), ft.SHORT)
+    """Features read their bars for rows, counts and carries; scaling reads features for its parameters and for all rows."""
+    f = _kept(ft.build_features(_kept(fx.bars_daily(spark, d)), ft.SHORT))
     return ds.prepare(f, list(ft.NAMES)).select("ticker", "ts", "split", "label", *ft.NAMES)
 
 

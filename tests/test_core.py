@@ -173,6 +173,27 @@ def test_late_ticks_are_dropped(spark, tmp_path):
     assert got == {"10:00": (5.0, 5.0), "11:00": (6.0, 6.0), "11:30": (7.0, 9.0)}  # 9:00 came after its bar was closed; 14:00 is open
 
 
+def test_features_of_all_columns_read_their_ticks_once(spark, data):
+    """Bars and features are written before they are read again: the plan of the result goes back to no table."""
+    files = queries._prepared_features(spark, data).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f]
+
+
+def _inputs_of_windows():
+    return lambda x: np.stack([np.nansum(x[:, :, 0], axis=1), x[:, 0, 1], np.isnan(x).sum(axis=(1, 2))], axis=1)
+
+
+def test_windows_as_they_are_and_by_column_are_the_same_inputs(spark):
+    r = random.Random(2)
+    pairs = [[(r.choice((None, r.random(), float("nan"))), r.choice((None, k, -k))) for _ in range(4)] for k in range(50)]
+    df = spark.createDataFrame([("t", k, p) for k, p in enumerate(pairs)], "ticker string, ts int, window array<struct<a: double, b: int>>").repartition(3)
+    wider = df.withColumn("window", F.transform("window", lambda x: F.struct(x["b"].alias("b"), F.lit("x").alias("c"), x["a"].alias("a"))))
+    got, want = (sorted((x["ts"], *map(str, x["logits"])) for x in models.score_with(_inputs_of_windows, f, ["a", "b"], "m", window="window", rows=7).collect()) for f in (df, wider))
+    assert got == want and len(got) == 50
+    missing = lambda v: v is None or v != v
+    assert [float(x[3]) for x in got] == [sum(missing(v) for pair in p for v in pair) for p in pairs]
+
+
 def _quotes(spark, rows, path, parts=1):
     spark.createDataFrame(rows, "odd int, symbol string, ts timestamp_ntz, last double").repartition(parts).write.mode("append").parquet(path)
     read = streams.read_stream(spark, path, spark.read.parquet(path), files=99)
