@@ -623,11 +623,16 @@ def latest_pairs(spark, d):
     return sm.latest_pairs(fx.quotes(spark, d))
 
 
-@query
 def stream_pair(spark, d):
-    stocks, options = (_stream(spark, d, _quotes).where(f"odd = {k}") for k in (0, 1))
-    x = sm.drained(sm.pair_quotes(stocks, options), "pairs", _folder(spark), settings=(sm.STATE_STORE,))
-    return x.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("s_ts", "o_ts")})
+    """Pairs are written folded. What holds for a quote, as its rounding, is done before it is paired, not once a pair."""
+    quotes = [_stream(spark, d, _quotes).where(f"odd = {k}").withColumn("last", fx.r6("last")) for k in (0, 1)]
+    met, naive = sm.met_quotes(*quotes), "array<struct<s_ts: timestamp_ntz, s_last: double, first: int, until: int>>"
+    met = met.withColumns({"s": F.col("s").cast(naive), "o_ts": F.col("o_ts").cast("array<timestamp_ntz>")})
+    x = sm.drained(met, "pairs", _folder(spark), settings=(sm.STATE_STORE,))
+    return sm.unfolded(x.repartition(4 * spark.sparkContext.defaultParallelism))  # a small file can hold many pairs
+
+
+QUERIES["stream_pair"] = stream_pair
 
 
 @query

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,19 +36,106 @@ def latest_quotes(quotes: DataFrame) -> DataFrame:
     return quotes.groupBy("symbol").agg(F.max_by(F.struct("ts", "last", "bid", "ask"), F.struct("ts", "seq")).alias("_q")).select("symbol", "_q.*")
 
 
+#: Quotes of an underlying are joined by blocks of time as long as so many pairing intervals, as arrays of so many quotes at
+#: most; a task puts so many quotes in order at once.
+INTERVALS, CHUNK, SORTED = 12, 1_024, 1_000_000
+
+
+def met_quotes(stocks: DataFrame, options: DataFrame, within: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
+    """The pairs of :func:`pair_quotes`, folded: symbol, stock quotes ``s`` (s_ts, s_last, and the places from ``first`` to
+    ``until`` of the option quotes that each is paired with) and option quotes as arrays ``o_ts``, ``o_last`` in order of time.
+
+    A dense stream has many more pairs than quotes, and a row of this holds up to CHUNK times CHUNK pairs: kept like this, the
+    result is no larger than the quotes of the chunks that meet. :func:`unfolded` gives the pairs, one row each."""
+    step = stocks.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {within})").first()[0]
+    length = max(INTERVALS * step, 1_000_000)
+    s, o = _chunks(stocks, "s", delay, length, step), _chunks(options, "o", delay, length, 0)
+    span = F.expr(f"INTERVAL {length + step} MICROSECONDS")  # no chunk is longer; the last two conditions bound the state
+    near = (F.col("s_symbol") == F.col("o_symbol")) & (F.col("s_block") == F.col("o_block")) & (F.col("o_to") >= F.col("s_from")) & (F.col("o_from") <= F.col("s_to") + step)
+    near &= (F.col("o_time") >= F.col("s_time") - span) & (F.col("o_time") <= F.col("s_time") + span)
+    met = s.join(o, near).select(F.col("s_symbol").alias("symbol"), "s_at", "s_last", "o_at", "o_last")
+    kind, price = dict(met.dtypes), met.schema["s_last"].dataType.elementType.simpleString()
+    return met.mapInArrow(partial(_places_of_pairs, step), f"symbol {kind['symbol']}, s array<struct<s_ts: timestamp, s_last: {price}, first: int, until: int>>, o_ts array<timestamp>, o_last {kind['o_last']}")
+
+
+def unfolded(met: DataFrame) -> DataFrame:
+    """One row for each pair of :func:`met_quotes`: symbol, s_ts, s_last, o_ts, o_last. For streams and for tables of them."""
+    each = met.select("symbol", F.inline("s"), "o_ts", "o_last").withColumn("_place", F.explode(F.sequence("first", "until")))
+    return each.select("symbol", "s_ts", "s_last", *[F.get(c, F.col("_place")).alias(c) for c in ("o_ts", "o_last")])
+
+
 def pair_quotes(stocks: DataFrame, options: DataFrame, within: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Stock quotes with the option quotes of the same underlying that follow within ``within``; both have a last price.
 
-    Time is cut into cells as long as ``within``: an option quote is in one, a stock quote waits in its own and in the next.
-    So a quote meets the quotes of two cells in the state, not all of its underlying, and each pair meets once. The state
-    holds all quotes of a batch: large ones need STATE_STORE."""
-    step = F.expr(f"INTERVAL {within}")
-    s = timed(stocks.where("last IS NOT NULL").select(F.col("symbol").alias("s_symbol"), F.col("ts").alias("s_ts"), F.col("last").alias("s_last")), delay, "s_ts")
-    o = timed(options.where("last IS NOT NULL").select(F.col("symbol").alias("o_symbol"), F.col("ts").alias("o_ts"), F.col("last").alias("o_last")), delay, "o_ts")
-    s = s.withColumn("_start", F.window("s_ts", within)["start"]).withColumn("_s_cell", F.explode(F.array("_start", F.col("_start") + step))).drop("_start")
-    o = o.withColumn("_o_cell", F.window("o_ts", within)["start"])
-    near = (F.col("s_symbol") == F.col("o_symbol")) & (F.col("_s_cell") == F.col("_o_cell")) & (F.col("o_ts") >= F.col("s_ts")) & (F.col("o_ts") <= F.col("s_ts") + step)
-    return s.join(o, near).select(F.col("s_symbol").alias("symbol"), "s_ts", "s_last", "o_ts", "o_last")
+    Time is cut into blocks of INTERVALS times ``within``: an option quote is in one, a stock quote waits in its own and, if
+    the interval reaches over its end, in the next; so each pair meets once. The state holds the quotes of a block in chunks,
+    each in order of time, and places in two chunks are found by bisection: the work grows with the quotes and with the pairs,
+    not with all that an underlying or a block has. A quote is late by the newest of its chunk: one behind the watermark may
+    still be paired if it comes with a timely one. The state holds all quotes of a batch: large ones need STATE_STORE."""
+    return unfolded(met_quotes(stocks, options, within, delay))
+
+
+def _chunks(quotes: DataFrame, side: str, delay: str, length: int, reach: int) -> DataFrame:
+    """The quotes of each underlying and block of ``length``, in order of time, as arrays of up to CHUNK; the last ``reach`` of
+    a block is in the next one too. Times are in microseconds."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = quotes.where("last IS NOT NULL AND ts IS NOT NULL AND symbol IS NOT NULL").select("symbol", at.alias("at"), "last")
+    block = F.col("at") - F.pmod("at", F.lit(length))
+    blocks = F.when(F.col("at") + reach >= block + length, F.array(block, block + length)).otherwise(F.array(block)) if reach else F.array(block)
+    rows = rows.withColumn("block", F.explode(blocks)).repartition("symbol", "block")
+    kind = dict(rows.dtypes)
+    found = rows.mapInArrow(_in_chunks, f"symbol {kind['symbol']}, block long, at array<long>, last array<{kind['last']}>, from long, to long")
+    found = found.withColumn("time", F.timestamp_micros("to"))
+    return found.select(*[F.col(c).alias(f"{side}_{c}") for c in found.columns]).withWatermark(f"{side}_time", delay)
+
+
+def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= SORTED:
+            yield _sorted_chunks(held)
+            held, n = [], 0
+    if n:
+        yield _sorted_chunks(held)
+
+
+def _sorted_chunks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    symbol, block, at, last = (rows.column(c) for c in ("symbol", "block", "at", "last"))
+    code, blocks, times = symbol.dictionary_encode().indices.to_numpy(), block.to_numpy(), at.to_numpy()
+    order = np.lexsort((times, blocks, code))
+    code, blocks, times = code[order], blocks[order], times[order]
+    starts = np.flatnonzero(np.append(True, (np.diff(code) != 0) | (np.diff(blocks) != 0)))
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    starts = np.flatnonzero(place % CHUNK == 0)
+    ends = np.append(starts[1:], len(order))
+    lists = [pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), x) for x in (pa.array(times), last.take(pa.array(order)))]
+    return pa.RecordBatch.from_arrays([symbol.take(pa.array(order[starts])), pa.array(blocks[starts]), *lists, pa.array(times[starts]), pa.array(times[ends - 1])], ["symbol", "block", "at", "last", "from", "to"])
+
+
+def _places_of_pairs(step: int, batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """For each stock quote the places of the option quotes from its time to ``step`` later, if any."""
+    for batch in (whole.slice(k, rows) for whole in batches for k in range(0, len(whole), rows)):
+        (s, s_row, s_start), (o, o_row, o_start) = (_flat(batch.column(c)) for c in ("s_at", "o_at"))
+        low = np.minimum(s[s_start], o[o_start])  # chunks are never empty
+        s_key, o_key = s - low[s_row], o - low[o_row]
+        width = max(s_key.max() + step, o_key.max()) + 1  # times of a row stay below those of the next
+        s_key, o_key = s_key + s_row * width, o_key + o_row * width
+        first, until = np.searchsorted(o_key, s_key), np.searchsorted(o_key, s_key + step, "right")
+        paired = np.flatnonzero(until > first)
+        n = np.bincount(s_row[paired], minlength=len(batch))
+        shift, kept, us = o_start[s_row[paired]], pa.array(n > 0), pa.timestamp("us", "UTC")
+        fields = [pa.array(s[paired]).cast(us), batch.column("s_last").flatten().take(pa.array(paired)), *(pa.array(x, pa.int32()) for x in (first[paired] - shift, until[paired] - shift - 1))]
+        quotes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[n > 0])), pa.int32()), pa.StructArray.from_arrays(fields, ["s_ts", "s_last", "first", "until"]))
+        yield pa.RecordBatch.from_arrays([batch.column("symbol").filter(kept), quotes, batch.column("o_at").filter(kept).cast(pa.list_(us)), batch.column("o_last").filter(kept)], ["symbol", "s", "o_ts", "o_last"])
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of all lists, the row of each, and where each list begins."""
+    n = lists.value_lengths().to_numpy()
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
 
 
 def latest_pairs(quotes: DataFrame) -> DataFrame:

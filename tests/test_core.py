@@ -9,6 +9,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +229,41 @@ def test_quotes_meet_only_those_near_them(spark, tmp_path, capsys):
     assert time.monotonic() - began < 120  # 400 million meetings by the underlying alone
 
 
+def test_dense_quotes_are_kept_folded(spark, tmp_path, monkeypatch):
+    """13 million pairs of 12,000 quotes around a full hour: every pair comes out, and what is written is no larger than the quotes."""
+    r, start = random.Random(5), datetime.datetime(2024, 1, 1, 9, 55)
+    at, last = np.array([r.randrange(600_000_000) for _ in range(12_000)]), np.array([r.randrange(1000) for _ in range(12_000)])
+    rows = [(k, start + datetime.timedelta(microseconds=int(at[k])), k, "a", float(last[k]), "{}") for k in range(12_000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(queries, "_folder", lambda spark: f"{tmp_path}/shared")
+    pairs = queries.QUERIES["stream_pair"](spark, str(tmp_path))
+    written = sum(f.stat().st_size for f in (tmp_path / "shared" / "pairs").glob("*.parquet"))
+    assert 0 < written < 1_000_000
+    ahead = at[None, 1::2] - at[::2, None]
+    met = (ahead >= 0) & (ahead <= 300_000_000)
+    want = (met.sum(), (last[::2] * met.sum(1)).sum(), (last[1::2] * met.sum(0)).sum(), (last[::2, None] * last[None, 1::2] * met).sum(), ahead[met].sum())
+    us = F.timestamp_diff("MICROSECOND", "s_ts", "o_ts")
+    assert tuple(pairs.agg(F.count("*"), F.sum("s_last"), F.sum("o_last"), F.sum(F.col("s_last") * F.col("o_last")), F.sum(us)).first()) == want and want[0] > 10**7
+
+
+def test_chunks_of_quotes_hold_each_row_once(monkeypatch):
+    r = random.Random(6)
+    rows = [(r.choice("ab"), r.choice((0, 60)), r.randrange(50), float(k)) for k in range(5000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 300], strict=True)], ["symbol", "block", "at", "last"]) for k in range(0, 5000, 300)]
+    monkeypatch.setattr(streams, "SORTED", 2000)
+    monkeypatch.setattr(streams, "CHUNK", 70)
+    chunks = [x for b in streams._in_chunks(iter(batches)) for x in b.to_pylist()]
+    assert sorted((x["symbol"], x["block"], a, v) for x in chunks for a, v in zip(x["at"], x["last"], strict=True)) == sorted(rows)
+    assert all(x["at"] == sorted(x["at"]) and 0 < len(x["at"]) <= 70 and (x["from"], x["to"]) == (x["at"][0], x["at"][-1]) for x in chunks)
+
+
+def test_late_quotes_are_dropped_and_their_pairs_forgotten(spark, tmp_path):
+    at = lambda h, m: datetime.datetime(2024, 1, 1, h, m)
+    for batch in ([(0, "a", at(10, 0), 1.0), (1, "a", at(10, 2), 2.0)], [(0, "a", at(20, 0), 3.0), (1, "a", at(20, 0), 4.0)], [(1, "a", at(10, 3), 5.0), (1, "a", at(20, 1), 6.0)]):
+        out = streams.drained(streams.pair_quotes(*_quotes(spark, batch, f"{tmp_path}/in")), "pairs", f"{tmp_path}/out", settings=(streams.STATE_STORE,))
+    assert sorted((x["s_last"], x["o_last"]) for x in out.collect()) == [(1.0, 2.0), (3.0, 4.0), (3.0, 6.0)]
+
+
 def test_broken_feature_files(spark, tmp_path):
     src.write_bars(spark.createDataFrame([("a", i, 1.0, 1.0, 1.0, 1.0, 1.0) for i in range(5)] + [("b", 1, 1.0, 1.0, 1.0, 1.0, 1.0)], "ticker string, ts long, open double, high double, low double, close double, volume double"), f"{tmp_path}/f")
     assert {tuple(r) for r in src.files_read(src.read_feature_files(spark, f"{tmp_path}/f")).collect()} == {("a", 1, 5), ("b", 1, 1)}
