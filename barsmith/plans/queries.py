@@ -628,7 +628,7 @@ def stream_pair(spark, d):
     quotes = [_stream(spark, d, _quotes).where(f"odd = {k}").withColumn("last", fx.r6("last")) for k in (0, 1)]
     met, naive = sm.met_quotes(*quotes), "array<struct<s_ts: timestamp_ntz, s_last: double, first: int, until: int>>"
     met = met.withColumns({"s": F.col("s").cast(naive), "o_ts": F.col("o_ts").cast("array<timestamp_ntz>")})
-    x = sm.drained(met, "pairs", _folder(spark), settings=(sm.STATE_STORE,))
+    x = sm.drained(met, "pairs", _folder(spark), settings=(sm.STATE_STORE, sm.JOIN_STATE))
     return sm.unfolded(x.repartition(4 * spark.sparkContext.defaultParallelism))  # a small file can hold many pairs
 
 

@@ -240,6 +240,8 @@ def _seeded(x: np.ndarray, at: np.ndarray, last: float, total: float, first: int
 
 #: State that outgrows memory needs this store.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: With it, joins of streams keep both sides of a partition in one store, not in four: fewer files and shorter commits.
+JOIN_STATE = ("spark.sql.streaming.join.stateFormatVersion", "3")
 
 
 def stream_indicators(ticks: DataFrame, ema: int = 9, rsi: int = 14, delay: str = "10 minutes", stretch: int = STRETCH) -> DataFrame:
